@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, decontam, packing, quality, simhash, token_counts, url_filter
+from . import chat, common, decontam, html_text, packing, pii, quality, simhash, token_counts, url_filter
 
 VOCABULARY = "byte_bpe_50k.json"
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -26,6 +26,10 @@ def op4_simhash_pigeonring(spark, sf_dir):
     return simhash.components(common.table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark, sf_dir):
+    return chat.format_chat(common.table(spark, sf_dir, "conversations"))
+
+
 def op6_url_filters(spark, sf_dir):
     return url_filter.judge(common.table(spark, sf_dir, "pages"), RULES)
 
@@ -34,10 +38,18 @@ def op7_token_counts(spark, sf_dir):
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op8_html_extraction(spark, sf_dir):
+    return html_text.extract(common.table(spark, sf_dir, "pages"))
+
+
+def op9_pii_pseudonyms(spark, sf_dir):
+    return pii.pseudonymize(common.table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark, sf_dir):
     return decontam.overlaps(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_simhash_pigeonring, op6_url_filters, op7_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_simhash_pigeonring, op5_chat_formatting, op6_url_filters, op7_token_counts, op8_html_extraction, op9_pii_pseudonyms, op10_decontamination)}
 
 ORACLE: dict[str, str] = {}

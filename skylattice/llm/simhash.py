@@ -182,6 +182,14 @@ def links(fps: DataFrame, cap: int = CAP) -> DataFrame:
     return out.distinct()
 
 
+def keep_one(docs: DataFrame, n: int = 5, cap: int = CAP) -> DataFrame:
+    """The rows of docs that are the first of their component (smallest doc_id), columns as they were. Rows
+    that repeat a doc_id count as one; rows without one cannot be named and stay."""
+    first = written(components(docs, n, cap).where("component_id = doc_id").select(F.col("doc_id").alias("_first")).distinct())
+    named = docs.where("doc_id is not null").join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    return named.union(docs.where("doc_id is null"))
+
+
 def components(docs: DataFrame, n: int = 3, cap: int = CAP) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach, itself
     included) for each row of docs(doc_id, text).
