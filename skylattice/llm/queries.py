@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, common, decontam, html_text, packing, pii, quality, simhash, token_counts, url_filter
+from . import chat, common, decontam, html_text, packing, pii, quality, simhash, substring_dedup, token_counts, url_filter
 
 VOCABULARY = "byte_bpe_50k.json"
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -22,6 +22,10 @@ def op2_quality_rules(spark, sf_dir):
     return quality.rules(common.table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove(common.table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_pigeonring(spark, sf_dir):
     return simhash.components(common.table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,6 @@ def op10_decontamination(spark, sf_dir):
     return decontam.overlaps(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_simhash_pigeonring, op5_chat_formatting, op6_url_filters, op7_token_counts, op8_html_extraction, op9_pii_pseudonyms, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_substring_dedup, op4_simhash_pigeonring, op5_chat_formatting, op6_url_filters, op7_token_counts, op8_html_extraction, op9_pii_pseudonyms, op10_decontamination)}
 
 ORACLE: dict[str, str] = {}
