@@ -3,9 +3,8 @@
 A pre-token is a run of blanks with the run of other characters after it. Byte-level BPE never
 merges across its left edge, so a text's count is the sum over its pre-tokens. The distinct
 pre-tokens of the corpus are counted once each by the library; documents are joined to them by
-their pre-token frequencies. Pre-tokens that occur in at least 1 / HEAD of all (document,
-pre-token) pairs — HEAD of them at most — are summed where the document is read; the others are
-joined by shuffle, so no key of that join can be hot.
+their pre-token frequencies. The most frequent pre-tokens, HEAD of them at most, are summed where
+the document is read; the others are joined by shuffle, so no key of that join can be hot.
 """
 
 from __future__ import annotations
@@ -20,8 +19,8 @@ from pyspark.sql import functions as F
 from . import tokenizer as tk
 from .common import written
 
-#: At most so many pre-tokens can have 1 / HEAD of all pairs each: the bound of what is broadcast.
-HEAD = 1 << 17
+#: At most so many pre-tokens are broadcast.
+HEAD = 1 << 18
 #: A task hands on its counts when it holds so many distinct pre-tokens.
 HELD = 400_000
 _CUT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
@@ -64,6 +63,13 @@ def vocabulary(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return written(found.mapInArrow(count, "token string, pairs long, pieces long"))
 
 
+def least_pairs(known: DataFrame, head: int) -> int:
+    """The lowest of some thresholds, in steps of a fifth, that `head` pre-tokens at most reach."""
+    steps = sorted({int(1.2**k) for k in range(1, 220)})
+    counts = known.agg(*[F.count_if(F.col("pairs") >= t) for t in steps]).first()
+    return next((t for t, n in zip(steps, counts) if n <= head), steps[-1] + 1)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row of docs(doc_id, text).
 
@@ -72,8 +78,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, head: i
     """
     spark = docs.sparkSession
     known = vocabulary(docs, tokenizer_path)
-    total = known.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n")).first().n
-    often = F.col("pairs") * head >= total
+    often = F.col("pairs") >= least_pairs(known, head)
     top = dict(known.where(often).select("token", "pieces").collect())  # `head` rows at most
     data = spark.sparkContext.broadcast((tokenizer_path, tk.file_bytes(tokenizer_path)))
     shared = spark.sparkContext.broadcast(top)
