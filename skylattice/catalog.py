@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .plans import proxy
+
+QUERIES: dict = dict(proxy.QUERIES)
+ORACLE: dict[str, str] = dict(proxy.ORACLE)
 FLAGSHIP = "cluster_membership"

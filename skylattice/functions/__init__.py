@@ -1 +1 @@
-
+"""Column functions: geometry, frame decoding, statistics, identifiers."""
