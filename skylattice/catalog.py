@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import proxy
+from .plans import kernels, proxy
 
-QUERIES: dict = dict(proxy.QUERIES)
-ORACLE: dict[str, str] = dict(proxy.ORACLE)
+QUERIES: dict = proxy.QUERIES | kernels.QUERIES
+ORACLE: dict[str, str] = proxy.ORACLE | kernels.ORACLE
 FLAGSHIP = "cluster_membership"

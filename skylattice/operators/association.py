@@ -191,13 +191,14 @@ def tdoa(found: DataFrame) -> DataFrame:
 def any_of(observations: DataFrame, stations: list[Station], size: int = 4, **settings) -> DataFrame:
     """Every `size`-subset of the receivers is associated for itself; its full clusters that share an observation
     are one event: component, cluster_id, receiver_ids."""
-    from .graph import shared_members
+    from .graph import checkpointed, shared_members
 
     out = None
     for k, subset in enumerate(itertools.combinations(stations, size)):
         got = clusters(associate(observations, list(subset), **settings)).where(F.col("receiver_count") == size)
         got = got.select(F.concat(F.lit(f"{k}:"), "cluster_id").alias("cluster"), "cluster_id", "receiver_ids", F.transform("obs", lambda m: m["id"]).alias("ids"))
         out = got if out is None else out.unionByName(got)
+    out = checkpointed(out)  # read several times below
     comp = shared_members(out.select("cluster", F.explode("ids").alias("member")), "cluster", "member")
     return out.join(comp, "cluster").select("component", "cluster_id", "receiver_ids")
 

@@ -398,14 +398,15 @@ def common_window(spark, d):
 
 
 @query(f"""
-WITH {EV}, t AS (SELECT user_id AS track_id, event_type AS code, min(t) / 1000000.0 AS ft, max(t) / 1000000.0 AS lt, (user_id % 180) - 90.0 AS lat, (user_id % 360) - 180.0 AS lon FROM ev GROUP BY ALL)
-SELECT a.track_id, a.code, b.track_id AS track_id_2, b.code AS code_2, round(b.ft - a.lt, 3) AS gap_s FROM t a JOIN t b ON a.code <> b.code AND b.ft - a.lt > 0 AND b.ft - a.lt <= 86400
+WITH {EV}, {SEG}, t AS (SELECT user_id || '-' || segment AS track_id, user_id % 5 AS code, min(t) / 1000000.0 AS ft, max(t) / 1000000.0 AS lt, (user_id % 9) * 0.1 + 20 AS lat, (user_id % 7) * 0.1 + 106 AS lon FROM s GROUP BY user_id, segment)
+SELECT a.track_id, a.code, b.track_id AS track_id_2, b.code AS code_2, round(b.ft - a.lt, 3) AS gap_s FROM t a JOIN t b ON a.code <> b.code AND b.ft - a.lt > 0 AND b.ft - a.lt <= 600
 WHERE 2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1.0))) <= 450.0 * (b.ft - a.lt) + 2000.0""")
 def code_transitions(spark, d):
-    g = events(spark, d).groupBy(F.col("user_id").alias("track_id"), F.col("event_type").alias("code")).agg((F.min("t") / 1e6).alias("first_t"), (F.max("t") / 1e6).alias("last_t"))
-    lat, lon = (F.col("track_id") % 180 - 90).cast("double"), (F.col("track_id") % 360 - 180).cast("double")
-    g = g.withColumns({"first_lat": lat, "first_lon": lon, "last_lat": lat, "last_lon": lon})
-    return matching.code_transitions(g, 86400.0).select("track_id", "code", "track_id_2", "code_2", F.round("gap_s", 3).alias("gap_s"))
+    s = sequences.gap_segments(events(spark, d), ["user_id"], "t", TWO_HOURS, ["event_id"])
+    g = s.groupBy("user_id", "segment").agg((F.min("t") / 1e6).alias("first_t"), (F.max("t") / 1e6).alias("last_t"))
+    lat, lon = F.col("user_id") % 9 * 0.1 + 20, F.col("user_id") % 7 * 0.1 + 106
+    g = g.select(F.concat_ws("-", "user_id", "segment").alias("track_id"), (F.col("user_id") % 5).alias("code"), "first_t", "last_t", lat.alias("first_lat"), lon.alias("first_lon"), lat.alias("last_lat"), lon.alias("last_lon"))
+    return matching.code_transitions(g, 600.0).select("track_id", "code", "track_id_2", "code_2", F.round("gap_s", 3).alias("gap_s"))
 
 
 @query("""

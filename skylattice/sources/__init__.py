@@ -1 +1 @@
-
+"""Sources and sinks: frame streams, captures, outlines, frozen results."""
