@@ -9,7 +9,9 @@ pseudonyms; check digits are made anew, texts keep their length, and the key rev
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import math
 import re
@@ -165,6 +167,12 @@ def international(f: Feistel, s: str, back: bool) -> str | None:
     return _fill(s, d[:2] + str(rest).zfill(len(d) - 2), _ascii_digit)
 
 
+@functools.cache
+def _late_days() -> list[int]:
+    """Days after the twelfth of their month, counted from FIRST_DAY."""
+    return [k for k in range(LAST_DAY - FIRST_DAY + 1) if datetime.date.fromordinal(k + FIRST_DAY).day > 12]
+
+
 def date(f: Feistel, s: str, back: bool) -> str | None:
     """yyyy-mm-dd, or day, month and year with . or / or -; month first only where the second number cannot be a month."""
     a, sep, b, c = re.fullmatch(r"(\d+)([-./])(\d+)[-./](\d+)", s).groups()
@@ -177,7 +185,12 @@ def date(f: Feistel, s: str, back: bool) -> str | None:
     n = LAST_DAY - FIRST_DAY + 1
     if not 0 <= day < n:
         return None
-    t = datetime.date.fromordinal(f.permute(day, n, "date", back) + FIRST_DAY)
+    if order == "mdy":  # stays among the dates that only read so
+        days = _late_days()
+        t = days[f.permute(bisect.bisect_left(days, day), len(days), "late date", back)]
+    else:
+        t = f.permute(day, n, "date", back)
+    t = datetime.date.fromordinal(t + FIRST_DAY)
     parts = {"y": f"{t.year:04d}", "m": f"{t.month:02d}", "d": f"{t.day:02d}"}
     return sep.join(parts["ymd"[k] if order == "ymd" else order[k]] for k in range(3))
 
