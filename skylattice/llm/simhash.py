@@ -182,14 +182,6 @@ def links(fps: DataFrame, cap: int = CAP) -> DataFrame:
     return out.distinct()
 
 
-def keep_one(docs: DataFrame, n: int = 5, cap: int = CAP) -> DataFrame:
-    """The rows of docs that are the first of their component (smallest doc_id), columns as they were. Rows
-    that repeat a doc_id count as one; rows without one cannot be named and stay."""
-    first = written(components(docs, n, cap).where("component_id = doc_id").select(F.col("doc_id").alias("_first")).distinct())
-    named = docs.where("doc_id is not null").join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null"))
-
-
 def components(docs: DataFrame, n: int = 3, cap: int = CAP) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach, itself
     included) for each row of docs(doc_id, text).
@@ -204,3 +196,134 @@ def components(docs: DataFrame, n: int = 3, cap: int = CAP) -> DataFrame:
     rooted = classes.join(root, classes.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- near-duplicate groups at a similarity below what three bits reach ------------------------------
+
+#: Words of a shingle, least similarity of the shingle sets, and bits of the signature that estimates it.
+NEAR_WORDS, NEAR_SIMILARITY, WIDE = 5, 0.8, 256
+#: Standard errors of the estimate by which pairs just below still count.
+NEAR_ERRORS = 1.0
+#: Each row is compared with so many rows before it under a key, in signature order.
+NEIGHBOURS = 256
+_DIGESTS_KEPT = 200_000
+
+
+class _Digests(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        d = xxhash.xxh3_128_digest(word, 1) + xxhash.xxh3_128_digest(word, 2)
+        if len(self) >= _DIGESTS_KEPT:
+            self.clear()
+        self[word] = d
+        return d
+
+
+_digests = _Digests()
+
+
+def wide(digests: list[bytes]) -> np.ndarray:
+    """The majority bits of 32-byte digests, as four words."""
+    if not digests:
+        return np.zeros(WIDE // 64, np.uint64)
+    total = np.zeros(WIDE, np.int64)
+    for at in range(0, len(digests), 255 * 64):
+        part = np.frombuffer(b"".join(digests[at : at + 255 * 64]), np.uint8).reshape(-1, WIDE // 8)
+        bits = np.unpackbits(part, axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # sums of 255 ones fit a byte
+            total += bits[k : k + 255].sum(0, dtype=np.uint8)
+    return np.packbits(2 * total > len(digests), bitorder="little").view(np.uint64)
+
+
+def signature(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
+    """Digest of the words, signature of the set of words (where candidates meet) and of the set of five-word
+    shingles (what is compared)."""
+    w = words(text)
+    parts = set(shingles(w, NEAR_WORDS))
+    grams = [xxhash.xxh3_128_digest(x, 1) + xxhash.xxh3_128_digest(x, 2) for x in parts]
+    return xxhash.xxh3_64_intdigest(b" ".join(w)), wide([_digests[x] for x in set(w)]), wide(grams)
+
+
+def most_bits(similarity: float = NEAR_SIMILARITY, errors: float = NEAR_ERRORS) -> int:
+    """Differing bits that sets of that Jaccard similarity have, plus standard errors: the cosine of two sets is
+    2 J / (1 + J), and a bit differs with the angle's share of pi."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(WIDE * p + errors * np.sqrt(WIDE * p * (1 - p)))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, node (digest of the words), w0..w3, g0..g3."""
+    names = ["doc_id", "node", *[f"{k}{i}" for k in "wg" for i in range(WIDE // 64)]]
+
+    def run(batches):
+        for batch in batches:
+            got = [signature(t.as_py()) for t in batch.column(1)]
+            node = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
+            cols = [np.array([g[k][i] for g in got], dtype=np.uint64).view(np.int64) for k in (1, 2) for i in range(WIDE // 64)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), *[pa.array(c) for c in cols]], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _near(limit: int):
+    """Rows sorted by (slot, key, signature): a forest of pairs within the limit, each row against the
+    NEIGHBOURS before it under its key. Only those are held."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(batch.num_columns)])
+            rows = new if held is None else np.concatenate([held, new], 1)
+            old = rows.shape[1] - new.shape[1]
+            slot, key, node = rows[:3]
+            sig = rows[3:].view(np.uint64)
+            run_no = np.cumsum(np.r_[True, (slot[1:] != slot[:-1]) | (key[1:] != key[:-1])])
+            later, step, pairs = np.arange(old, rows.shape[1]), 1, []
+            while step <= NEIGHBOURS:
+                later = later[later >= step]
+                later = later[run_no[later] == run_no[later - step]]
+                if not len(later):
+                    break
+                d = _bits(sig[:, later] ^ sig[:, later - step]).astype(np.int64).sum(0)
+                good = later[d <= limit]
+                pairs.append(np.stack([good, good - step]))
+                step += 1
+            if pairs:
+                yield _forest(node, np.concatenate(pairs, 1))
+            held = rows[:, -NEIGHBOURS:]
+
+    return run
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id: documents whose sets of five-word shingles have a similarity of 0.8 or more are linked.
+
+    Equal word sequences are one class. Classes meet where a segment and a half of the next agree in one of
+    four SimHashes of their word sets; what is compared is a 256-bit SimHash of their shingle sets, within one
+    standard error. Keys are dealt by range of (key, signature), so that a large group of near copies
+    spreads over tasks; its members are compared in signature order, under every key they share.
+    """
+    spark = docs.sparkSession
+    sig = written(signatures(docs))
+    n = range(WIDE // 64)
+    classes = sig.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(f"{k}{i}").alias(f"{k}{i}") for k in "wg" for i in n])
+    classes = written(classes)
+    masks = [_signed(m) for m in first_masks()]
+    slots = F.explode(F.array(*[F.struct(F.lit(8 * i + k).alias("slot"), F.col(f"w{i}").bitwiseAND(F.lit(m)).alias("key")) for i in n for k, m in enumerate(masks)])).alias("s")
+    rows = classes.select("node", *[f"g{i}" for i in n], slots).select("s.slot", "s.key", "node", *[f"g{i}" for i in n])
+    order = ["slot", "key", *[f"g{i}" for i in n], "node"]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    edges = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_near(most_bits()), "a long, b long")
+    root = connected_components(edges)
+    rooted = classes.select("node", "least").join(root.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    ids = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return sig.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are the first of their near_groups() (smallest doc_id), columns as they were. Rows
+    that repeat a doc_id count as one; rows without one cannot be named and stay."""
+    first = written(near_groups(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_first")).distinct())
+    named = docs.where("doc_id is not null").join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    return named.union(docs.where("doc_id is null"))

@@ -216,3 +216,26 @@ def test_decontamination(spark):
     leaky = {d for d, _ in got}
     kept = decontam.remove(df, bench)
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - leaky and kept.columns == df.columns
+
+
+def test_near_groups_and_keep_one(spark):
+    rng = random.Random(6)
+    vocab = [f"v{k}" for k in range(2000)]
+    rows, family = [], {}
+    for k in range(40):
+        base = rng.choices(vocab, k=rng.randrange(120, 400))
+        for c in range(4):
+            w = list(base)
+            for _ in range(c * len(w) // 200):  # up to three edits in 200 words
+                w[rng.randrange(len(w))] = "edited"
+            rows.append((10 * k + c, " ".join(w).upper() if c == 3 else " ".join(w), "x"))
+            family[10 * k + c] = k
+    rows += [(900, None, "x"), (901, "", "x"), (None, rows[0][1], "x"), (0, rows[0][1], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(df).collect() if r.doc_id is not None}
+    sets = {d: set(simhash.shingles(simhash.words(t), 5)) for d, t, _ in rows if d is not None}
+    linked = [(a, b) for k in range(40) for a in range(10 * k, 10 * k + 4) for b in range(a + 1, 10 * k + 4) if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])]
+    assert len(linked) > 100 and sum(got[a] == got[b] for a, b in linked) >= 0.97 * len(linked)
+    assert all(family.get(d) == family.get(c) for d, c in got.items()) and got[901] == got[900] == 900
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter([None, *{c for c in got.values()}])
