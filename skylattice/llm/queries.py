@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, common, decontam, html_text, packing, pii, quality, simhash, substring_dedup, token_counts, url_filter
+from . import chat, common, decontam, html_text, oracle, packing, pii, quality, simhash, substring_dedup, token_counts, url_filter
 
 VOCABULARY = "byte_bpe_50k.json"
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -56,4 +56,4 @@ def op10_decontamination(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_substring_dedup, op4_simhash_pigeonring, op5_chat_formatting, op6_url_filters, op7_token_counts, op8_html_extraction, op9_pii_pseudonyms, op10_decontamination)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.sql(RULES)
