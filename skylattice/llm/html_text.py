@@ -25,7 +25,9 @@ _NEXT = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_PART = re.compile(r"[a-z]+")
+_TOKEN = re.compile(r"[a-z]+(?:[-_][a-z0-9]+)*")
+#: First parts of names that say what a wrapper has, not what it is.
+_ABOUT = {"has", "with", "no", "without", "non", "is", "not"}
 _RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "option", "button")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Tags that end a block.
@@ -41,7 +43,13 @@ _BODY = {"article", "main"}
 
 
 def _named(attributes: str) -> bool:
-    return any(p in _NAMES for m in _ATTRIBUTE.finditer(attributes) for p in _PART.findall((m[1] or m[2] or m[3] or "").lower()))
+    """Whether class, id or role name furniture: by the first or last part of a name, as in comment-list or top-menu."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        for name in _TOKEN.findall((m[1] or m[2] or m[3] or "").lower()):
+            parts = re.split("[-_]", name)
+            if parts[0] not in _ABOUT and (parts[0] in _NAMES and parts[1:] != ["free"] or parts[-1] in _NAMES):
+                return True
+    return False
 
 
 def tokens(page: str) -> Iterator[tuple[str, str]]:
@@ -71,15 +79,15 @@ def typed(page: str) -> list[tuple[str, str, int]]:
     """(type, text, words) of each token. Words are of type w:text, w:link, w:outside (of the article
     that the page has) or w:furniture; tags are t:name."""
     out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
-    has_body = re.search(r"<(?:article|main)\b", page, re.I) is not None
+    stack: list[tuple[str, int, bool]] = []  # name, furniture (1 by its names, 2 by its tag), article
+    has_body = any(not _named(m[1]) for m in re.finditer(r"<(?:article|main)\b([^>]*)", page, re.I))
     for kind, text in tokens(page):
         if kind == "text":
             text = html.unescape(text)
             n = len(text.split())
-            furniture = any(f for _, f, _ in stack)
-            inside = any(b for _, _, b in stack)
-            where = "furniture" if furniture else "outside" if has_body and not inside else "link" if any(x == "a" for x, _, _ in stack) else "text"
+            last = max((i for i, x in enumerate(stack) if x[2]), default=-1)  # names of wrappers around an article say nothing of it
+            furniture = any(f == 2 or f == 1 and i > last for i, (_, f, _) in enumerate(stack))
+            where = "furniture" if furniture else "outside" if has_body and last < 0 else "link" if any(x == "a" for x, _, _ in stack) else "text"
             out.append((f"w:{where}", text, n))
             continue
         name = kind[1:]
@@ -87,8 +95,9 @@ def typed(page: str) -> list[tuple[str, str, int]]:
         if kind[0] == "<":
             if name not in _VOID and not text.endswith("/"):
                 inside = any(b for _, _, b in stack)
-                furniture = name in _FURNITURE or (name == "header" and not inside) or (name not in ("html", "body", *_BODY) and _named(text))
-                stack.append((name, furniture, name in _BODY))
+                named = name not in ("html", "body") and _named(text)
+                furniture = 2 if name in _FURNITURE or (name == "header" and not inside) else int(named)
+                stack.append((name, furniture, name in _BODY and not named))
                 if name == "p":  # an open paragraph ends where the next begins
                     opened = [i for i, s in enumerate(stack[:-1]) if s[0] == "p"]
                     if opened and not any(s[0] in _BLOCK - {"p"} for s in stack[opened[-1] :]):

@@ -110,6 +110,7 @@ def test_html_corners(spark):
     w = html_text.fit(html_text.labelled_pages())
     cases = {
         "<body><nav><a>menu item</a></nav><article><h1>Title</h1><p>One &amp; two\n three<br>four <b>five<p>Six &lt;7&#33;<script>no <p> here</script><div class='ad'>buy</div><p>End.</article><footer>c</footer>": "Title\n\nOne & two three four five\n\nSix <7!\n\nEnd.",
+        '<div class="content with-sidebar"><div id="page-menu"><article class="post ad-free"><p>Kept here.</p><div class="comment-list"><article class="comment">not me</article></div></article></div></div><div class="top-menu">nor me</div>': "Kept here.",
         "<article><p>cut off in a ta<": "cut off in a ta<", "<article><p>cut &am": "cut &am", "<article><p>cut<p class=\"x": "cut", "": "", "<nav>a b c</nav>": "", "plain words only": "plain words only", "<!-- a --><p>b<!-- c": "b",
     }
     for page, text in cases.items():
