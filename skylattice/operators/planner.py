@@ -23,7 +23,8 @@ from .association import ecef
 
 #: Guards, draws and the seed that results depend on.
 MAX_POINTS, CONFIRM_SUBSETS, MAX_SUBSETS = 25_000, 70, 1000
-DRAWS, SEED, REMOTE_KM, SAFE_US = 256, 20260817, 25.0, 0.5
+PLANE_LAT_KM, PLANE_LON_KM = 111.132, 111.320
+DRAWS, SEED, REMOTE_KM, SAFE_US = 256, 20260811, 25.0, 0.5
 CLASSES = (("GOOD", 500.0, 10.0, 1.0), ("ACCEPTABLE", 1500.0, 30.0, 0.5), ("POOR", 5000.0, 100.0, 0.2))
 STRATEGIES = ("strict_4", "best_4_of_n", "worst_4_of_n", "full_n_diagnostic")
 
@@ -77,7 +78,7 @@ class Request:
 def grid(spark: SparkSession, polygon, step_km: float) -> DataFrame:
     """point, lat, lon, x_km, y_km inside the polygon ([lat, lon]), on a plane about its mean; built in Catalyst."""
     lat0, lon0 = (sum(p[k] for p in polygon) / len(polygon) for k in (0, 1))
-    kx, ky = EARTH_KM * math.radians(1) * math.cos(math.radians(lat0)), EARTH_KM * math.radians(1)
+    kx, ky = PLANE_LON_KM * math.cos(math.radians(lat0)), PLANE_LAT_KM
     flat = [((lon - lon0) * kx, (lat - lat0) * ky) for lat, lon in polygon]
     xs, ys = zip(*flat)
     x0, y0 = math.floor(min(xs) / step_km) * step_km, math.floor(min(ys) / step_km) * step_km
@@ -220,10 +221,10 @@ def analyze(spark: SparkSession, request: Request) -> DataFrame:
     r = ranked(scores)
     pick = "worst_rank" if request.geometry_strategy == "worst_4_of_n" else "best_rank"
     chosen = r.where(f"{pick} = 1").drop("best_rank", "worst_rank")
-    counts = scores.groupBy("point").agg(F.count("*").alias("subset_count"), F.collect_set(F.when(F.col("quality") == "GOOD", F.col("subset_ids"))).alias("_good"))
+    counts = scores.groupBy("point").agg(F.count("*").alias("subset_count"), F.count_if(F.col("quality") == "GOOD").alias("good_subsets"), F.collect_set(F.when(F.col("quality") == "GOOD", F.col("subset_ids"))).alias("_good"))
     df = pts.join(have, "point").join(chosen, "point", "left").join(counts, "point", "left")
     survive = (F.col("receiver_count") >= 5) & F.forall("available", lambda lost: F.exists("_good", lambda s: ~F.array_contains(s, lost)))
-    return df.withColumns({"quality": F.coalesce("quality", F.lit("NO_MLAT")), "branch_safe": F.coalesce("branch_safe", F.lit(False)), "inside_hull": F.coalesce("inside_hull", F.lit(False)), "subset_count": F.coalesce("subset_count", F.lit(0)), "n_minus_1": F.coalesce(survive, F.lit(False))}).drop("_good")
+    return df.withColumns({"quality": F.coalesce("quality", F.lit("NO_MLAT")), "branch_safe": F.coalesce("branch_safe", F.lit(False)), "inside_hull": F.coalesce("inside_hull", F.lit(False)), "subset_count": F.coalesce("subset_count", F.lit(0)), "good_subsets": F.coalesce("good_subsets", F.lit(0)), "n_minus_1": F.coalesce(survive, F.lit(False))}).drop("_good")
 
 
 def importance(scores: DataFrame) -> DataFrame:
@@ -244,6 +245,9 @@ def summary(rows: DataFrame) -> DataFrame:
     cells = [F.count("*").alias("grid_points")] + [share(F.col("receiver_count") >= k).alias(f"at_least_{k}_rx_percent") for k in (1, 2, 3, 4)]
     cells += [share(F.col("quality") == q).alias(f"{q.lower()}_percent") for q in ("GOOD", "ACCEPTABLE", "POOR", "VERY_POOR", "NO_MLAT")]
     cells += [F.percentile("p50_error_m", 0.5).alias("median_p50_m"), F.percentile("p95_error_m", 0.5).alias("median_p95_m"), F.percentile("p95_error_m", 0.9).alias("p90_p95_m"), F.percentile("condition", 0.5).alias("median_condition")]
+    cells += [share(F.col("quality").isin("GOOD", "ACCEPTABLE")).alias("good_acceptable_percent"), share(F.coalesce(F.col("branch_separation_us") >= 1.0, F.lit(False))).alias("branch_good_percent")]
+    cells += [share(F.col("good_subsets") >= k).alias(f"{n}_good_subsets_percent") for k, n in ((1, "one"), (2, "two"), (3, "three"))]
+    cells.append(F.percentile(F.when(F.col("subset_count") > 0, F.col("good_subsets") / F.col("subset_count")).otherwise(0.0), 0.5).alias("median_good_fraction"))
     return rows.agg(*cells, share(F.col("branch_safe")).alias("branch_safe_percent"), share(F.col("n_minus_1")).alias("n_minus_1_percent"))
 
 
@@ -263,18 +267,56 @@ def coverage_areas(request: Request) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["id", "enabled", "area_km2", "inside_km2"])
 
 
-#: Fixed values: (level, least share of the grid) by aspect; the overall level is the least of them.
-LEVELS = {"coverage": ((4, 95.0), (3, 80.0), (2, 50.0)), "quality": ((4, 80.0), (3, 60.0), (2, 30.0)), "branch": ((4, 90.0), (3, 70.0), (2, 40.0)), "redundancy": ((4, 75.0), (3, 50.0), (2, 20.0))}
-LEVEL_NAMES = {4: "STRONG", 3: "ADEQUATE", 2: "WEAK", 1: "INSUFFICIENT"}
-
-
-def assessment(s: dict) -> dict:
-    """Levels from a summary() row: each aspect, the overall one (least, capped one above redundancy), and sentences."""
-    values = {"coverage": s["at_least_4_rx_percent"], "quality": s["good_percent"] + s["acceptable_percent"], "branch": s["branch_safe_percent"], "redundancy": s["n_minus_1_percent"]}
-    levels = {k: next((lv for lv, least in LEVELS[k] if v >= least), 1) for k, v in values.items()}
-    overall = min(min(levels[k] for k in ("coverage", "quality", "branch")), levels["redundancy"] + 1)
-    text = [f"{k}: {LEVEL_NAMES[levels[k]]} ({values[k]:.1f} %)" for k in levels]
-    return {"levels": {k: LEVEL_NAMES[v] for k, v in levels.items()}, "overall": LEVEL_NAMES[overall], "text": [f"overall: {LEVEL_NAMES[overall]}", *text]}
+#: Codes of the levels from 4 to 0, and of the overall level.
+LEVEL_CODES = ("RAT_TOT", "TOT", "TRUNG_BINH", "KEM", "RAT_KEM")
+OVERALL_CODES = ("RAT_TOT", "TOT", "KHA", "TRUNG_BINH", "KEM")
+LABELS = {"RAT_TOT": "Rất tốt", "TOT": "Tốt", "KHA": "Khá", "TRUNG_BINH": "Trung bình", "KEM": "Kém", "RAT_KEM": "Rất kém", "KHONG_AP_DUNG": "Không áp dụng", "KHONG_DU_DU_LIEU": "Chưa đủ dữ liệu"}
+#: Least shares of the grid for levels 4 to 1.
+SHARES = {"reception": (90, 75, 50, 25), "branch": (90, 75, 50, 25), "redundancy": (80, 60, 30, 10), "n_minus_1": (80, 60, 30, 10)}
+#: Least shares of GOOD and of GOOD or ACCEPTABLE for levels 4 to 1; largest median and p90 of the 95 % error.
+GEOMETRY_SHARES = ((75, 90), (50, 75), (25, 50), (10, 0))
+ERRORS_M = ((250, 500), (500, 1500), (1500, 5000), (5000, math.inf))
+
+
+def _level(ok: list[bool]) -> int:
+    """4 for the first condition that holds, one less for each after it; 0 if none does."""
+    return next((4 - k for k, x in enumerate(ok) if x), 0)
+
+
+def assessment(s: dict, strategy: str = "best_4_of_n", eligible: int = 5) -> dict:
+    """Levels from a summary() row by aspect, and overall: the least of reception, geometry, branch and error, capped by
+    how the network bears the loss of a receiver and by how many good subsets there are."""
+    strict = strategy == "strict_4"
+    level = {k: _level([v >= t for t in SHARES[k]]) for k, v in {"reception": s["at_least_4_rx_percent"], "branch": s["branch_good_percent"], "redundancy": 0.0 if strict else s["two_good_subsets_percent"], "n_minus_1": s["n_minus_1_percent"]}.items()}
+    level["geometry"] = _level([s["good_percent"] >= a and s["good_acceptable_percent"] >= b for a, b in GEOMETRY_SHARES])
+    median, p90 = s["median_p95_m"], s["p90_p95_m"]
+    known = median is not None and p90 is not None
+    level["p95"] = _level([known and median <= a and p90 <= b for a, b in ERRORS_M])
+    score = min(level[k] for k in ("reception", "geometry", "branch", "p95") if k != "p95" or known)
+    lossless = not strict and eligible >= 5
+    if not lossless or level["n_minus_1"] <= 1 or level["redundancy"] <= 1:
+        score = min(score, 2)
+    elif level["n_minus_1"] == 2:
+        score = min(score, 3)
+    codes = {k: LEVEL_CODES[4 - v] for k, v in level.items()}
+    if not known:
+        codes["p95"] = "KHONG_DU_DU_LIEU"
+    if not lossless:
+        codes["n_minus_1"] = "KHONG_AP_DUNG"
+    overall = OVERALL_CODES[4 - score]
+    return {"levels": codes, "overall": overall, "label": LABELS[overall], "text": [f"{k}: {LABELS[c]}" for k, c in codes.items()]}
+
+
+#: Bands of distances between receivers, kilometres.
+BASELINE_BANDS = {"very_close": (0, 50), "main": (150, 250), "long": (250, 350.0000001), "very_long": (350.0000001, math.inf)}
+
+
+def baselines(receivers: DataFrame) -> DataFrame:
+    """receivers(id, lat, lon): one row with least, median and largest distance and the pairs in each band."""
+    a, b = receivers.select("id", "lat", "lon"), receivers.select(F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    d = a.join(F.broadcast(b), F.col("id") < F.col("id2")).withColumn("km", geo.haversine("lat", "lon", "lat2", "lon2"))
+    bands = [F.count_if((F.col("km") >= lo) & (F.col("km") < hi)).alias(f"{n}_pairs") for n, (lo, hi) in BASELINE_BANDS.items()]
+    return d.agg(F.min("km").alias("min_km"), F.percentile("km", 0.5).alias("median_km"), F.max("km").alias("max_km"), *bands)
 
 
 def dependency(imp: DataFrame) -> DataFrame:

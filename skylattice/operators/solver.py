@@ -19,7 +19,7 @@ from .association import ecef as station_ecef
 
 _E2 = WGS84_F * (2 - WGS84_F)
 #: Rings of starts (metres) and directions; metres within which solutions are one.
-RINGS_M, DIRECTIONS, SAME_M = (50_000.0, 150_000.0, 300_000.0, 600_000.0, 1_200_000.0), 8, 100.0
+RINGS_M, DIRECTIONS, SAME_M = (50_000.0, 100_000.0, 250_000.0, 500_000.0, 900_000.0), 8, 100.0
 FLOOR_US, CONDITION_LIMIT = 0.01, 1e8
 FEET = 0.3048
 

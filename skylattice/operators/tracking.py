@@ -112,18 +112,19 @@ def track(fixes: DataFrame, key: str = "code", settings: Settings = Settings(),
 
 @dataclass(frozen=True)
 class PathRules:
-    """Thresholds of one configuration of the path search."""
+    """Thresholds of one configuration of the path search. Fixed values."""
 
     gap_s: float = 10.0
-    normal_mps: float = 300.0
+    normal_mps: float = 400.0
     hard_mps: float = 450.0
+    prefer_accel: float = 10.0
     hard_accel: float = 25.0
-    tolerance_m: float = 500.0
-    geometry_weight: float = 1.0
+    tolerance_m: float = 2000.0
     prediction_weight: float = 1.0
+    geometry_weight: float = 0.15
 
 
-CONFIGS = {"strict": PathRules(5.0, 280.0, 400.0, 15.0, 300.0), "normal": PathRules(), "loose": PathRules(20.0, 320.0, 500.0, 35.0, 1000.0)}
+CONFIGS = {"CONSERVATIVE": PathRules(5.0, 350.0, 420.0, 8.0, 20.0, 1500.0, 1.0, 0.15), "BALANCED": PathRules(), "PERMISSIVE": PathRules(20.0, 450.0, 500.0, 15.0, 30.0, 2500.0, 0.75, 0.30)}
 
 
 def credible(b: pd.DataFrame) -> pd.DataFrame:
@@ -140,31 +141,29 @@ def best_path(times: list[float], places: list[np.ndarray], conditions: list[np.
     Second-order dynamic programming: a state is the last two branches."""
     n = len(times)
     pen = [r.geometry_weight * np.maximum(0, np.log10(np.maximum(c, 1) / 10)) for c in conditions]
-    if n == 1:
-        order = np.sort(pen[0])
-        return [int(pen[0].argmin())], float(order[1] - order[0]) if len(order) > 1 else math.inf, -1
+    if n == 1:  # nothing to choose by
+        return ([0], math.inf, -1) if len(pen[0]) == 1 else (None, 0.0, 0)
+    fast = lambda d, dt: (np.maximum(np.maximum(d - r.tolerance_m, 0) / dt - r.normal_mps, 0) / 100) ** 2
     dt = times[1] - times[0]
     d = np.linalg.norm(places[1][None] - places[0][:, None], axis=2)
-    cost = np.maximum(0, np.maximum(d - r.tolerance_m, 0) / dt - r.normal_mps) / 100
-    cost = pen[0][:, None] + cost**2 + pen[1][None]
-    cost[d > r.hard_mps * dt + r.tolerance_m] = np.inf
+    cost = np.where(d <= r.hard_mps * dt + r.tolerance_m, pen[0][:, None] + fast(d, dt) + pen[1][None], np.inf)
     if not np.isfinite(cost).any():
         return None, 0.0, 1
     back: list[np.ndarray] = []
     for k in range(2, n):
         dt0, dt = times[k - 1] - times[k - 2], times[k] - times[k - 1]
-        v0 = (places[k - 1][None] - places[k - 2][:, None]) / dt0  # i, j
-        v1 = (places[k][None] - places[k - 1][:, None]) / dt  # j, l
+        v0 = (places[k - 1][None] - places[k - 2][:, None]) / dt0  # branches i, j
+        v1 = (places[k][None] - places[k - 1][:, None]) / dt  # branches j, l
         ahead = places[k - 1][None] + v0 * dt
         miss = np.linalg.norm(places[k][None, None] - ahead[:, :, None], axis=3)
-        s0, s1 = np.linalg.norm(v0, axis=2), np.linalg.norm(v1, axis=2)
-        accel = np.abs(s1[None] - s0[:, :, None]) / dt
-        turn = np.abs(np.degrees(np.arctan2(v1[..., 0], v1[..., 1])[None] - np.arctan2(v0[..., 0], v0[..., 1])[:, :, None]))
-        turn = np.minimum(turn, 360 - turn) / dt
-        step = r.prediction_weight * (miss / max(r.tolerance_m, 50 * dt)) ** 2 + (np.maximum(s1[None] - r.normal_mps, 0) / 100) ** 2 + (np.maximum(accel - 5, 0) / 5) ** 2 + (turn / 5) ** 2 * (s1[None] > 30)
-        step = step + pen[k][None, None]
-        step[(miss > r.tolerance_m + 0.5 * r.hard_accel * dt * dt + r.hard_accel * dt * dt0)] = np.inf
-        step[:, s1 * dt > r.hard_mps * dt + r.tolerance_m] = np.inf
+        d = np.linalg.norm(places[k][None] - places[k - 1][:, None], axis=2)
+        turn = np.abs(np.arctan2(v1[..., 0], v1[..., 1])[None] - np.arctan2(v0[..., 0], v0[..., 1])[:, :, None])
+        turn = np.degrees(np.minimum(turn, 2 * np.pi - turn)) / dt
+        free = 0.5 * dt * dt
+        accel = np.maximum(miss - r.tolerance_m, 0) / max(free, 1.0)
+        step = r.prediction_weight * (miss / max(r.tolerance_m, 50 * dt)) ** 2 + fast(d, dt)[None] + (accel / r.prefer_accel) ** 2 + (turn / 5) ** 2 + pen[k][None, None]
+        step[miss > r.tolerance_m + r.hard_accel * free] = np.inf
+        step[:, d > r.hard_mps * dt + r.tolerance_m] = np.inf
         total = cost[:, :, None] + step
         back.append(total.argmin(0))
         cost = total.min(0)
@@ -196,7 +195,7 @@ def fragments(times, places, conditions, r: PathRules, at: int = 0) -> list[tupl
 PATHS = "key string, segment long, event_id string, lat double, lon double, branches int, margin double, seed string, quality string"
 
 
-def disambiguate(branches: DataFrame, rules: PathRules = CONFIGS["normal"]) -> DataFrame:
+def disambiguate(branches: DataFrame, rules: PathRules = CONFIGS["BALANCED"]) -> DataFrame:
     """branches(key, event_id, t (s), lat, lon, rms_us, condition, center_km): one branch for each event, by the cheapest
     path over the key's segments. Events without a credible branch, and segments without a path, have no row."""
     events = branches.groupBy("key", "event_id").agg(F.min("t").alias("t"))
@@ -217,11 +216,16 @@ def disambiguate(branches: DataFrame, rules: PathRules = CONFIGS["normal"]) -> D
             conds = [b.condition.to_numpy(float) for _, b in keep]
             for first, path, margin in fragments(times, places, conds, rules):
                 own = keep[first : first + len(path)]
-                single = [(len(b) == 1, float(b.condition.iloc[0])) for _, b in own]
-                seed = "STRONG" if any(u and c <= 30 for u, c in single) else "WEAK" if any(u for u, _ in single) else "SEQUENCE" if len(path) >= 3 and margin >= 0.1 else "NO_SEED"
+                alone = [float(b.condition.iloc[0]) for _, b in own if len(b) == 1]
+                seed = ("STRONG" if alone[0] <= 30 else "WEAK") if alone else "SEQUENCE" if len(path) >= 3 and margin >= 0.1 else "NO_SEED"
+                at = np.stack([places[first + k][p] for k, p in enumerate(path)])
+                dts = np.diff(times[first : first + len(path)])
+                v = np.diff(at, axis=0) / dts[:, None] if len(path) > 1 else np.zeros((0, 2))
+                a = np.linalg.norm(np.diff(v, axis=0), axis=1) / np.maximum((dts[1:] + dts[:-1]) / 2, 0.01) if len(v) > 1 else np.zeros(0)
+                smooth = not (np.linalg.norm(v, axis=1) > 400).any() and not (a > 10).any()
                 for (e, b), p in zip(own, path):
                     row = b.iloc[p]
-                    good = "REJECT" if seed == "NO_SEED" else "LOW" if seed == "SEQUENCE" else "HIGH" if row.condition <= 30 and margin >= 1 else "MEDIUM" if row.condition <= 70 and margin >= 0.1 else "LOW"
+                    good = "REJECT" if seed == "NO_SEED" else "LOW" if seed == "SEQUENCE" else "HIGH" if row.condition <= 30 and margin >= 1 and smooth else "MEDIUM" if row.condition <= 70 and margin >= 0.1 else "LOW"
                     out.append((keys[0], int(keys[1]), e, float(row.lat), float(row.lon), len(b), margin if math.isfinite(margin) else None, seed, good))
         return pd.DataFrame(out, columns=[c.split()[0] for c in PATHS.split(", ")])
 

@@ -65,4 +65,4 @@ class Planner:
 
     def report(self, request: planner.Request) -> dict:
         row = planner.summary(self.analyze(request)).first().asDict()
-        return {"summary": row, "assessment": planner.assessment(row), "areas": planner.coverage_areas(request).to_dict("records")}
+        return {"summary": row, "assessment": planner.assessment(row, request.geometry_strategy, len(request.enabled)), "areas": planner.coverage_areas(request).to_dict("records")}

@@ -165,10 +165,10 @@ def test_path_takes_the_smooth_branch():
     t = [float(k) for k in range(12)]
     true = [np.array([[200.0 * k, 0.0]]) for k in range(12)]
     places = [np.concatenate([p, p + [[60_000.0, 40_000.0 * (-1) ** k]]]) for k, p in enumerate(true)]
-    path, margin, _ = tracking.best_path(t, places, [np.array([12.0, 12.0])] * 12, tracking.CONFIGS["normal"])
+    path, margin, _ = tracking.best_path(t, places, [np.array([12.0, 12.0])] * 12, tracking.CONFIGS["BALANCED"])
     assert path == [0] * 12 and margin > 0
     broken = [p if k < 6 else p + 500_000.0 for k, p in enumerate(true)]
-    got = tracking.fragments(t, broken, [np.array([12.0])] * 12, tracking.CONFIGS["normal"])
+    got = tracking.fragments(t, broken, [np.array([12.0])] * 12, tracking.CONFIGS["BALANCED"])
     assert [(a, len(p)) for a, p, _ in got] == [(0, 6), (6, 6)]
 
 
