@@ -125,28 +125,34 @@ def fit(hist: np.ndarray, groups: list[np.ndarray], rounds: int = 300) -> list[n
 
 
 def plan(hist: dict[int, int], limit: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """((length, copies), ...) -> number of sequences, for a histogram of lengths 1 to limit."""
+    """((length, copies), ...) -> number of sequences, for a histogram of lengths 1 to limit. Repeats are rounded to the
+    nearest number, down, and (small histograms have such fits) to nothing; the plan of fewest sequences stands."""
     left = np.zeros(limit + 1, dtype=np.int64)
     for length, n in hist.items():
         left[length] = n
-    out: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    if left[limit]:
-        out.append((((limit, 1),), int(left[limit])))
-        left[limit] = 0
+    full = [(((limit, 1),), int(left[limit]))] if left[limit] else []
+    left[limit] = 0
     groups = patterns(list(np.flatnonzero(left)), limit)
-    if groups:
-        for p, x in zip(groups, fit(left.astype(float), groups)):
-            for i in np.argsort(-x, kind="stable"):
-                if x[i] < 0.5:
-                    break
-                need = defaultdict(int)
-                for length in p[i].tolist():
-                    need[length] += 1
-                n = min(int(round(x[i])), *(int(left[k]) // c for k, c in need.items()))
-                if n > 0:
-                    out.append((tuple(need.items()), n))
-                    for k, c in need.items():
-                        left[k] -= n * c
+    fitted = fit(left.astype(float), groups) if groups else []
+    tries = [_rounded(left, limit, groups, fitted, up) for up in (0.5, 0.0, None)]
+    return full + min(tries, key=lambda p: sum(n for _, n in p))
+
+
+def _rounded(left: np.ndarray, limit: int, groups: list[np.ndarray], fitted: list[np.ndarray], up: float | None) -> list:
+    """Patterns with repeats floor(x + up), no length overdrawn, and best fit for the rest."""
+    left, out = left.copy(), []
+    for p, x in zip(groups, fitted) if up is not None else ():
+        for i in np.argsort(-x, kind="stable"):
+            if x[i] + up < 1:
+                break
+            need = defaultdict(int)
+            for length in p[i].tolist():
+                need[length] += 1
+            n = min(int(x[i] + up), *(int(left[k]) // c for k, c in need.items()))
+            if n > 0:
+                out.append((tuple(need.items()), n))
+                for k, c in need.items():
+                    left[k] -= n * c
     return out + best_fit(left, limit)
 
 
