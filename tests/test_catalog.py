@@ -3,6 +3,7 @@
 import math
 import os
 
+import pandas as pd
 import pytest
 
 from skylattice import catalog
@@ -23,7 +24,7 @@ def duck():
 
 def plain(df):
     df = df[sorted(df.columns)].astype(object)
-    cell = lambda v: None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    cell = lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted(([cell(v) for v in r] for r in df.itertuples(index=False)), key=lambda r: [(v is None, str(v)) for v in r])
 
 
