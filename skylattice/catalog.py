@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import kernels, proxy
+from .plans import kernels, live, proxy
 
-QUERIES: dict = proxy.QUERIES | kernels.QUERIES
-ORACLE: dict[str, str] = proxy.ORACLE | kernels.ORACLE
+QUERIES: dict = proxy.QUERIES | kernels.QUERIES | live.QUERIES
+ORACLE: dict[str, str] = proxy.ORACLE | kernels.ORACLE | live.ORACLE
 FLAGSHIP = "cluster_membership"
