@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Fixed masks: 1 is compared, 0 ignored. Of one span, so that a position has all its words at hand.
 MASKS = ("110100110011", "111001010110")
 SPAN = len(MASKS[0])
@@ -20,6 +22,8 @@ WINDOW, AGREE = 20, 80
 AROUND = 40
 #: Seed tables up to so many rows are broadcast (32 bytes a row); larger ones join by shuffle.
 BROADCAST_SEEDS = 1_000_000
+#: Hits (40 bytes each) up to so many are taken to the documents; beyond, documents are shuffled to them.
+BROADCAST_HITS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -51,9 +55,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree:
     test = F.broadcast(test) if test.count() <= BROADCAST_SEEDS else test
     diagonal = (F.col("pos") - F.col("item_pos")).alias("diagonal")
     hits = seeds(d, "doc_id").join(test, "seed").groupBy("doc_id", "item_id", diagonal).agg(F.min("item_pos").alias("first"), F.max("item_pos").alias("last"))
-    hit_docs = hits.select(F.col("doc_id").alias("h_doc"), F.col("item_id").alias("h_item"), "diagonal", "first", "last")
+    hits = written(hits.select(F.col("doc_id").alias("h_doc"), F.col("item_id").alias("h_item"), "diagonal", "first", "last"))
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
     items = b.select(F.col("item_id").alias("b_item"), F.col("words").alias("item_words"))
-    both = hit_docs.join(items, F.col("h_item").eqNullSafe(F.col("b_item"))).join(d, F.col("h_doc").eqNullSafe(F.col("doc_id")))
+    both = d.join(hits, F.col("h_doc").eqNullSafe(F.col("doc_id"))).join(items, F.col("h_item").eqNullSafe(F.col("b_item")))
     lo = F.greatest(F.col("first") - AROUND, -F.col("diagonal"), F.lit(0))
     hi = F.least(F.col("last") + SPAN + AROUND, F.size("item_words"), F.size("words") - F.col("diagonal"))
     near = both.withColumns({"lo": lo, "n": hi - lo, "size": F.least(F.size("item_words"), F.lit(window))}).where("n >= size")
@@ -85,5 +90,6 @@ def _short(d: DataFrame, b: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without an overlap, columns as they were. Rows without a doc_id share one verdict."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
+    found = written(overlaps(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct())
+    found = F.broadcast(found) if found.count() <= BROADCAST_HITS else found
     return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")), "left_anti").select(*[docs[c] for c in docs.columns])
