@@ -9,11 +9,13 @@ that kernels see are short bursts, not whole keys, and the cut changes no result
 
 from __future__ import annotations
 
+import bisect
 import itertools
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,36 +45,48 @@ def normalise(frames: DataFrame, transforms: DataFrame) -> DataFrame:
 
 
 class Burst:
-    """Rows of one burst in seed order: by time, receiver rank, id."""
-
-    def __init__(self, pdf: pd.DataFrame, limits: np.ndarray, margin_us: float, ambiguity: float):
-        pdf = pdf.assign(_id=pdf["id"].astype(str)).sort_values(["norm", "rank", "_id"], kind="stable").reset_index(drop=True)
-        self.rows, self.norm, self.rank, self.ids = pdf, pdf["norm"].to_numpy(float), pdf["rank"].to_numpy(int), pdf["_id"].to_numpy(object)
-        self.limits, self.margin, self.ambiguity = limits, margin_us, ambiguity
-        self.reach = (limits.max() + margin_us) * TICKS_PER_US
-        self.free = np.ones(len(pdf), bool)
+    """Rows of one burst in seed order (time, receiver rank, id), as plain lists: bursts are short."""
+
+    def __init__(self, norm: list[float], rank: list[int], ids: list[str], limits: list[list[float]], margin_us: float, ambiguity: float):
+        self.norm, self.rank, self.ids = norm, rank, ids
+        self.ticks = [[(v + margin_us) * TICKS_PER_US for v in row] for row in limits]
+        self.reach = max(map(max, self.ticks))
+        self.ambiguity = ambiguity
+        self.free = [True] * len(norm)
+
+    @classmethod
+    def of(cls, pdf: pd.DataFrame, limits: np.ndarray, margin_us: float, ambiguity: float) -> Burst:
+        """From a frame in any order; `rows` is that frame in seed order."""
+        rows = pdf.assign(_id=pdf["id"].astype(str)).sort_values(["norm", "rank", "_id"], kind="stable").reset_index(drop=True)
+        out = cls(rows["norm"].astype(float).tolist(), rows["rank"].astype(int).tolist(), rows["_id"].tolist(), np.asarray(limits).tolist(), margin_us, ambiguity)
+        out.rows = rows
+        return out
 
     def physical(self, i: int, j: int) -> bool:
-        return abs(self.norm[i] - self.norm[j]) / TICKS_PER_US <= self.limits[self.rank[i], self.rank[j]] + self.margin
+        return abs(self.norm[i] - self.norm[j]) <= self.ticks[self.rank[i]][self.rank[j]]
 
     def nearest(self, pool: list[int], t: float) -> list[int]:
-        return sorted(pool, key=lambda k: (abs(self.norm[k] - t), self.ids[k]))
+        return pool if len(pool) == 1 else sorted(pool, key=lambda k: (abs(self.norm[k] - t), self.ids[k]))
 
     def around(self, seed: int) -> dict[int, list[int]]:
         """Free rows within reach of a seed, by receiver."""
-        lo, hi = np.searchsorted(self.norm, self.norm[seed] - self.reach, "left"), np.searchsorted(self.norm, self.norm[seed] + self.reach, "right")
+        t = self.norm[seed]
         out: dict[int, list[int]] = {}
-        for k in range(lo, hi):
+        for k in range(bisect.bisect_left(self.norm, t - self.reach), bisect.bisect_right(self.norm, t + self.reach)):
             if self.free[k]:
-                out.setdefault(int(self.rank[k]), []).append(k)
+                out.setdefault(self.rank[k], []).append(k)
         return out
 
+    def take(self, rows: list[int]) -> None:
+        for k in rows:
+            self.free[k] = False
+
     def greedy(self):
         """(verdict, rows) for each free seed in turn."""
         for seed in range(len(self.norm)):
             if not self.free[seed]:
                 continue
-            pools, t, mine = self.around(seed), self.norm[seed], int(self.rank[seed])
+            pools, t, mine = self.around(seed), self.norm[seed], self.rank[seed]
             chosen, verdict = {mine: seed}, None
             for r in sorted(pools):
                 if r == mine:
@@ -92,7 +106,7 @@ class Burst:
                 verdict = "cluster" if all(self.nearest(pools[b], self.norm[chosen[a]])[0] == chosen[b] for a, b in pairs) else "nonreciprocal"
             rows = [chosen[r] for r in sorted(chosen)]
             if verdict == "cluster":
-                self.free[rows] = False
+                self.take(rows)
             yield verdict, rows
 
     def combination(self):
@@ -102,7 +116,7 @@ class Burst:
             if not self.free[seed]:
                 continue
             pools = self.around(seed)
-            pools.pop(int(self.rank[seed]), None)
+            pools.pop(self.rank[seed], None)
             best: list[list[int]] = []
             for pick in itertools.product(*[[None, *pools[r]] for r in sorted(pools)]):
                 rows = [seed, *[k for k in pick if k is not None]]
@@ -111,7 +125,7 @@ class Burst:
                 best = [*best, rows] if best and len(rows) == len(best[0]) else [rows]
             if best:
                 if len(best) == 1:
-                    self.free[best[0]] = False
+                    self.take(best[0])
                 yield ("cluster" if len(best) == 1 else "ambiguous"), sorted(best[0], key=lambda k: self.rank[k])
 
     def strict(self, receivers: int):
@@ -130,7 +144,7 @@ class Burst:
             rows = [near[r][0] for r in sorted(near)]
             good = all(self.physical(i, j) for i, j in itertools.combinations(rows, 2)) and all(self.nearest(pools[self.rank[j]], self.norm[i])[0] == j for i, j in itertools.permutations(rows, 2))
             if good:
-                self.free[rows] = False
+                self.take(rows)
             yield ("cluster" if good else "inconsistent"), rows
 
 
@@ -149,19 +163,40 @@ def associate(observations: DataFrame, stations: list[Station], policy: str = "g
     shared = burst.groupBy("raw_hex", "segment").agg(F.min("rank").alias("_a"), F.max("rank").alias("_z")).where("_a < _z").select("raw_hex", "segment")
     burst = burst.join(shared, ["raw_hex", "segment"], "left_semi") if policy != "strict" else burst
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        b = Burst(pdf, limits, margin_us, ambiguity_ticks)
-        made = {"greedy": b.greedy, "combination": b.combination, "strict": lambda: b.strict(len(names))}[policy]()
+    table = limits.tolist()
+
+    def step(rows: list[list], a: int, z: int, out: list) -> None:
+        key, _, norm, rank, ids, utc, df, icao, family = (c[a:z] for c in rows)
+        b = Burst(norm, rank, ids, table, margin_us, ambiguity_ticks)
+        for verdict, picked in {"greedy": b.greedy, "combination": b.combination, "strict": lambda: b.strict(len(names))}[policy]():
+            first = min(picked)
+            members = [{"rank": rank[k], "station": names[rank[k]], "id": ids[k], "norm": norm[k], "utc_ns": utc[k]} for k in picked]
+            out.append({"transmission_key": key[0], "members": members, "df": df[first], "icao": icao[first], "family": family[first], "verdict": verdict})
+
+    def run(batches):
+        """Rows sorted by burst; a batch ends where its last burst may go on."""
+        held: list[list] = [[] for _ in cols]
+        for batch in batches:
+            held = [h + c.to_pylist() for h, c in zip(held, batch.columns)]
+            key, segment, n = held[0], held[1], len(held[0])
+            out, a = [], 0
+            for k in range(1, n):
+                if segment[k] != segment[k - 1] or key[k] != key[k - 1]:
+                    step(held, a, k, out)
+                    a = k
+            held = [h[a:] for h in held]
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
         out = []
-        for verdict, rows in made:
-            r = b.rows.iloc[rows]
-            members = [{"rank": int(k), "station": names[int(k)], "id": str(i), "norm": float(t), "utc_ns": int(u)} for k, i, t, u in zip(r["rank"], r["id"], r["norm"], r["utc_ns"])]
-            first = b.rows.iloc[min(rows)]
-            out.append((key[0], members, None if pd.isna(first["df"]) else int(first["df"]), first["icao"], first["family"], verdict))
-        return pd.DataFrame(out, columns=["transmission_key", "members", "df", "icao", "family", "verdict"])
-
-    cols = ["id", "station", "rank", "norm", "utc_ns", "raw_hex", "df", "icao", "family", "segment"]
-    found = burst.select(*cols).groupBy("raw_hex", "segment").applyInPandas(run, CLUSTER_ROWS)
+        if held[0]:
+            step(held, 0, len(held[0]), out)
+        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    member = pa.struct([("rank", pa.int32()), ("station", pa.string()), ("id", pa.string()), ("norm", pa.float64()), ("utc_ns", pa.int64())])
+    arrow = pa.schema([("transmission_key", pa.string()), ("members", pa.list_(member)), ("df", pa.int32()), ("icao", pa.string()), ("family", pa.string()), ("verdict", pa.string())])
+    cols = ["raw_hex", "segment", "norm", "rank", "id", "utc_ns", "df", "icao", "family"]
+    order = ["raw_hex", "segment", "norm", "rank", "id"]
+    typed = burst.select("raw_hex", F.col("segment").cast("long"), F.col("norm").cast("double"), F.col("rank").cast("int"), F.col("id").cast("string"), F.col("utc_ns").cast("long"), F.col("df").cast("int"), "icao", "family")
+    found = typed.repartition("raw_hex", "segment").sortWithinPartitions(*order).mapInArrow(run, CLUSTER_ROWS)
     ids = cluster_id(F.col("transmission_key"), F.transform("members", lambda m: F.concat(m["station"], F.lit(":"), m["id"])))
     receivers = F.transform("members", lambda m: m["station"])
     return found.select(

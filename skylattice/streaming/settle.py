@@ -32,7 +32,7 @@ def settle_associate(observations: DataFrame, stations: list[Station], settings:
     settle_ms, age_ms = max(1, int(settings.settle_s * 1000)), int(settings.max_age_s * 1000)
 
     def emit(key, held: list[dict]) -> pd.DataFrame:
-        b = Burst(pd.DataFrame(held, columns=COLUMNS), limits, settings.margin_us, settings.ambiguity_ticks)
+        b = Burst.of(pd.DataFrame(held, columns=COLUMNS), limits, settings.margin_us, settings.ambiguity_ticks)
         out = []
         for verdict, picked in b.greedy():
             if verdict != "cluster":

@@ -66,13 +66,13 @@ def test_bursts_give_what_whole_keys_give():
     limits = association.limits_us(CLOSE)
     rows = [(f"{k}", rng.randrange(5), float(rng.randrange(0, 30_000))) for k in range(300)]
     pdf = pd.DataFrame(rows, columns=["id", "rank", "norm"]).assign(utc_ns=0, df=None, icao=None, family=None)
-    whole = [sorted(pdf_.rows.iloc[r]["id"]) for pdf_ in [association.Burst(pdf, limits, 3.0, 6.0)] for v, r in pdf_.greedy() if v == "cluster"]
+    whole = [sorted(pdf_.rows.iloc[r]["id"]) for pdf_ in [association.Burst.of(pdf, limits, 3.0, 6.0)] for v, r in pdf_.greedy() if v == "cluster"]
     reach = (limits.max() + 3.0) * 12
     s = pdf.sort_values("norm")
     parts = (s["norm"].diff() > reach).cumsum()
     cut = []
     for _, g in s.groupby(parts):
-        b = association.Burst(g, limits, 3.0, 6.0)
+        b = association.Burst.of(g, limits, 3.0, 6.0)
         cut += [sorted(b.rows.iloc[r]["id"]) for v, r in b.greedy() if v == "cluster"]
     assert sorted(whole) == sorted(cut) and len(whole) > 10
 
