@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,11 +128,6 @@ class PathRules:
 CONFIGS = {"CONSERVATIVE": PathRules(5.0, 350.0, 420.0, 8.0, 20.0, 1500.0, 1.0, 0.15), "BALANCED": PathRules(), "PERMISSIVE": PathRules(20.0, 450.0, 500.0, 15.0, 30.0, 2500.0, 0.75, 0.30)}
 
 
-def credible(b: pd.DataFrame) -> pd.DataFrame:
-    """The branches of one event that a path may use."""
-    return b[(b.center_km <= 1500) & (b.rms_us <= b.rms_us.min() + 0.01) & (b.condition <= 1e6)]
-
-
 def _plane(lat, lon, lat0, lon0):
     return np.stack([(np.asarray(lon) - lon0) * LON_M * math.cos(math.radians(lat0)), (np.asarray(lat) - lat0) * LAT_M], 1)
 
@@ -201,35 +197,68 @@ def disambiguate(branches: DataFrame, rules: PathRules = CONFIGS["BALANCED"]) ->
     events = branches.groupBy("key", "event_id").agg(F.min("t").alias("t"))
     segment = gap_segments(events, ["key"], "t", rules.gap_s, ["event_id"]).select("key", "event_id", "segment")
 
-    def run(keys, pdf: pd.DataFrame) -> pd.DataFrame:
-        steps = [(e, credible(b)) for e, b in pdf.sort_values(["t", "event_id"]).groupby("event_id", sort=False)]
-        steps = [(e, b) for e, b in steps if len(b)]
-        keep: list = []
-        for e, b in steps:  # one event a moment
-            if not keep or b.t.iloc[0] > keep[-1][1].t.iloc[0]:
-                keep.append((e, b))
+    def step(rows: list[list], a: int, z: int, out: list) -> None:
+        key, segment, event, t, lat, lon, rms, cond, centre = (c[a:z] for c in rows)
+        events: list[list[int]] = []
+        for k in range(len(event)):
+            if k and event[k] == event[k - 1]:
+                events[-1].append(k)
+            else:
+                events.append([k])
+        keep: list[list[int]] = []
+        for own in events:
+            least = min(rms[k] for k in own) + 0.01
+            own = [k for k in own if centre[k] <= 1500 and rms[k] <= least and cond[k] <= 1e6]
+            if own and (not keep or t[own[0]] > t[keep[-1][0]]):  # one event a moment
+                keep.append(own)
+        if not keep:
+            return
+        lat0, lon0 = lat[keep[0][0]], lon[keep[0][0]]
+        times = [t[own[0]] for own in keep]
+        places = [_plane([lat[k] for k in own], [lon[k] for k in own], lat0, lon0) for own in keep]
+        conds = [np.array([cond[k] for k in own]) for own in keep]
+        for first, path, margin in fragments(times, places, conds, rules):
+            mine = keep[first : first + len(path)]
+            alone = [cond[own[0]] for own in mine if len(own) == 1]
+            seed = ("STRONG" if alone[0] <= 30 else "WEAK") if alone else "SEQUENCE" if len(path) >= 3 and margin >= 0.1 else "NO_SEED"
+            smooth = _smooth(times[first : first + len(path)], [places[first + k][p] for k, p in enumerate(path)])
+            for own, p in zip(mine, path):
+                k = own[p]
+                good = "REJECT" if seed == "NO_SEED" else "LOW" if seed == "SEQUENCE" else "HIGH" if cond[k] <= 30 and margin >= 1 and smooth else "MEDIUM" if cond[k] <= 70 and margin >= 0.1 else "LOW"
+                out.append({"key": key[0], "segment": segment[0], "event_id": event[k], "lat": lat[k], "lon": lon[k], "branches": len(own), "margin": margin if math.isfinite(margin) else None, "seed": seed, "quality": good})
+
+    def run(batches):
+        """Rows sorted by segment; a batch ends where its last segment may go on."""
+        held: list[list] = [[] for _ in cols]
+        for batch in batches:
+            held = [h + c.to_pylist() for h, c in zip(held, batch.columns)]
+            out, a = [], 0
+            for k in range(1, len(held[0])):
+                if held[1][k] != held[1][k - 1] or held[0][k] != held[0][k - 1]:
+                    step(held, a, k, out)
+                    a = k
+            held = [h[a:] for h in held]
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
         out = []
-        if keep:
-            lat0, lon0 = float(keep[0][1].lat.iloc[0]), float(keep[0][1].lon.iloc[0])
-            times = [float(b.t.iloc[0]) for _, b in keep]
-            places = [_plane(b.lat, b.lon, lat0, lon0) for _, b in keep]
-            conds = [b.condition.to_numpy(float) for _, b in keep]
-            for first, path, margin in fragments(times, places, conds, rules):
-                own = keep[first : first + len(path)]
-                alone = [float(b.condition.iloc[0]) for _, b in own if len(b) == 1]
-                seed = ("STRONG" if alone[0] <= 30 else "WEAK") if alone else "SEQUENCE" if len(path) >= 3 and margin >= 0.1 else "NO_SEED"
-                at = np.stack([places[first + k][p] for k, p in enumerate(path)])
-                dts = np.diff(times[first : first + len(path)])
-                v = np.diff(at, axis=0) / dts[:, None] if len(path) > 1 else np.zeros((0, 2))
-                a = np.linalg.norm(np.diff(v, axis=0), axis=1) / np.maximum((dts[1:] + dts[:-1]) / 2, 0.01) if len(v) > 1 else np.zeros(0)
-                smooth = not (np.linalg.norm(v, axis=1) > 400).any() and not (a > 10).any()
-                for (e, b), p in zip(own, path):
-                    row = b.iloc[p]
-                    good = "REJECT" if seed == "NO_SEED" else "LOW" if seed == "SEQUENCE" else "HIGH" if row.condition <= 30 and margin >= 1 and smooth else "MEDIUM" if row.condition <= 70 and margin >= 0.1 else "LOW"
-                    out.append((keys[0], int(keys[1]), e, float(row.lat), float(row.lon), len(b), margin if math.isfinite(margin) else None, seed, good))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PATHS.split(", ")])
-
-    return branches.join(segment, ["key", "event_id"]).groupBy("key", "segment").applyInPandas(run, PATHS)
+        if held[0]:
+            step(held, 0, len(held[0]), out)
+        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    s, f, i = pa.string(), pa.float64(), pa.int64()
+    arrow = pa.schema([("key", s), ("segment", i), ("event_id", s), ("lat", f), ("lon", f), ("branches", pa.int32()), ("margin", f), ("seed", s), ("quality", s)])
+    cols = ["key", "segment", "event_id", "t", "lat", "lon", "rms_us", "condition", "center_km"]
+    rows = branches.join(segment, ["key", "event_id"]).select(F.col("key").cast("string"), F.col("segment").cast("long"), F.col("event_id").cast("string"), *[F.col(c).cast("double") for c in cols[3:]])
+    return rows.repartition("key", "segment").sortWithinPartitions("key", "segment", "t", "event_id", "rms_us").mapInArrow(run, PATHS)
+
+
+def _smooth(times: list[float], at: list[np.ndarray]) -> bool:
+    """No speed above 400 m/s and no acceleration above 10 m/s2 along a path."""
+    if len(at) < 2:
+        return True
+    dt = np.diff(times)
+    v = np.diff(np.stack(at), axis=0) / dt[:, None]
+    a = np.linalg.norm(np.diff(v, axis=0), axis=1) / np.maximum((dt[1:] + dt[:-1]) / 2, 0.01)
+    return not (np.linalg.norm(v, axis=1) > 400).any() and not (a > 10).any()
 
 
 # --- yield and comparison -------------------------------------------------------------------------
