@@ -308,16 +308,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
     sig = written(signatures(docs))
     n = range(WIDE // 64)
     classes = sig.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(f"{k}{i}").alias(f"{k}{i}") for k in "wg" for i in n])
-    classes = written(classes)
+    nameless = F.col("node").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))  # beyond all ids: never the smallest of a group with one
+    classes = written(classes.withColumn("name", F.coalesce("least", nameless)))
     masks = [_signed(m) for m in first_masks()]
     slots = F.explode(F.array(*[F.struct(F.lit(8 * i + k).alias("slot"), F.col(f"w{i}").bitwiseAND(F.lit(m)).alias("key")) for i in n for k, m in enumerate(masks)])).alias("s")
-    rows = classes.select("node", *[f"g{i}" for i in n], slots).select("s.slot", "s.key", "node", *[f"g{i}" for i in n])
-    order = ["slot", "key", *[f"g{i}" for i in n], "node"]
+    rows = classes.select("name", *[f"g{i}" for i in n], slots).select("s.slot", "s.key", "name", *[f"g{i}" for i in n])
+    order = ["slot", "key", *[f"g{i}" for i in n], "name"]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     edges = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_near(most_bits()), "a long, b long")
-    root = connected_components(edges)
-    rooted = classes.select("node", "least").join(root.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    root = connected_components(edges).select(F.col("node").alias("name"), "root")  # smallest id that links reach
+    component = F.coalesce("root", "name")
+    ids = classes.select("node", "name").join(root, "name", "left").select("node", F.when(component < (1 << 62), component).alias("component_id"))
     return sig.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
 
 
