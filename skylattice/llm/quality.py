@@ -112,11 +112,11 @@ def _wide(q: DataFrame, keys: list[str], k: str) -> DataFrame:
     return q.groupBy(*[F.col(c).alias(f"{k}_{c}") for c in keys]).agg(*cells)
 
 
-def judge(counted: DataFrame) -> DataFrame:
-    """Adds base_failed and kept to a written table of with_counts(). A document without language or
-    source is in the group of such documents. Where no document passes the base rule there are no
-    thresholds, and none is kept."""
-    limits = thresholds(counted)
+def judge(counted: DataFrame, base: DataFrame) -> DataFrame:
+    """Adds base_failed and kept to rows of with_counts(); thresholds come from base, a written table of such
+    rows. A document without language or source is in the group of such documents. Where no document
+    passes the base rule there are no thresholds, and none is kept."""
+    limits = thresholds(base)
     n = limits.count()
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[c for c in limits.columns if c not in ("lang", "source")])
     limits = F.broadcast(limits) if n <= BROADCAST_GROUPS else limits
@@ -134,12 +134,14 @@ def rules(docs: DataFrame) -> DataFrame:
     each row of docs(doc_id, text, lang, source); repeated rows each have one, other columns are ignored."""
     need = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"))
     counted = written(with_counts(need).drop("text"))
-    return judge(counted).select("doc_id", *COUNTS[:-1], "base_failed", "kept", "n_lines")
+    return judge(counted, counted).select("doc_id", *COUNTS[:-1], "base_failed", "kept", "n_lines")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with the columns they came with."""
+    """The rows of docs that are kept, with the columns they came with. Texts are counted twice, for the thresholds
+    and for the verdicts: a written copy of them would cost more than that."""
     mine = ["base_failed", "kept", *COUNTS]
     own = docs.withColumns({f"_own_{c}": F.col(c) for c in mine if c in docs.columns}).drop(*mine)
-    kept = judge(written(with_counts(own))).where("kept").drop(*mine)
+    counted = with_counts(own)
+    kept = judge(counted, written(counted.select("lang", "source", *COUNTS))).where("kept").drop(*mine)
     return kept.select(*[F.col(f"_own_{c}").alias(c) if c in mine else F.col(c) for c in docs.columns])
