@@ -204,8 +204,8 @@ def components(docs: DataFrame, n: int = 3, cap: int = CAP) -> DataFrame:
 NEAR_WORDS, NEAR_SIMILARITY, WIDE = 5, 0.8, 256
 #: Standard errors of the estimate by which pairs just below still count.
 NEAR_ERRORS = 1.0
-#: Each row is compared with so many rows before it under a key, in signature order.
-NEIGHBOURS = 256
+#: Keys of up to so many times CAP rows are compared block by block; larger ones are split by bits first.
+BLOCKS = 16
 _DIGESTS_KEPT = 200_000
 
 
@@ -265,57 +265,120 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _near(limit: int):
-    """Rows sorted by (slot, key, signature): a forest of pairs within the limit, each row against the
-    NEIGHBOURS before it under its key. Only those are held."""
+    """Rows (met, node, signature) sorted by met: a forest of pairs within the limit for each run of equal
+    met, all rows of a run against each other."""
 
     def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
+        rest = None
+        for batch in _and_none(batches):
+            if batch is not None:
+                new = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
+                rest = new if rest is None else np.concatenate([rest, new], 1)
+                same = rest[0] == rest[0, -1] if rest.shape[1] else np.zeros(0, bool)
+                done = int(rest.shape[1] - same[::-1].argmin()) if not same.all() else 0
+                now, rest = rest[:, :done], rest[:, done:]
+            else:
+                now = rest
+            if now is None or not now.shape[1]:
                 continue
-            new = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(batch.num_columns)])
-            rows = new if held is None else np.concatenate([held, new], 1)
-            old = rows.shape[1] - new.shape[1]
-            slot, key, node = rows[:3]
-            sig = rows[3:].view(np.uint64)
-            run_no = np.cumsum(np.r_[True, (slot[1:] != slot[:-1]) | (key[1:] != key[:-1])])
-            later, step, pairs = np.arange(old, rows.shape[1]), 1, []
-            while step <= NEIGHBOURS:
-                later = later[later >= step]
-                later = later[run_no[later] == run_no[later - step]]
-                if not len(later):
+            met, node, sig = now[0], now[1], now[2:].view(np.uint64)
+            alive, step, part = np.arange(len(met)), 1, np.arange(len(met))
+            while True:
+                alive = alive[alive + step < len(met)]
+                alive = alive[met[alive] == met[alive + step]]
+                if not len(alive):
                     break
-                d = _bits(sig[:, later] ^ sig[:, later - step]).astype(np.int64).sum(0)
-                good = later[d <= limit]
-                pairs.append(np.stack([good, good - step]))
+                apart = alive[part[alive] != part[alive + step]]
+                d = _bits(sig[:, apart] ^ sig[:, apart + step]).astype(np.int64).sum(0)
+                good = apart[d <= limit]
+                if len(good):
+                    yield _joined(part, node, good, good + step)
                 step += 1
-            if pairs:
-                yield _forest(node, np.concatenate(pairs, 1))
-            held = rows[:, -NEIGHBOURS:]
 
     return run
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def _joined(part: np.ndarray, node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """Of these pairs, those that join two parts; part names each row's part and is brought up to date."""
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = p
+        return x
+
+    a, b = [], []
+    for x, y in zip(i.tolist(), j.tolist()):
+        p, q = find(int(part[x])), find(int(part[y]))
+        if p != q:
+            parent[p] = q
+            a.append(min(int(node[x]), int(node[y])))
+            b.append(max(int(node[x]), int(node[y])))
+    to = np.arange(len(part))
+    old = list(parent)
+    to[old] = [find(x) for x in old]
+    part[:] = to[part]
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _slots(classes: DataFrame) -> DataFrame:
+    """A row for each class and key: met (digest of the key), mask and w (its word of the signature)."""
+    masks = [_signed(m) for m in first_masks()]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("word"), F.lit(m).cast("long").alias("mask"), F.col(f"w{i}").alias("w")) for i in range(WIDE // 64) for m in masks])).alias("s")
+    return _keys(classes.select("node", *[f"g{i}" for i in range(WIDE // 64)], each).select("*", "s.*").drop("s"))
+
+
+def _keys(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("met", F.xxhash64("word", "mask", F.col("w").bitwiseAND(F.col("mask"))))
+
+
+def candidates(classes: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all pairs of classes which meet under a key and are within the limit.
+
+    A key of more than cap rows is cut into blocks, and each pair of blocks is compared: no pair of its
+    rows is left out. One of more than blocks * cap is dealt again by the bits its mask leaves open, as in
+    links(), until few are open.
+    """
+    parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    g = [f"g{i}" for i in range(WIDE // 64)]
+    out, rows = None, _slots(classes)
+    for level in range(1, 6):
+        sizes = rows.groupBy("met").agg(F.count("*").alias("n")).where(f"n > {cap}")
+        large = written(sizes.select("met", F.ceil(F.col("n") / cap).cast("long").alias("blocks")))
+        more = level < 5 and large.where(f"blocks > {blocks}").limit(1).count() > 0
+        small = F.broadcast(large) if large.count() <= 100_000 else large
+        dealt = rows.join(small, "met", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.where(f"blocks <= {blocks}") if more else dealt
+        dealt = dealt.select("*", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        pair = F.when(F.col("blocks") == 1, F.col("met")).otherwise(F.xxhash64("met", F.least("own", "other"), F.greatest("own", "other")))
+        met = dealt.select(pair.alias("met"), "node", *g).repartition(parts, "met").sortWithinPartitions("met", *g, "node").mapInArrow(_near(most_bits()), "a long, b long")
+        out = met if out is None else out.union(met)
+        if not more:
+            break
+        split = F.udf(lambda m: [_signed((m & (1 << 64) - 1) | p) for p in _part_masks(~m & (1 << 64) - 1, 4)], T.ArrayType(T.LongType()))
+        over = rows.join(small, "met").where(f"blocks > {blocks}").select("node", "word", "mask", "w", *g)
+        finer = written(over.select("mask").distinct().select("mask", F.explode(split("mask")).alias("finer")))
+        rows = written(_keys(over.join(F.broadcast(finer), "mask").drop("mask").withColumnRenamed("finer", "mask").distinct()))
+    return out.distinct()
+
+
+def near_groups(docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, component_id: documents whose sets of five-word shingles have a similarity of 0.8 or more are linked.
 
     Equal word sequences are one class. Classes meet where a segment and a half of the next agree in one of
     four SimHashes of their word sets; what is compared is a 256-bit SimHash of their shingle sets, within one
-    standard error. Keys are dealt by range of (key, signature), so that a large group of near copies
-    spreads over tasks; its members are compared in signature order, under every key they share.
+    standard error. Keys are dealt by their digest, so that none is cut between tasks, and all rows of a key
+    are compared (see candidates()).
     """
-    spark = docs.sparkSession
     sig = written(signatures(docs))
     n = range(WIDE // 64)
     classes = sig.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(f"{k}{i}").alias(f"{k}{i}") for k in "wg" for i in n])
     nameless = F.col("node").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))  # beyond all ids: never the smallest of a group with one
     classes = written(classes.withColumn("name", F.coalesce("least", nameless)))
-    masks = [_signed(m) for m in first_masks()]
-    slots = F.explode(F.array(*[F.struct(F.lit(8 * i + k).alias("slot"), F.col(f"w{i}").bitwiseAND(F.lit(m)).alias("key")) for i in n for k, m in enumerate(masks)])).alias("s")
-    rows = classes.select("name", *[f"g{i}" for i in n], slots).select("s.slot", "s.key", "name", *[f"g{i}" for i in n])
-    order = ["slot", "key", *[f"g{i}" for i in n], "name"]
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    edges = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_near(most_bits()), "a long, b long")
+    edges = written(candidates(classes, cap, blocks))
+    name = lambda c: classes.select(F.col("node").alias(c), F.col("name").alias(f"{c}_name"))
+    edges = edges.join(name("a"), "a").join(name("b"), "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
     root = connected_components(edges).select(F.col("node").alias("name"), "root")  # smallest id that links reach
     component = F.coalesce("root", "name")
     ids = classes.select("node", "name").join(root, "name", "left").select("node", F.when(component < (1 << 62), component).alias("component_id"))

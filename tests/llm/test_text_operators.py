@@ -238,3 +238,21 @@ def test_near_groups_and_keep_one(spark):
     assert all(family.get(d) == family.get(c) for d, c in got.items()) and got[901] == got[900] == 900
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter([None, *{c for c in got.values()}])
+
+
+def _classes(spark, rng, n):
+    """n classes under one key of each word, the first two of a pair 39 bits apart in the shingles' signature."""
+    sig = [[rng.getrandbits(64) for _ in range(4)] for _ in range(n)]
+    flips = rng.sample(range(256), 39)
+    sig[1] = [w ^ sum(1 << b % 64 for b in flips if b // 64 == i) for i, w in enumerate(sig[0])]
+    order = rng.sample(range(n), n)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = [(k, *[(k * 7 if k > 1 else 0) % 1024 << 54 & (1 << 63) - 1] * 4, *map(signed, sig[k])) for k in order]
+    return spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ["node", *[f"{k}{i}" for k in "wg" for i in range(4)]]))
+
+
+@pytest.mark.parametrize("cap, blocks", [(300, 16), (100, 2)])
+def test_pairs_meet_in_large_keys(spark, cap, blocks):
+    rng = random.Random(cap)
+    got = simhash.candidates(_classes(spark, rng, 1500), cap, blocks).collect()
+    assert [(r.a, r.b) for r in got] == [(0, 1)]
