@@ -202,8 +202,10 @@ def components(docs: DataFrame, n: int = 3, cap: int = CAP) -> DataFrame:
 
 #: Words of a shingle, least similarity of the shingle sets, and bits of the signature that estimates it.
 NEAR_WORDS, NEAR_SIMILARITY, WIDE = 5, 0.8, 256
-#: Standard errors of the estimate by which pairs just below still count.
-NEAR_ERRORS = 1.0
+#: Standard errors of the estimate by which pairs just below are still candidates for the exact comparison.
+NEAR_ERRORS = 3.0
+#: Documents of candidates up to so many are picked by broadcast (8 bytes each); more by shuffle.
+BROADCAST_NAMES = 1_000_000
 #: Keys of up to so many times CAP rows are compared block by block; larger ones are split by bits first.
 BLOCKS = 16
 _DIGESTS_KEPT = 200_000
@@ -264,9 +266,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _near(limit: int):
-    """Rows (met, node, signature) sorted by met: a forest of pairs within the limit for each run of equal
-    met, all rows of a run against each other."""
+def _near(limit: int, every: bool):
+    """Rows (met, node, root, signature) sorted by met: pairs within the limit and of different roots, all rows
+    of a run of equal met against each other. Every such pair, or else a forest of them for each run."""
 
     def run(batches):
         rest = None
@@ -281,8 +283,8 @@ def _near(limit: int):
                 now = rest
             if now is None or not now.shape[1]:
                 continue
-            met, node, sig = now[0], now[1], now[2:].view(np.uint64)
-            alive, step, part = np.arange(len(met)), 1, np.arange(len(met))
+            met, node, sig = now[0], now[1], now[3:].view(np.uint64)
+            alive, step, part = np.arange(len(met)), 1, now[2].copy() if every else np.arange(len(met))
             while True:
                 alive = alive[alive + step < len(met)]
                 alive = alive[met[alive] == met[alive + step]]
@@ -291,7 +293,10 @@ def _near(limit: int):
                 apart = alive[part[alive] != part[alive + step]]
                 d = _bits(sig[:, apart] ^ sig[:, apart + step]).astype(np.int64).sum(0)
                 good = apart[d <= limit]
-                if len(good):
+                if len(good) and every:
+                    x, y = node[good], node[good + step]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                elif len(good):
                     yield _joined(part, node, good, good + step)
                 step += 1
 
@@ -326,15 +331,16 @@ def _slots(classes: DataFrame) -> DataFrame:
     """A row for each class and key: met (digest of the key), mask and w (its word of the signature)."""
     masks = [_signed(m) for m in first_masks()]
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("word"), F.lit(m).cast("long").alias("mask"), F.col(f"w{i}").alias("w")) for i in range(WIDE // 64) for m in masks])).alias("s")
-    return _keys(classes.select("node", *[f"g{i}" for i in range(WIDE // 64)], each).select("*", "s.*").drop("s"))
+    return _keys(classes.select("node", "root", *[f"g{i}" for i in range(WIDE // 64)], each).select("*", "s.*").drop("s"))
 
 
 def _keys(rows: DataFrame) -> DataFrame:
     return rows.withColumn("met", F.xxhash64("word", "mask", F.col("w").bitwiseAND(F.col("mask"))))
 
 
-def candidates(classes: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
-    """Pairs (a, b) of nodes that connect all pairs of classes which meet under a key and are within the limit.
+def candidates(classes: DataFrame, cap: int = CAP, blocks: int = BLOCKS, every: bool = False) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all pairs of classes which meet under a key and are within the limit;
+    with every, all such pairs whose classes differ in root.
 
     A key of more than cap rows is cut into blocks, and each pair of blocks is compared: no pair of its
     rows is left out. One of more than blocks * cap is dealt again by the bits its mask leaves open, as in
@@ -342,7 +348,7 @@ def candidates(classes: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> Data
     """
     parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     g = [f"g{i}" for i in range(WIDE // 64)]
-    out, rows = None, _slots(classes)
+    out, rows = None, _slots(classes if every else classes.withColumn("root", F.lit(0).cast("long")))
     for level in range(1, 6):
         sizes = rows.groupBy("met").agg(F.count("*").alias("n")).where(f"n > {cap}")
         large = written(sizes.select("met", F.ceil(F.col("n") / cap).cast("long").alias("blocks")))
@@ -352,23 +358,71 @@ def candidates(classes: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> Data
         dealt = dealt.where(f"blocks <= {blocks}") if more else dealt
         dealt = dealt.select("*", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
         pair = F.when(F.col("blocks") == 1, F.col("met")).otherwise(F.xxhash64("met", F.least("own", "other"), F.greatest("own", "other")))
-        met = dealt.select(pair.alias("met"), "node", *g).repartition(parts, "met").sortWithinPartitions("met", *g, "node").mapInArrow(_near(most_bits()), "a long, b long")
+        met = dealt.select(pair.alias("met"), "node", "root", *g).repartition(parts, "met").sortWithinPartitions("met", *g, "node").mapInArrow(_near(most_bits(), every), "a long, b long")
         out = met if out is None else out.union(met)
         if not more:
             break
         split = F.udf(lambda m: [_signed((m & (1 << 64) - 1) | p) for p in _part_masks(~m & (1 << 64) - 1, 4)], T.ArrayType(T.LongType()))
-        over = rows.join(small, "met").where(f"blocks > {blocks}").select("node", "word", "mask", "w", *g)
+        over = rows.join(small, "met").where(f"blocks > {blocks}").select("node", "root", "word", "mask", "w", *g)
         finer = written(over.select("mask").distinct().select("mask", F.explode(split("mask")).alias("finer")))
         rows = written(_keys(over.join(F.broadcast(finer), "mask").drop("mask").withColumnRenamed("finer", "mask").distinct()))
     return out.distinct()
 
 
+def shingle_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """node, grams (digests of the set of shingles) of the texts that need(node, least) asks for."""
+
+    def run(batches):
+        for batch in batches:
+            nodes, grams = [], []
+            for t in batch.column(0):
+                w = words(t.as_py())
+                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(w)))
+                parts = set(shingles(w, NEAR_WORDS))
+                grams.append(np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in parts), np.uint64, len(parts))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"])
+
+    ids = need.select(F.col("least").alias("_least")).where("_least is not null").distinct()
+    ids = F.broadcast(ids) if need.count() <= BROADCAST_NAMES else ids
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = d.join(ids, F.col("doc_id") == F.col("_least"), "left_semi")
+    if not need.where("least is null").isEmpty():
+        texts = texts.union(d.where("doc_id is null"))
+    return texts.select("text").mapInArrow(run, "node long, grams array<long>").join(need.select("node"), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
+
+
+def judged(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b, near of pairs(a, b): whether the sets of shingles have the similarity, exactly."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = written(shingle_sets(docs, written(classes.select("node", "least").join(nodes, "node", "left_semi"))))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    same = F.size(F.array_intersect("x", "y"))
+    return both.select("a", "b", (same * 100 >= (F.size("x") + F.size("y") - same) * round(100 * NEAR_SIMILARITY)).alias("near"))
+
+
+def near_pairs(classes: DataFrame, docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
+    """Confirmed pairs (a, b) of nodes that connect all candidates of the similarity.
+
+    First a forest of the candidates is judged. Where a pair of it fails, others that it stood for may hold:
+    all candidates whose classes are not connected by then are judged too.
+    """
+    first = written(judged(written(candidates(classes, cap, blocks)), classes, docs))
+    near = first.where("near").select("a", "b")
+    if first.where("not near").isEmpty():
+        return near
+    root = written(connected_components(near))
+    nodes = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).distinct()
+    open_ = written(classes.join(nodes, "node", "left_semi").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    rest = written(candidates(open_, cap, blocks, every=True).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    return near.union(judged(rest, classes, docs).where("near").select("a", "b"))
+
+
 def near_groups(docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, component_id: documents whose sets of five-word shingles have a similarity of 0.8 or more are linked.
 
     Equal word sequences are one class. Classes meet where a segment and a half of the next agree in one of
-    four SimHashes of their word sets; what is compared is a 256-bit SimHash of their shingle sets, within one
-    standard error. Keys are dealt by their digest, so that none is cut between tasks, and all rows of a key
+    four SimHashes of their word sets; those whose 256-bit SimHashes of the shingle sets are within three
+    standard errors are compared by the sets themselves. Keys are dealt by their digest, so that none is cut between tasks, and all rows of a key
     are compared (see candidates()).
     """
     sig = written(signatures(docs))
@@ -376,7 +430,7 @@ def near_groups(docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFr
     classes = sig.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(f"{k}{i}").alias(f"{k}{i}") for k in "wg" for i in n])
     nameless = F.col("node").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))  # beyond all ids: never the smallest of a group with one
     classes = written(classes.withColumn("name", F.coalesce("least", nameless)))
-    edges = written(candidates(classes, cap, blocks))
+    edges = written(near_pairs(classes, docs, cap, blocks))
     name = lambda c: classes.select(F.col("node").alias(c), F.col("name").alias(f"{c}_name"))
     edges = edges.join(name("a"), "a").join(name("b"), "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
     root = connected_components(edges).select(F.col("node").alias("name"), "root")  # smallest id that links reach

@@ -256,3 +256,29 @@ def test_pairs_meet_in_large_keys(spark, cap, blocks):
     rng = random.Random(cap)
     got = simhash.candidates(_classes(spark, rng, 1500), cap, blocks).collect()
     assert [(r.a, r.b) for r in got] == [(0, 1)]
+
+
+def test_near_groups_are_those_of_the_exact_similarity(spark):
+    rng = random.Random(9)
+    rows, sets = [], {}
+    for k in range(30):
+        base = [f"u{rng.randrange(3000)}" for _ in range(200)]
+        for c in range(6):  # about 1.0 down to 0.6
+            w = list(base)
+            for at in rng.sample(range(0, 200, 8), c):
+                w[at] = f"edit{k}x{c}x{at}"
+            rows.append((10 * k + c if k else None, " ".join(w)) if c else (10 * k, " ".join(w)))
+    rows += [(1000, rows[0][1]), (7, "other words under a number that repeats, and so on")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    named = {d: t for d, t in rows if d is not None and d >= 10 and d < 1000}
+    sets = {d: set(simhash.shingles(simhash.words(t), 5)) for d, t in named.items()}
+    root = {d: d for d in sets}
+    for _ in range(6):
+        for a in sets:
+            for b in range(a - a % 10, a):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(df).where("doc_id is not null").collect()}
+    wrong = [d for d in sets if got[d] != root[d]]
+    assert len({*root.values()}) > 45 and len(wrong) <= 0.01 * len(sets) and got[1000] == 0
+    assert all(root[d] <= got[d] for d in sets)  # nothing linked that is not near
