@@ -5,6 +5,9 @@ the mask leaves out may differ. Test items are hashed at every position, and so
 equal hashes join. A hit names a diagonal (document position minus item position); on it, the
 words around the hits are compared one by one, and a span counts as an overlap if a window of
 WINDOW words (the whole item, if shorter) agrees in at least AGREE percent.
+
+The masks miss some windows that agree so. What no window can do without is a run: with at most e
+words that differ, `size div (e + 1)` words in a row are equal. Runs of that length are seeds too.
 """
 
 from __future__ import annotations
@@ -44,18 +47,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree:
     """doc_id, item_id, matches, compared, doc_start, item_start: one row for each document and item
     that overlap, at their best diagonal (most matching words, then the first).
 
-    Items of fewer than SPAN words cannot be seeded: they are compared as a whole, by the hash of
-    all their words, and match only exactly. Items and documents without words match nothing. Rows
-    that repeat count once; rows without an id are compared as one document or item of that id.
+    Where hits of the masks alone show the overlap, they say what is compared; else those of the runs
+    do. Items and documents without words match nothing. Rows that repeat count once; rows without an id are compared as one document or item of that id.
     Other columns are ignored.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words"))
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
-    test = seeds(b, "item_id").select("item_id", F.col("pos").alias("item_pos"), "seed").distinct()
-    test = F.broadcast(test) if test.count() <= BROADCAST_SEEDS else test
-    diagonal = (F.col("pos") - F.col("item_pos")).alias("diagonal")
-    hits = seeds(d, "doc_id").join(test, "seed").groupBy("doc_id", "item_id", diagonal).agg(F.min("item_pos").alias("first"), F.max("item_pos").alias("last"))
-    hits = written(hits.select(F.col("doc_id").alias("h_doc"), F.col("item_id").alias("h_item"), "diagonal", "first", "last"))
+    b = b.withColumn("size", F.least(F.size("words"), F.lit(window))).withColumn("run", F.expr(f"int(size div (size * {100 - agree} div 100 + 1))"))
+    hits = _hits(d, b, SPAN, MASKS, F.lit(True))
+    for n in sorted(r.run for r in b.select("run").distinct().collect()):  # window lengths at most
+        hits = hits.union(_hits(d, b.where(F.col("run") == n), n, ("1" * n,), F.lit(False)))
+    # the region of the masks' hits alone, and that of all
+    region = lambda p: F.struct(p.alias("masked"), F.min(F.when(F.col("masked") | ~p, F.col("item_pos"))).alias("first"), F.max(F.when(F.col("masked") | ~p, F.col("item_pos"))).alias("last"))
+    hits = hits.groupBy("doc_id", "item_id", "diagonal").agg(F.array_distinct(F.array(region(F.lit(True)), region(F.lit(False)))).alias("r")).select("doc_id", "item_id", "diagonal", F.inline("r")).where("first is not null")
+    hits = written(hits.select(F.col("doc_id").alias("h_doc"), F.col("item_id").alias("h_item"), "diagonal", "masked", "first", "last"))
     hits = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
     items = b.select(F.col("item_id").alias("b_item"), F.col("words").alias("item_words"))
     both = d.join(hits, F.col("h_doc").eqNullSafe(F.col("doc_id"))).join(items, F.col("h_item").eqNullSafe(F.col("b_item")))
@@ -63,29 +68,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree:
     hi = F.least(F.col("last") + SPAN + AROUND, F.size("item_words"), F.size("words") - F.col("diagonal"))
     near = both.withColumns({"lo": lo, "n": hi - lo, "size": F.least(F.size("item_words"), F.lit(window))}).where("n >= size")
     same = F.zip_with(F.slice("words", F.col("lo") + F.col("diagonal") + 1, F.col("n")), F.slice("item_words", F.col("lo") + 1, F.col("n")), lambda x, y: (x == y).cast("int"))
-    near = near.select("doc_id", F.col("h_item").alias("item_id"), "diagonal", "lo", "n", "size", same.alias("same"))
+    near = near.select("doc_id", F.col("h_item").alias("item_id"), "masked", "diagonal", "lo", "n", "size", same.alias("same"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     starts = F.sequence(F.lit(0), F.col("n") - F.col("size"))
     good = F.exists(starts, lambda i: total(F.slice("same", i + 1, F.col("size"))) * 100 >= F.col("size") * agree)
-    found = near.where(good).select("doc_id", "item_id", total(F.col("same")).cast("long").alias("matches"), F.col("n").cast("long").alias("compared"), (F.col("lo") + F.col("diagonal")).cast("long").alias("doc_start"), F.col("lo").cast("long").alias("item_start"))
-    found = found.union(_short(d, b))
-    best = F.max(F.struct("matches", -F.col("doc_start"), -F.col("item_start"), "compared")).alias("m")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.matches", "m.compared", (-F.col("m.col2")).alias("doc_start"), (-F.col("m.col3")).alias("item_start"))
-
-
-def _short(d: DataFrame, b: DataFrame) -> DataFrame:
-    """Items below the span: each of their lengths is hashed over the documents and joined."""
-    short = b.where(F.size("words") < SPAN)
-    out = None
-    for n in sorted(r.n for r in short.select(F.size("words").alias("n")).distinct().collect()):  # SPAN - 1 lengths at most
-        mask = "1" * n
-        test = seeds(short.where(F.size("words") == n), "item_id", n, (mask,)).select("item_id", "seed")
-        test = F.broadcast(test) if test.count() <= BROADCAST_SEEDS else test
-        hit = seeds(d, "doc_id", n, (mask,)).join(test, "seed")
-        rows = hit.select("doc_id", "item_id", F.lit(n).cast("long").alias("matches"), F.lit(n).cast("long").alias("compared"), F.col("pos").cast("long").alias("doc_start"), F.lit(0).cast("long").alias("item_start"))
-        out = rows if out is None else out.union(rows)
-    empty = "doc_id long, item_id long, matches long, compared long, doc_start long, item_start long"
-    return out if out is not None else d.sparkSession.createDataFrame([], empty)
+    found = near.where(good).select("doc_id", "item_id", "masked", total(F.col("same")).cast("long").alias("matches"), F.col("n").cast("long").alias("compared"), (F.col("lo") + F.col("diagonal")).cast("long").alias("doc_start"), F.col("lo").cast("long").alias("item_start"))
+    best = F.max(F.struct("masked", "matches", -F.col("doc_start"), -F.col("item_start"), "compared")).alias("m")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.matches", "m.compared", (-F.col("m.col3")).alias("doc_start"), (-F.col("m.col4")).alias("item_start"))
+
+
+def _hits(d: DataFrame, b: DataFrame, span: int, masks: tuple[str, ...], masked: Column) -> DataFrame:
+    """doc_id, item_id, diagonal, item_pos, masked: equal seeds of documents and items."""
+    test = seeds(b, "item_id", span, masks).select("item_id", F.col("pos").alias("item_pos"), "seed").distinct()
+    test = F.broadcast(test) if test.count() <= BROADCAST_SEEDS else test
+    return seeds(d, "doc_id", span, masks).join(test, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", masked.alias("masked"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -282,3 +282,21 @@ def test_near_groups_are_those_of_the_exact_similarity(spark):
     wrong = [d for d in sets if got[d] != root[d]]
     assert len({*root.values()}) > 45 and len(wrong) <= 0.01 * len(sets) and got[1000] == 0
     assert all(root[d] <= got[d] for d in sets)  # nothing linked that is not near
+
+
+def test_every_overlap_at_the_stated_agreement_is_found(spark):
+    rng = random.Random(12)
+    docs, items = [], []
+    for k, n in enumerate([*range(5, 26), 33, 48, 59] * 3):
+        items.append([f"i{k}x{j}" for j in range(n)])
+        w, size = list(items[-1]), min(n, 20)
+        at = rng.randrange(n - size + 1)  # one window agrees as far as it must, nothing else does
+        w = [x if at <= j < at + size else "out" for j, x in enumerate(w)]
+        for j in rng.sample(range(at, at + size), size * 20 // 100):
+            w[j] = "sub"
+        docs.append((k, " ".join(["before"] * 25 + w + ["after"] * 25)))
+        w[next(j for j in range(at, at + size) if w[j] != "sub")] = "more"
+        docs.append((k + 1000, " ".join(["before"] * 25 + w + ["after"] * 25)))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(k, k) for k in range(len(items))}
