@@ -218,23 +218,42 @@ KINDS: list[tuple[str, str, Callable]] = [
     ("phone", r"(?<![\w+)])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?!\d)", north_american),
 ]
 _RULES = [(kind, re.compile(p, re.ASCII), rule) for kind, p, rule in KINDS]
+#: What may follow a value that is read shorter than its pattern goes.
+_ENDS = {"iban": re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])"), "card": re.compile(r"(?<=[0-9])(?![0-9-])"), "phone": re.compile(r"(?<=[0-9])(?![0-9])")}
+_IBAN_LENGTHS = dict(re.findall(r"([A-Z]{2})(\d\d)", "AD24AE23AL28AT20AZ28BA20BE16BG22BH22BR29BY28CH21CR22CY28CZ24DE22DK18DO28EE20ES24FI18FO18FR27GB22GE22GI23GL18GR27GT28HR21HU28IE22IL23IS26IT27JO30KW30KZ20LB28LI21LT20LU20LV21MC27MD24ME22MK19MR27MT31MU30NL18NO15PK24PL28PS29PT25QA29RO24RS22SA24SE24SI19SK24SM27TN24TR26VG24XK20"))
 _MAY = re.compile("[0-9@]|AKIA|(?i:password=|token|secret=)")
 
 
+def _readings(kind: str, pattern: re.Pattern, text: str, a: int, z: int) -> list[int]:
+    """Where a value that starts at a may end: the longest first, and of an account the country's length before that."""
+    if kind not in _ENDS:
+        return [z]
+    ends = [z, *(e.start() for e in reversed(list(_ENDS[kind].finditer(text, a + 1, z))) if e.start() < z and pattern.fullmatch(text, a, e.start()))]
+    if kind == "iban":
+        ends.sort(key=lambda e: len(text[a:e].replace(" ", "")) != int(_IBAN_LENGTHS.get(text[a : a + 2], 0)))
+    return ends
+
+
 def replace(text: str, f: Feistel, back: bool = False) -> tuple[str, list[str]]:
     """The text with pseudonyms, and the kinds of what was replaced, in page order. Of two values that
-    overlap, the one of the kind listed first is taken; what does not validate stays."""
+    overlap, the one of the kind listed first is taken. Where the longest reading of a value does not
+    validate, shorter ones from its start are tried, then later starts; what does not validate stays."""
     if not _MAY.search(text):
         return text, []
     taken: list[tuple[int, int, str, str]] = []
     for kind, pattern, rule in _RULES:
-        for m in pattern.finditer(text):
-            a, z = m.span()
-            if any(a < q and p < z for p, q, _, _ in taken):
-                continue
-            got = rule(f, m[0], back)
-            if got is not None:
-                taken.append((a, z, kind, got))
+        m = pattern.search(text)
+        while m:
+            a, at = m.start(), m.end() if kind not in _ENDS else m.start() + 1
+            for z in _readings(kind, pattern, text, a, m.end()):
+                if any(a < q and p < z for p, q, _, _ in taken):
+                    continue
+                got = rule(f, text[a:z], back)
+                if got is not None:
+                    taken.append((a, z, kind, got))
+                    at = z
+                    break
+            m = pattern.search(text, at)
     out, at = [], 0
     taken.sort()
     for a, z, _, got in taken:

@@ -54,6 +54,15 @@ def test_what_does_not_validate_stays(text):
     assert pii.replace(text, F) == (text, [])
 
 
+@pytest.mark.parametrize("value, before, after, kind", [
+    ("4111 1111 1111 1111", "", " 123", "card"), ("4111111111111111", "", " 12/27", "card"), ("4111 1111 1111 1111", "", " 12", "card"), ("4111111111111111", "12 ", "", "card"), ("4111 1111 1111 1111", "2024-02-29 ", "", "card"),
+    ("BE68539007547034", "", " EUR", "iban"), ("BE68 5390 0754 7034", "", " USD", "iban"), ("DE89 3704 0044 0532 0130 00", "", " EUR", "iban"), ("AT611904300234573201", "", " BANK", "iban"), ("+49 30 1234567", "", " 123456789", "phone"),
+])
+def test_values_before_and_after_other_words(value, before, after, kind):
+    new, kinds = pii.replace(f"see {before}{value}{after} again", F)
+    assert kind in kinds and value not in new and new.endswith(f"{after} again") and len(new) == len(f"see {before}{value}{after} again")
+
+
 def test_pseudonyms_on_a_table(spark):
     rows = [(1, "call +1 (988) 555-2485"), (1, "call +1 (988) 555-2485"), (2, None), (None, "a@b.co"), (3, "")]
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, n_values int")
