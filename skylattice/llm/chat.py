@@ -14,8 +14,12 @@ An argument {"$ref": id} stands for the result of that call.
 
 from __future__ import annotations
 
+import datetime
+import ipaddress
 import json
 import re
+import urllib.parse
+from fractions import Fraction
 
 import pandas as pd
 import pyarrow as pa
@@ -90,33 +94,123 @@ def parse(role: str | None, text: str | None) -> dict:
     return out | {"content": text}
 
 
-def valid(value, spec) -> bool:
-    """JSON-schema check of type, enum, const, required, properties, additionalProperties, items, minimum,
-    maximum, minLength, maxLength, minItems, maxItems and pattern. A {"$ref"} argument fits any schema."""
-    if spec is True or not isinstance(spec, dict) or (isinstance(value, dict) and set(value) == {"$ref"}):
+_ONE = {"additionalProperties", "items", "not", "contains", "propertyNames", "if", "then", "else"}
+_LIST = {"anyOf", "oneOf", "allOf", "prefixItems"}
+_NAMED = {"properties", "patternProperties", "$defs", "definitions", "dependentSchemas"}
+_PLAIN = {"type", "enum", "const", "required", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "format", "minItems", "maxItems", "uniqueItems", "minContains", "maxContains", "minProperties", "maxProperties", "dependentRequired", "$ref"}
+_NOTES = {"title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "$schema", "$comment"}
+
+
+def _date_time(v: str) -> bool:
+    return re.fullmatch(r"\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)", v, re.ASCII) is not None and datetime.datetime.fromisoformat(v.upper()) is not None
+
+
+FORMATS = {
+    "date": lambda v: re.fullmatch(r"\d{4}-\d\d-\d\d", v, re.ASCII) is not None and datetime.date.fromisoformat(v) is not None,
+    "date-time": _date_time,
+    "time": lambda v: _date_time("2000-01-01T" + v),
+    "email": lambda v: re.fullmatch(r"[^@\s]+@[^@\s]+", v) is not None,
+    "ipv4": lambda v: ipaddress.IPv4Address(v) is not None,
+    "ipv6": lambda v: "%" not in v and ipaddress.IPv6Address(v) is not None,
+    "uri": lambda v: re.fullmatch(r"[A-Za-z][A-Za-z0-9+.-]*:[!-~]*", v) is not None,
+    "uuid": lambda v: re.fullmatch(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", v) is not None,
+}
+
+
+def supported(spec) -> bool:
+    """Whether valid() knows all keywords, types and formats of a schema and of the schemas in it."""
+    if isinstance(spec, bool):
+        return True
+    if not isinstance(spec, dict) or set(spec) - _ONE - _LIST - _NAMED - _PLAIN - _NOTES or spec.get("format", "date") not in FORMATS or not str(spec.get("$ref", "#")).startswith("#"):
+        return False
+    inner = [spec[k] for k in _ONE if k in spec] + [x for k in _LIST for x in spec.get(k, [])] + [x for k in _NAMED for x in spec.get(k, {}).values()]
+    return all(map(supported, inner))
+
+
+def _same(a, b) -> bool:
+    """Equality of JSON: 1 is 1.0, but not true."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(v, b[k]) for k, v in a.items())
+    return a == b
+
+
+def _format(name: str, value: str) -> bool:
+    try:
+        return FORMATS[name](value)
+    except ValueError:
+        return False
+
+
+def _target(root, ref: str):
+    at = root
+    for part in ref[1:].split("/")[1:]:
+        part = urllib.parse.unquote(part).replace("~1", "/").replace("~0", "~")
+        at = at[int(part)] if isinstance(at, list) else at[part]
+    if ref[1:2] not in ("", "/") or not supported(at):
+        raise KeyError(ref)
+    return at
+
+
+def valid(value, spec) -> bool | None:
+    """JSON-schema check, of local references too; None where the schema cannot be judged: a keyword, type,
+    format or reference that is not known, or a malformed one. A {"$ref"} argument fits any schema."""
+    try:
+        return _fits(value, spec, spec) if supported(spec) else None
+    except (ArithmeticError, AttributeError, LookupError, RecursionError, TypeError, ValueError, re.error):
+        return None
+
+
+def _fits(value, spec, root) -> bool:
+    if isinstance(spec, bool) or (isinstance(value, dict) and set(value) == {"$ref"}):
         return spec is not False
     kinds = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+    fits = lambda v, s: _fits(v, s, root)
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
 
-    def fits(t: str) -> bool:
-        number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    def is_a(t: str) -> bool:
         if t in ("integer", "number"):
             return number and (t == "number" or float(value).is_integer())
-        return t not in kinds or isinstance(value, kinds[t])
+        return isinstance(value, kinds[t])
 
     types = spec.get("type", [])
     types = [types] if isinstance(types, str) else types
-    if types and not any(map(fits, types)) or "enum" in spec and value not in spec["enum"] or "const" in spec and value != spec["const"]:
+    if types and not any([is_a(t) for t in types]) or "enum" in spec and not any(_same(value, x) for x in spec["enum"]) or "const" in spec and not _same(value, spec["const"]):
+        return False
+    if "$ref" in spec and not fits(value, _target(root, spec["$ref"])):
+        return False
+    if not all([fits(value, s) for s in spec.get("allOf", [])]) or "anyOf" in spec and not any([fits(value, s) for s in spec["anyOf"]]):
+        return False
+    if "oneOf" in spec and sum(fits(value, s) for s in spec["oneOf"]) != 1 or "not" in spec and fits(value, spec["not"]):
+        return False
+    if "if" in spec and not fits(value, spec.get("then" if fits(value, spec["if"]) else "else", True)):
         return False
     if isinstance(value, dict):
-        props = spec.get("properties", {})
-        more = spec.get("additionalProperties", True)
-        return all(k in value for k in spec.get("required", [])) and all(valid(v, props[k] if k in props else more) for k, v in value.items())
+        props, patterns = spec.get("properties", {}), spec.get("patternProperties", {})
+        for k, v in value.items():
+            own = [props[k]] if k in props else []
+            own += [s for p, s in patterns.items() if re.search(p, k)]
+            if not all([fits(v, s) for s in own or [spec.get("additionalProperties", True)]]) or not fits(k, spec.get("propertyNames", True)):
+                return False
+        if not all(k in value for k in spec.get("required", [])) or not spec.get("minProperties", 0) <= len(value) <= spec.get("maxProperties", len(value)):
+            return False
+        return all(n in value for k, names in spec.get("dependentRequired", {}).items() if k in value for n in names) and all([fits(value, s) for k, s in spec.get("dependentSchemas", {}).items() if k in value])
     if isinstance(value, list):
-        return spec.get("minItems", 0) <= len(value) <= spec.get("maxItems", len(value)) and all(valid(v, spec.get("items", True)) for v in value)
+        first, more = spec.get("prefixItems", []), spec.get("items", True)
+        if not spec.get("minItems", 0) <= len(value) <= spec.get("maxItems", len(value)) or not all([fits(v, first[i] if i < len(first) else more) for i, v in enumerate(value)]):
+            return False
+        if spec.get("uniqueItems") and any(_same(v, w) for i, v in enumerate(value) for w in value[:i]):
+            return False
+        n = sum(fits(v, spec["contains"]) for v in value) if "contains" in spec else 0
+        return "contains" not in spec or spec.get("minContains", 1) <= n <= spec.get("maxContains", n)
     if isinstance(value, str):
-        return spec.get("minLength", 0) <= len(value) <= spec.get("maxLength", len(value)) and re.search(spec.get("pattern", ""), value) is not None
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        return spec.get("minimum", value) <= value <= spec.get("maximum", value)
+        return spec.get("minLength", 0) <= len(value) <= spec.get("maxLength", len(value)) and re.search(spec.get("pattern", ""), value) is not None and ("format" not in spec or _format(spec["format"], value))
+    if number:
+        within = spec.get("minimum", value) <= value <= spec.get("maximum", value) and ("exclusiveMinimum" not in spec or value > spec["exclusiveMinimum"]) and ("exclusiveMaximum" not in spec or value < spec["exclusiveMaximum"])
+        return within and ("multipleOf" not in spec or Fraction(str(value)) % Fraction(str(spec["multipleOf"])) == 0)
     return True
 
 
@@ -163,7 +257,7 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     conversations(conv_id, turn, role, text); ordering by conv_id, position, turn is a topological order.
 
     n_linked counts calls that a result answers, n_valid calls whose tool is declared once and
-    whose arguments fit; n_orphans counts results without a call. Of calls with one identifier in
+    whose arguments fit (where the schema cannot be judged, the message says valid: null); n_orphans counts results without a call. Of calls with one identifier in
     a conversation, the first (by turn, then place) owns the results. A null text is empty, null ids
     and turns are values like others, a call without identifier is never linked. Rows that repeat are
     formatted each; other columns are ignored.
@@ -182,7 +276,7 @@ def format_chat(conversations: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def check(args, spec, n):
-        return (n == 1) & [s is not None and valid(json.loads(a), json.loads(s)) for a, s in zip(args, spec)]
+        return pd.Series([valid(json.loads(a), json.loads(s)) if k == 1 and s is not None else False for a, s, k in zip(args, spec, n)], dtype=object)
 
     owns = F.col("owner").isNotNull() & (F.col("owner.row") == F.col("row")) & (F.col("owner.k") == F.col("k"))
     linked = linked.select("row", "k", "id", "name", "args", check("args", "spec", F.coalesce("n", F.lit(0))).alias("valid"), F.when(owns, F.col("answer.turn")).alias("answered"), (owns & F.col("answer").isNotNull()).alias("linked"))
@@ -201,7 +295,7 @@ def format_chat(conversations: DataFrame) -> DataFrame:
         for r, c, cs, rs in zip(role, content, calls, results):
             m: dict = {"role": r, "content": c}
             if cs is not None:
-                m["tool_calls"] = [{"id": x["id"], "name": x["name"], "arguments": json.loads(x["args"]), "valid": bool(x["valid"]), "linked": bool(x["linked"])} for x in cs]
+                m["tool_calls"] = [{"id": x["id"], "name": x["name"], "arguments": json.loads(x["args"]), "valid": x["valid"], "linked": bool(x["linked"])} for x in cs]
             if rs is not None:
                 m["tool_results"] = [{"tool_call_id": x["id"], "content": json.loads(x["content"]), "linked": bool(x["linked"])} for x in rs]
             out.append(canonical(m))

@@ -173,3 +173,25 @@ def test_tool_calls(spark):
 @pytest.mark.parametrize("value,spec,ok", [(1, {"type": "integer"}, True), (1.5, {"type": "integer"}, False), (True, {"type": "number"}, False), ([1, "a"], {"items": {"type": ["integer", "string"]}, "maxItems": 2}, True), ("ab", {"pattern": "^a", "maxLength": 1}, False), ({"a": 1}, {"properties": {"a": {"enum": [2]}}}, False), (None, {"type": "null"}, True), ({"$ref": "x"}, {"type": "integer"}, True), (3, False, False)])
 def test_schema_check(value, spec, ok):
     assert chat.valid(value, spec) is ok
+
+
+OPTIONAL = {"anyOf": [{"type": "integer"}, {"type": "null"}]}
+
+
+@pytest.mark.parametrize("value, spec, ok", [
+    ("x", OPTIONAL, False), (None, OPTIONAL, True), (3, {"oneOf": [{"minimum": 1}, {"maximum": 5}]}, False), ("a", {"allOf": [{"type": "string"}, {"minLength": 2}]}, False), (1, {"not": {"type": "integer"}}, False),
+    ({"a": "x"}, {"$defs": {"n": {"type": "integer"}}, "properties": {"a": {"$ref": "#/$defs/n"}}}, False), ({"a": {"a": 1}}, {"additionalProperties": {"$ref": "#"}, "type": "object"}, False), (5, {"exclusiveMinimum": 5}, False), (5, {"exclusiveMaximum": 5}, False),
+    (0.3, {"multipleOf": 0.1}, True), (0.35, {"multipleOf": 0.1}, False), ([1, 1.0], {"uniqueItems": True}, False), ([1, True], {"uniqueItems": True}, True), ({"x1": "s"}, {"patternProperties": {"^x": {"type": "integer"}}}, False),
+    (["s", 1], {"prefixItems": [{"type": "string"}], "items": {"type": "string"}}, False), ("2023-02-30", {"format": "date"}, False), ("2024-02-29", {"format": "date"}, True), (True, {"enum": [1]}, False), ({"a": 1}, {"dependentRequired": {"a": ["b"]}}, False),
+    (1, {"unevaluatedItems": False}, None), ("x", {"format": "own"}, None), (1, {"properties": {"a": {"minimun": 2}}}, None), ("x", {"pattern": "("}, None), (1, {"$ref": "other.json"}, None), (1, {"$ref": "#"}, None),
+])
+def test_schema_keywords(value, spec, ok):
+    assert chat.valid(value, spec) is ok
+
+
+def test_verdicts_in_a_message(spark):
+    tools = [{"name": "add", "parameters": {"properties": {"a": OPTIONAL}}}, {"name": "own", "parameters": {"unevaluatedProperties": False}}]
+    calls = [call(1, a="x"), call(2, a=None), call(3, "own", a=1)]
+    df = spark.createDataFrame([(1, 0, "system", f"<tools>{json.dumps(tools)}</tools>"), (1, 1, "assistant", "".join(calls))], "conv_id long, turn long, role string, text string")
+    row = chat.format_chat(df).where("turn = 1").first()
+    assert row.n_valid == 1 and [c["valid"] for c in json.loads(row.message)["tool_calls"]] == [False, True, None]
