@@ -32,8 +32,6 @@ CALL = "struct<k:int,id:string,name:string,args:string,refs:array<string>>"
 RESULT = "struct<k:int,id:string,content:string>"
 PARSED = f"conv_id long, turn long, role string, content string, calls array<{CALL}>, results array<{RESULT}>, tools array<struct<name:string,spec:string>>, broken int"
 _TAG = re.compile(r"<(tool_call|tool_result|tools)>(.*?)</\1>", re.S)
-#: Longest chain of calls that refer to each other's results.
-MAX_DEPTH = 1000
 
 
 def canonical(value) -> str:
@@ -238,9 +236,7 @@ def levels(calls: DataFrame) -> DataFrame:
     known = edges.join(own.select("conv_id", F.col("id").alias("ref")), ["conv_id", "ref"], "left_semi")  # a call that is not there holds nothing up
     known = written(known)
     done = written(own.join(known.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti"))
-    for _ in range(MAX_DEPTH):
-        if known.limit(1).count() == 0:
-            break
+    while known.limit(1).count() > 0:  # each round settles a call, or the rest is on or behind cycles
         got = known.join(done.select("conv_id", F.col("id").alias("ref"), F.col("level").alias("l")), ["conv_id", "ref"], "left")
         ready = got.groupBy("conv_id", "id").agg(F.count_if(F.col("l").isNull()).alias("open"), F.max("l").alias("l")).where("open = 0")
         ready = written(ready.join(own, ["conv_id", "id"]).select("conv_id", "id", F.greatest("level", F.col("l") + 1).alias("level")))

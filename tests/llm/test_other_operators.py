@@ -195,3 +195,9 @@ def test_verdicts_in_a_message(spark):
     df = spark.createDataFrame([(1, 0, "system", f"<tools>{json.dumps(tools)}</tools>"), (1, 1, "assistant", "".join(calls))], "conv_id long, turn long, role string, text string")
     row = chat.format_chat(df).where("turn = 1").first()
     assert row.n_valid == 1 and [c["valid"] for c in json.loads(row.message)["tool_calls"]] == [False, True, None]
+
+
+def test_levels_have_no_bound(spark, monkeypatch):
+    monkeypatch.setattr(chat, "MAX_DEPTH", 2, raising=False)
+    calls = spark.createDataFrame([(1, f"c{k}", [f"c{k + 1}"] if k < 5 else [], 0) for k in range(6)], "conv_id long, id string, refs array<string>, at long")
+    assert {(r.id, r.level, r.cyclic) for r in chat.levels(calls).collect()} == {(f"c{k}", 5 - k, False) for k in range(6)}
