@@ -25,20 +25,20 @@ def _op2() -> str:
 
     def level(keys: str, k: str) -> str:
         by = f"{keys}, " if keys else ""
-        cells = ", ".join(f"max(CASE WHEN ratio = '{name}' THEN {x} END) AS {name}_{x}" for name, *_ in quality.RATIOS for x in ("low", "mid"))
+        cells = ", ".join(f"max(CASE WHEN ratio = '{name}' THEN {x} END) AS {name}_{x}" for name, *_ in quality.RATIOS for x in ("low", "mid", "high"))
         return f"""{k}m AS (SELECT {by}ratio, bucket, sum(n) AS n FROM b GROUP BY ALL),
 {k}r AS (SELECT *, sum(n) OVER (PARTITION BY {by}ratio ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY {by}ratio) AS total FROM {k}m),
-{k}q AS (SELECT {by}ratio, max(total) AS total, min(CASE WHEN upto * 100 >= total * 10 THEN bucket END) AS low, min(CASE WHEN upto * 100 >= total * 50 THEN bucket END) AS mid FROM {k}r GROUP BY ALL),
+{k}q AS (SELECT {by}ratio, max(total) AS total, min(CASE WHEN upto * 100 >= total * {quality.LOW} THEN bucket END) AS low, min(CASE WHEN upto * 100 >= total * 50 THEN bucket END) AS mid, min(CASE WHEN upto * 100 >= total * {quality.HIGH} THEN bucket END) AS high FROM {k}r GROUP BY ALL),
 {k} AS (SELECT {by}max(total) AS total, {cells} FROM {k}q {"GROUP BY ALL" if keys else ""})"""
 
     tests = []
     for name, num, den, scale, slack in quality.RATIOS:
         pick = lambda x: f"CASE WHEN s.total >= {quality.LEAST_GROUP} THEN s.{name}_{x} WHEN l.total >= {quality.LEAST_GROUP} THEN l.{name}_{x} ELSE a.{name}_{x} END"  # noqa: E731, B023
         v = f"(CASE WHEN {den} > 0 THEN {num} * {scale} // {den} ELSE 0 END)"
-        away = f"({quality.SPREAD} * (({pick('mid')}) - ({pick('low')})) + {slack})"
-        tests.append(f"{v} <= ({pick('mid')}) + {away}")
+        mid, low, high = (f"({pick(x)})" for x in ("mid", "low", "high"))
+        tests.append(f"{v} <= {high} + {quality.SPREAD} * ({high} - {mid}) + {slack}")
         if name == "mean_word_length":
-            tests.append(f"{v} >= ({pick('mid')}) - {away}")
+            tests.append(f"{v} >= {low} - {quality.SPREAD} * ({mid} - {low}) - {slack}")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
 e AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),

@@ -4,7 +4,8 @@ Each document's counts are taken once. Four ratios, as integers, go into a merge
 sketch per language and source: a histogram with buckets exact below 2048 and of relative width
 1/1024 above, so that partial counts add up in any order to the same sketch. Sketches of small
 groups give way to the merged sketch of the language, and that to the merged sketch of all.
-Thresholds come from the sketch's quantiles; documents are joined to them and judged.
+Thresholds come from the sketch's outer quantiles and their distance from the median; documents are
+joined to them and judged.
 """
 
 from __future__ import annotations
@@ -17,16 +18,19 @@ from .common import WORD_GAP, written
 #: Fixed values of the base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
-#: A group of fewer documents takes the thresholds of the next larger one.
-LEAST_GROUP = 200
-#: Ratios (name, numerator, denominator, scale, slack): a document is out of line beyond the group's
-#: median plus (for mean_word_length: or minus) SPREAD times the distance from the lower decile to the median, plus slack.
-SPREAD = 8
+#: A group of fewer documents takes the thresholds of the next larger one: its outer quantiles would rest on a few dozen.
+LEAST_GROUP = 2000
+#: Percents of the outer quantiles: a share of bad documents below 6 % does not move the upper one among them.
+LOW, HIGH = 5, 94
+#: Ratios (name, numerator, denominator, scale, slack): a document is out of line above the group's upper quantile
+#: by more than SPREAD times its distance from the median plus slack (mean_word_length: also below the lower one).
+#: The slack is what groups that know no such thing at all allow: a tenth of a symbol a word and so on.
+SPREAD = 2
 RATIOS = [
-    ("mean_word_length", "word_chars", "n_words", 100, 150),
-    ("symbols_per_word", "n_symbols", "n_words", 1000, 300),
-    ("dup_line_share", "n_dup_lines", "n_lines", 1000, 500),
-    ("repeat_word_share", "n_repeat_words", "n_words", 1000, 300),
+    ("mean_word_length", "word_chars", "n_words", 100, 100),
+    ("symbols_per_word", "n_symbols", "n_words", 1000, 100),
+    ("dup_line_share", "n_dup_lines", "n_lines", 1000, 300),
+    ("repeat_word_share", "n_repeat_words", "n_words", 1000, 150),
 ]
 #: Threshold tables up to so many groups are broadcast (under 100 bytes each).
 BROADCAST_GROUPS = 200_000
@@ -40,10 +44,10 @@ def _covered(at: Column) -> Column:
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
-    """docs with COUNTS added (any columns of those names are replaced). A null text has no words."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    """row (all columns of docs as they are), lang, source, COUNTS for each row. A null text has no words."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    df = docs.drop(*COUNTS).withColumns({"_words": F.array_remove(F.split(text, WORD_GAP), ""), "_lines": lines})
+    df = docs.select(F.struct("*").alias("row"), *[F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")]).withColumns({"_words": F.array_remove(F.split(text, WORD_GAP), ""), "_lines": lines})
     n = F.size("_words")
     hashes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("_hashes", hashes)
@@ -59,7 +63,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
         "n_repeat_words": F.coalesce(_covered(F.col("_at")), F.lit(0)),
         "n_lines": F.size("_lines"),
     }
-    return df.select(*[c for c in docs.columns if c not in COUNTS], *[v.cast("long").alias(k) for k, v in counts.items()])
+    return df.select("row", "lang", "source", *[v.cast("long").alias(k) for k, v in counts.items()])
 
 
 def base_failed() -> Column:
@@ -84,12 +88,12 @@ def sketches(counted: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, ratio, total, low (lower decile), mid (median) of merged sketches."""
+    """keys, ratio, total, low, mid (median), high of merged sketches."""
     merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "ratio")
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(group))
     at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("total") * percent, F.col("bucket")))
-    return ranked.groupBy(*keys, "ratio").agg(F.max("total").alias("total"), at(10).alias("low"), at(50).alias("mid"))
+    return ranked.groupBy(*keys, "ratio").agg(F.max("total").alias("total"), at(LOW).alias("low"), at(50).alias("mid"), at(HIGH).alias("high"))
 
 
 def thresholds(counted: DataFrame) -> DataFrame:
@@ -102,13 +106,13 @@ def thresholds(counted: DataFrame) -> DataFrame:
     out = ["lang", "source"]
     for name, _, _, _, slack in RATIOS:
         pick = lambda what: F.when(F.col("s_total") >= LEAST_GROUP, F.col(f"s_{name}_{what}")).when(F.col("l_total") >= LEAST_GROUP, F.col(f"l_{name}_{what}")).otherwise(F.col(f"a_{name}_{what}"))
-        away = SPREAD * (pick("mid") - pick("low")) + slack
-        out += [(pick("mid") + away).alias(f"ceil_{name}"), (pick("mid") - away).alias(f"floor_{name}")]
+        above, below = SPREAD * (pick("high") - pick("mid")) + slack, SPREAD * (pick("mid") - pick("low")) + slack
+        out += [(pick("high") + above).alias(f"ceil_{name}"), (pick("low") - below).alias(f"floor_{name}")]
     return df.select(*out)
 
 
 def _wide(q: DataFrame, keys: list[str], k: str) -> DataFrame:
-    cells = [F.max("total").alias(f"{k}_total")] + [F.max(F.when(F.col("ratio") == name, F.col(c))).alias(f"{k}_{name}_{c}") for name, *_ in RATIOS for c in ("low", "mid")]
+    cells = [F.max("total").alias(f"{k}_total")] + [F.max(F.when(F.col("ratio") == name, F.col(c))).alias(f"{k}_{name}_{c}") for name, *_ in RATIOS for c in ("low", "mid", "high")]
     return q.groupBy(*[F.col(c).alias(f"{k}_{c}") for c in keys]).agg(*cells)
 
 
@@ -131,17 +135,15 @@ def judge(counted: DataFrame, base: DataFrame) -> DataFrame:
 
 def rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines for
-    each row of docs(doc_id, text, lang, source); repeated rows each have one, other columns are ignored."""
-    need = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"))
-    counted = written(with_counts(need).drop("text"))
+    each row of docs(doc_id, text, lang, source); repeated rows each have one, other columns are ignored.
+    A null or empty text fails the base rule; in an empty table there is nothing to judge."""
+    counted = with_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source"))
+    counted = written(counted.select(F.col("row.doc_id").alias("doc_id"), "lang", "source", *COUNTS))
     return judge(counted, counted).select("doc_id", *COUNTS[:-1], "base_failed", "kept", "n_lines")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with the columns they came with. Texts are counted twice, for the thresholds
-    and for the verdicts: a written copy of them would cost more than that."""
-    mine = ["base_failed", "kept", *COUNTS]
-    own = docs.withColumns({f"_own_{c}": F.col(c) for c in mine if c in docs.columns}).drop(*mine)
-    counted = with_counts(own)
-    kept = judge(counted, written(counted.select("lang", "source", *COUNTS))).where("kept").drop(*mine)
-    return kept.select(*[F.col(f"_own_{c}").alias(c) if c in mine else F.col(c) for c in docs.columns])
+    """The rows of docs that are kept, with the columns they came with, whatever their names. Texts are counted twice,
+    for the thresholds and for the verdicts: a written copy of them would cost more than that."""
+    counted = with_counts(docs)
+    return judge(counted, written(counted.select("lang", "source", *COUNTS))).where("kept").select("row.*")

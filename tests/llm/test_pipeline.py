@@ -62,9 +62,8 @@ def kept_by_rules(rows):
         group = next((g for k in ((lang, source), (lang,)) if len(g := groups[k]) >= quality.LEAST_GROUP), groups[()])
         fine = not failed
         for name, _, _, _, slack in quality.RATIOS:
-            mid, low = (quantile([r[name] for r in group], p) for p in (50, 10))
-            away = quality.SPREAD * (mid - low) + slack
-            fine &= ratios[name] <= mid + away and (name != "mean_word_length" or ratios[name] >= mid - away)
+            low, mid, high = (quantile([r[name] for r in group], p) for p in (quality.LOW, 50, quality.HIGH))
+            fine &= ratios[name] <= high + quality.SPREAD * (high - mid) + slack and (name != "mean_word_length" or ratios[name] >= low - quality.SPREAD * (mid - low) - slack)
         if fine:
             out.add(d)
     return out

@@ -117,11 +117,53 @@ def test_sketches_merge(spark):
     parts = df.select(F.lit("x").alias("k"), F.lit("r").alias("ratio"), quality.bucket(F.col("v")).alias("bucket"), "g").groupBy("k", "ratio", "bucket", "g").agg(F.count("*").alias("n"))
     q = quality.quantiles(parts, ["k"]).first()
     s = sorted(values)
-    for got, p in ((q.low, 10), (q.mid, 50)):
+    for got, p in ((q.low, quality.LOW), (q.mid, 50), (q.high, quality.HIGH)):
         true = s[-(-len(s) * p // 100) - 1]
         assert got <= true <= got * (1 + 2**-10) + 1
 
 
+def test_groups_have_thresholds_of_their_own(spark, monkeypatch):
+    """One source writes symbols, long words, lines twice and repeats as a habit, the other does not: the same text is
+    judged differently in each, by every one of the four ratios."""
+    monkeypatch.setattr(quality, "LEAST_GROUP", 100)
+    rng = random.Random(5)
+
+    def some(n, low=4, high=6):
+        return ["".join(rng.choices("abcdefghij", k=rng.randint(low, high))) for _ in range(n)]
+
+    def text(kind):
+        if kind == "symbols":
+            return " ".join(w + "#" * rng.randint(0, 2) for w in some(80))
+        if kind == "long":
+            return " ".join(some(80, 8, 11))
+        if kind == "lines":
+            return "\n".join(f"x\n{' '.join(some(3))}" for _ in range(25))
+        if kind == "repeats":
+            twice = some(12)
+            return " ".join(some(60) + twice + some(3) + twice)
+        return " ".join(some(80))
+
+    odd = ["symbols", "long", "lines", "repeats"]
+    rows = [(text(odd[k % 4]), "en", "wild") for k in range(400)] + [(text("plain"), "en", "calm") for _ in range(400)]
+    probes = [(text(o), "en", s) for s in ("wild", "calm") for o in odd for _ in range(2)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows + probes)], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.rules(df).collect()}
+    verdicts = [kept[len(rows) + k] for k in range(len(probes))]
+    assert sum(verdicts[:8]) >= 7 and not any(verdicts[8:])
+    limits = {r.source: r for r in quality.thresholds(quality.with_counts(df)).collect()}
+    for name, *_ in quality.RATIOS:
+        assert limits["wild"][f"ceil_{name}"] > limits["calm"][f"ceil_{name}"]
+
+
+def test_quality_with_clashing_columns(spark):
+    names = ["_words", "_lines", "_hashes", "_sorted", "_at", "_lang", "_source", "row", "n_words", "kept", "base_failed", "ratio"]
+    df = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(90)), "en", "s", *names), (2, "few", None, None, *names)], ["doc_id", "text", "lang", "source", *names])
+    kept = quality.keep(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [tuple(df.where("doc_id = 1").first())]
+    assert {r.doc_id: r.kept for r in quality.rules(df).collect()} == {1: True, 2: False}
+    assert quality.keep(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("window,gram,hot", [(35, 8, 1000), (12, 4, 0), (12, 4, 3)])
 def test_substring_dedup(spark, monkeypatch, window, gram, hot):
     monkeypatch.setattr(substring_dedup, "HOT_RUNS", hot)
