@@ -19,14 +19,16 @@ import ipaddress
 import json
 import re
 import urllib.parse
+import uuid
 from fractions import Fraction
 
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import keep, shared_dir, written
 
 CALL = "struct<k:int,id:string,name:string,args:string,refs:array<string>>"
 RESULT = "struct<k:int,id:string,content:string>"
@@ -34,17 +36,33 @@ PARSED = f"conv_id long, turn long, role string, content string, calls array<{CA
 _TAG = re.compile(r"<(tool_call|tool_result|tools)>(.*?)</\1>", re.S)
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def plain(text: str) -> str:
+    """Halves of surrogate pairs, which no UTF-8 can hold, as their JSON escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return plain(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def _json(text: str):
+    """The value of a JSON text that can be written again; None for any other: NaN, infinite numbers, numbers of
+    over 4300 digits and nesting that the parser does not follow are no JSON here."""
     try:
-        return json.loads(text)
+        value = json.loads(text, parse_constant=_refuse)
+        canonical(value)
+        return value
     except (ValueError, RecursionError):
         return None
 
 
+def _refuse(name: str):
+    raise ValueError(name)
+
+
 def refs(value) -> list[str]:
     """Call identifiers that an argument value refers to, sorted."""
     found, todo = set(), [value]
@@ -52,7 +70,7 @@ def refs(value) -> list[str]:
         v = todo.pop()
         if isinstance(v, dict):
             if set(v) == {"$ref"} and isinstance(v["$ref"], str):
-                found.add(v["$ref"])
+                found.add(plain(v["$ref"]))
             todo += v.values()
         elif isinstance(v, list):
             todo += v
@@ -69,15 +87,15 @@ def parse(role: str | None, text: str | None) -> dict:
         if m[1] == "tools" and isinstance(v, list) and all(isinstance(t, dict) for t in v):
             for t in v:
                 t = t["function"] if isinstance(t.get("function"), dict) else t
-                out["tools"].append({"name": str(t.get("name")), "spec": canonical(t.get("parameters", {}))})
+                out["tools"].append({"name": plain(str(t.get("name"))), "spec": canonical(t.get("parameters", {}))})
             return ""
         if m[1] == "tool_call" and isinstance(v, dict) and isinstance(v.get("name"), str):
             args = v.get("arguments", {})
-            args = _json(args) if isinstance(args, str) else args
-            out["calls"].append({"k": len(out["calls"]), "id": None if v.get("id") is None else str(v["id"]), "name": v["name"], "args": canonical(args), "refs": refs(args)})
+            args = _json(args) if isinstance(args, str) else args  # arguments that cannot be read are null
+            out["calls"].append({"k": len(out["calls"]), "id": None if v.get("id") is None else plain(str(v["id"])), "name": plain(v["name"]), "args": canonical(args), "refs": refs(args)})
             return ""
         if m[1] == "tool_result" and isinstance(v, dict) and v.get("tool_call_id") is not None:
-            out["results"].append({"k": len(out["results"]), "id": str(v["tool_call_id"]), "content": canonical(v.get("content"))})
+            out["results"].append({"k": len(out["results"]), "id": plain(str(v["tool_call_id"])), "content": canonical(v.get("content"))})
             return ""
         out["broken"] += 1
         return m[0]
@@ -85,7 +103,7 @@ def parse(role: str | None, text: str | None) -> dict:
     text = text or ""
     whole = _json(text) if role == "tool" and "<tool_result>" not in text else None
     if isinstance(whole, dict) and whole.get("tool_call_id") is not None:
-        out["results"].append({"k": 0, "id": str(whole["tool_call_id"]), "content": canonical(whole.get("content"))})
+        out["results"].append({"k": 0, "id": plain(str(whole["tool_call_id"])), "content": canonical(whole.get("content"))})
         text = ""
     else:
         text = _TAG.sub(take, text)
@@ -136,6 +154,25 @@ def _same(a, b) -> bool:
     return a == b
 
 
+def _frozen(value):
+    """Equal for JSON values that are equal, and hashable."""
+    if isinstance(value, bool) or value is None or isinstance(value, str):
+        return type(value).__name__, value
+    if isinstance(value, list):
+        return "list", tuple(map(_frozen, value))
+    if isinstance(value, dict):
+        return "dict", frozenset((k, _frozen(v)) for k, v in value.items())
+    return "number", value
+
+
+#: Seconds that a declared pattern may take with one string; beyond, its schema cannot be judged.
+PATTERN_SECONDS = 2.0
+
+
+def _search(pattern: str, text: str) -> bool:
+    return regex.search(pattern, text, timeout=PATTERN_SECONDS) is not None
+
+
 def _format(name: str, value: str) -> bool:
     try:
         return FORMATS[name](value)
@@ -155,10 +192,11 @@ def _target(root, ref: str):
 
 def valid(value, spec) -> bool | None:
     """JSON-schema check, of local references too; None where the schema cannot be judged: a keyword, type,
-    format or reference that is not known, or a malformed one. A {"$ref"} argument fits any schema."""
+    format or reference that is not known, a malformed one, or a pattern that takes too long. A {"$ref"}
+    argument fits any schema."""
     try:
         return _fits(value, spec, spec) if supported(spec) else None
-    except (ArithmeticError, AttributeError, LookupError, RecursionError, TypeError, ValueError, re.error):
+    except (ArithmeticError, AttributeError, LookupError, RecursionError, TimeoutError, TypeError, ValueError, regex.error):
         return None
 
 
@@ -171,7 +209,7 @@ def _fits(value, spec, root) -> bool:
 
     def is_a(t: str) -> bool:
         if t in ("integer", "number"):
-            return number and (t == "number" or float(value).is_integer())
+            return number and (t == "number" or isinstance(value, int) or value.is_integer())
         return isinstance(value, kinds[t])
 
     types = spec.get("type", [])
@@ -190,7 +228,7 @@ def _fits(value, spec, root) -> bool:
         props, patterns = spec.get("properties", {}), spec.get("patternProperties", {})
         for k, v in value.items():
             own = [props[k]] if k in props else []
-            own += [s for p, s in patterns.items() if re.search(p, k)]
+            own += [s for p, s in patterns.items() if _search(p, k)]
             if not all([fits(v, s) for s in own or [spec.get("additionalProperties", True)]]) or not fits(k, spec.get("propertyNames", True)):
                 return False
         if not all(k in value for k in spec.get("required", [])) or not spec.get("minProperties", 0) <= len(value) <= spec.get("maxProperties", len(value)):
@@ -200,12 +238,12 @@ def _fits(value, spec, root) -> bool:
         first, more = spec.get("prefixItems", []), spec.get("items", True)
         if not spec.get("minItems", 0) <= len(value) <= spec.get("maxItems", len(value)) or not all([fits(v, first[i] if i < len(first) else more) for i, v in enumerate(value)]):
             return False
-        if spec.get("uniqueItems") and any(_same(v, w) for i, v in enumerate(value) for w in value[:i]):
+        if spec.get("uniqueItems") and len(set(map(_frozen, value))) < len(value):
             return False
         n = sum(fits(v, spec["contains"]) for v in value) if "contains" in spec else 0
         return "contains" not in spec or spec.get("minContains", 1) <= n <= spec.get("maxContains", n)
     if isinstance(value, str):
-        return spec.get("minLength", 0) <= len(value) <= spec.get("maxLength", len(value)) and re.search(spec.get("pattern", ""), value) is not None and ("format" not in spec or _format(spec["format"], value))
+        return spec.get("minLength", 0) <= len(value) <= spec.get("maxLength", len(value)) and ("pattern" not in spec or _search(spec["pattern"], value)) and ("format" not in spec or _format(spec["format"], value))
     if number:
         within = spec.get("minimum", value) <= value <= spec.get("maximum", value) and ("exclusiveMinimum" not in spec or value > spec["exclusiveMinimum"]) and ("exclusiveMaximum" not in spec or value < spec["exclusiveMaximum"])
         return within and ("multipleOf" not in spec or Fraction(str(value)) % Fraction(str(spec["multipleOf"])) == 0)
@@ -230,22 +268,35 @@ def _arrow() -> pa.Schema:
 def levels(calls: DataFrame) -> DataFrame:
     """calls(conv_id, id, refs, at) -> conv_id, id, level, cyclic. The level of a call is its turn, or one past
     the highest level among the calls that its arguments refer to, whichever is larger. Calls on a
-    cycle, or behind one, keep their turn and are marked."""
-    edges = written(calls.select("conv_id", "id", F.explode("refs").alias("ref")).distinct())
-    own = calls.groupBy("conv_id", "id").agg(F.min("at").alias("level"))
-    known = edges.join(own.select("conv_id", F.col("id").alias("ref")), ["conv_id", "ref"], "left_semi")  # a call that is not there holds nothing up
-    known = written(known)
-    done = written(own.join(known.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti"))
-    while known.limit(1).count() > 0:  # each round settles a call, or the rest is on or behind cycles
-        got = known.join(done.select("conv_id", F.col("id").alias("ref"), F.col("level").alias("l")), ["conv_id", "ref"], "left")
-        ready = got.groupBy("conv_id", "id").agg(F.count_if(F.col("l").isNull()).alias("open"), F.max("l").alias("l")).where("open = 0")
-        ready = written(ready.join(own, ["conv_id", "id"]).select("conv_id", "id", F.greatest("level", F.col("l") + 1).alias("level")))
-        if ready.limit(1).count() == 0:
+    cycle, or behind one, keep their turn and are marked. conv_id is not null.
+
+    Each round settles the calls whose references are settled and takes these references off the edges; what
+    is settled is appended to one written table, so neither plans nor rounds grow with the depth.
+    """
+    spark = calls.sparkSession
+    own = written(calls.groupBy("conv_id", "id").agg(F.min("at").alias("at")))
+    edges = calls.select("conv_id", "id", F.explode("refs").alias("ref")).distinct()
+    edges = written(edges.join(own.select("conv_id", F.col("id").alias("ref")), ["conv_id", "ref"], "left_semi"))  # a call that is not there holds nothing up
+    held = edges.select("conv_id", "id").distinct()
+    folder = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
+    ready = own.join(held, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.col("at").alias("level"))
+    rest = written(own.join(held, ["conv_id", "id"], "left_semi").withColumn("level", F.col("at")))
+    k = 0
+    while True:
+        ready.select("*", F.lit(False).alias("cyclic")).write.parquet(f"{folder}/round={k}")
+        last = spark.read.parquet(f"{folder}/round={k}")
+        if last.isEmpty() or edges.isEmpty():
             break
-        done = done.union(ready)
-        old = known
-        known = written(old.join(ready, ["conv_id", "id"], "left_anti"))
-    return done.select("conv_id", "id", "level", F.lit(False).alias("cyclic")).union(own.join(known.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_semi").select("conv_id", "id", "level", F.lit(True)))
+        got = edges.join(last.select("conv_id", F.col("id").alias("ref"), F.col("level").alias("l")), ["conv_id", "ref"])
+        past = got.groupBy("conv_id", "id").agg((F.max("l") + 1).alias("past"))
+        edges = written(edges.join(last.select("conv_id", F.col("id").alias("ref")), ["conv_id", "ref"], "left_anti"))
+        rest = written(rest.join(past, ["conv_id", "id"], "left").select("conv_id", "id", "at", F.greatest("level", F.coalesce("past", "level")).alias("level")))
+        open_ = edges.select("conv_id", "id").distinct()
+        ready, rest = rest.join(open_, ["conv_id", "id"], "left_anti").select("conv_id", "id", "level"), rest.join(open_, ["conv_id", "id"], "left_semi")
+        k += 1
+    keep(spark, folder)
+    done = spark.read.schema(last.schema).parquet(*[f"{folder}/round={i}" for i in range(k + 1)])
+    return done.union(rest.select("conv_id", "id", F.col("at").alias("level"), F.lit(True)))
 
 
 def format_chat(conversations: DataFrame) -> DataFrame:
@@ -278,9 +329,10 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     linked = linked.select("row", "k", "id", "name", "args", check("args", "spec", F.coalesce("n", F.lit(0))).alias("valid"), F.when(owns, F.col("answer.turn")).alias("answered"), (owns & F.col("answer").isNotNull()).alias("linked"))
     per_call = linked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "id", "name", "args", "valid", "linked", "answered"))).alias("calls_"))
 
-    lv = written(levels(call.where("id is not null").select(F.coalesce("conv_id", F.lit(-1)).alias("conv_id"), "id", "refs", F.coalesce("turn", F.lit(0)).alias("at"))))
-    at_call = call.join(lv.select(F.col("conv_id").alias("l_conv"), F.col("id").alias("l_id"), "level"), (F.coalesce("conv_id", F.lit(-1)) == F.col("l_conv")) & (F.col("id") == F.col("l_id"))).select("row", "level")
-    at_result = result.join(lv.select(F.col("conv_id").alias("l_conv"), F.col("id").alias("l_id"), "level"), (F.coalesce("conv_id", F.lit(-1)) == F.col("l_conv")) & (F.col("id") == F.col("l_id"))).select("row", (F.col("level") + 1).alias("level"))
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("conv_id")  # none: no number
+    lv = written(levels(call.where("id is not null").select(conv, "id", "refs", F.coalesce("turn", F.lit(0)).alias("at"))))
+    at_call = call.join(lv.select(F.col("conv_id").alias("l_conv"), F.col("id").alias("l_id"), "level"), (conv == F.col("l_conv")) & (F.col("id") == F.col("l_id"))).select("row", "level")
+    at_result = result.join(lv.select(F.col("conv_id").alias("l_conv"), F.col("id").alias("l_id"), "level"), (conv == F.col("l_conv")) & (F.col("id") == F.col("l_id"))).select("row", (F.col("level") + 1).alias("level"))
     position = at_call.union(at_result).groupBy("row").agg(F.max("level").alias("level"))
     orphan = result.join(owner.withColumnRenamed("conv_id", "o_conv").withColumnRenamed("id", "o_id"), F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col("id") == F.col("o_id")), "left")
     per_result = orphan.groupBy("row").agg(F.count_if(F.col("owner").isNull()).alias("orphans"), F.sort_array(F.collect_list(F.struct("k", "id", "content", F.col("owner").isNotNull().alias("linked")))).alias("results_"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,17 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one of our own if all tasks run
+    in this machine's process; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = got.get() if got.isDefined() else None
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many _ after it as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read from there: lineage ends here,
     and a lost executor costs nothing. The files go when the driver's Python ends."""
@@ -43,6 +55,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(spark: SparkSession, path: str) -> None:
+    """A folder under the shared one that goes when the driver's Python ends."""
+    _written.append((spark, path))
+
+
 def discard(df_paths: list[str], spark: SparkSession) -> None:
     """Delete written tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm

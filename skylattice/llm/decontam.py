@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 #: Fixed masks: 1 is compared, 0 ignored. Of one span, so that a position has all its words at hand.
 MASKS = ("110100110011", "111001010110")
@@ -85,7 +85,9 @@ def _hits(d: DataFrame, b: DataFrame, span: int, masks: tuple[str, ...], masked:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without an overlap, columns as they were. Rows without a doc_id share one verdict."""
-    found = written(overlaps(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct())
+    """The rows of docs without an overlap, columns as they were. Rows without a doc_id share one verdict, as do those
+    that repeat one; null and empty texts have no overlap and stay."""
+    leak = free_name(docs, "leak")
+    found = written(overlaps(docs, benchmark).select(F.col("doc_id").alias(leak)).distinct())
     found = F.broadcast(found) if found.count() <= BROADCAST_HITS else found
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")), "left_anti").select(*[docs[c] for c in docs.columns])
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(leak)), "left_anti")

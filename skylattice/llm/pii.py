@@ -168,13 +168,15 @@ def international(f: Feistel, s: str, back: bool) -> str | None:
 
 
 @functools.cache
-def _late_days() -> list[int]:
-    """Days after the twelfth of their month, counted from FIRST_DAY."""
-    return [k for k in range(LAST_DAY - FIRST_DAY + 1) if datetime.date.fromordinal(k + FIRST_DAY).day > 12]
+def _days(late: bool) -> list[int]:
+    """Days, counted from FIRST_DAY, up to the twelfth of their month or after it."""
+    return [k for k in range(LAST_DAY - FIRST_DAY + 1) if (datetime.date.fromordinal(k + FIRST_DAY).day > 12) == late]
 
 
 def date(f: Feistel, s: str, back: bool) -> str | None:
-    """yyyy-mm-dd, or day, month and year with . or / or -; month first only where the second number cannot be a month."""
+    """yyyy-mm-dd, or day, month and year with . or / or -; month first only where the second number cannot be a month.
+    Days up to the twelfth and later ones are permuted among themselves, so that a date has one pseudonym
+    in all orders and each order still reads one way."""
     a, sep, b, c = re.fullmatch(r"(\d+)([-./])(\d+)[-./](\d+)", s).groups()
     order = "ymd" if len(a) == 4 else "mdy" if int(b) > 12 else "dmy"
     v = dict(zip(order, map(int, (a, b, c))))
@@ -182,21 +184,24 @@ def date(f: Feistel, s: str, back: bool) -> str | None:
         day = datetime.date(v["y"], v["m"], v["d"]).toordinal() - FIRST_DAY
     except ValueError:
         return None
-    n = LAST_DAY - FIRST_DAY + 1
-    if not 0 <= day < n:
+    if not 0 <= day <= LAST_DAY - FIRST_DAY:
         return None
-    if order == "mdy":  # stays among the dates that only read so
-        days = _late_days()
-        t = days[f.permute(bisect.bisect_left(days, day), len(days), "late date", back)]
-    else:
-        t = f.permute(day, n, "date", back)
-    t = datetime.date.fromordinal(t + FIRST_DAY)
+    late = v["d"] > 12
+    days = _days(late)
+    t = datetime.date.fromordinal(days[f.permute(bisect.bisect_left(days, day), len(days), f"date{late:d}", back)] + FIRST_DAY)
     parts = {"y": f"{t.year:04d}", "m": f"{t.month:02d}", "d": f"{t.day:02d}"}
-    return sep.join(parts["ymd"[k] if order == "ymd" else order[k]] for k in range(3))
+    return sep.join(parts[k] for k in order)
+
+
+#: A longer secret is permuted in parts of this length, each by its place.
+SECRET_PART = 128
 
 
 def secret(f: Feistel, s: str, back: bool) -> str | None:
     """hex to hex, capitals and 2-7 to such, else letters to letters and digits to digits."""
+    if len(s) > SECRET_PART:
+        parts = [s[k : k + SECRET_PART] for k in range(0, len(s), SECRET_PART)]
+        return "".join(_alnum(f, x, f"secret part {k}", back) for k, x in enumerate(parts))
     for name, alphabet in (("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")):
         if set(s) <= set(alphabet):
             n = len(alphabet)
@@ -208,7 +213,7 @@ def secret(f: Feistel, s: str, back: bool) -> str | None:
 KINDS: list[tuple[str, str, Callable]] = [
     ("email", r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w@])", email),
     ("secret", r"(?<=AKIA)[A-Z2-7]{16}(?![A-Za-z0-9])", secret),
-    ("secret", r"(?:(?<=password=)|(?<=secret=)|(?<=PASSWORD=)|(?<=SECRET=)|(?<=token = \")|(?<=TOKEN = \")|(?<=token=)|(?<=TOKEN=))[A-Za-z0-9]{8,128}", secret),
+    ("secret", r"(?:(?<=password=)|(?<=secret=)|(?<=PASSWORD=)|(?<=SECRET=)|(?<=token = \")|(?<=TOKEN = \")|(?<=token=)|(?<=TOKEN=))[A-Za-z0-9]{8,}+", secret),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
     ("date", r"(?<![\d./-])(?:\d{4}-\d\d-\d\d|\d\d([./-])\d\d\1\d{4})(?![\d/-]|\.\d)", date),
     ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", ipv4),
@@ -240,22 +245,26 @@ def replace(text: str, f: Feistel, back: bool = False) -> tuple[str, list[str]]:
     validate, shorter ones from its start are tried, then later starts; what does not validate stays."""
     if not _MAY.search(text):
         return text, []
-    taken: list[tuple[int, int, str, str]] = []
+    taken: list[tuple[int, int, str, str]] = []  # sorted, none overlaps another
+
+    def free(a: int, z: int) -> bool:
+        i = bisect.bisect_left(taken, (z,))
+        return not i or taken[i - 1][1] <= a
+
     for kind, pattern, rule in _RULES:
         m = pattern.search(text)
         while m:
             a, at = m.start(), m.end() if kind not in _ENDS else m.start() + 1
             for z in _readings(kind, pattern, text, a, m.end()):
-                if any(a < q and p < z for p, q, _, _ in taken):
+                if not free(a, z):
                     continue
                 got = rule(f, text[a:z], back)
                 if got is not None:
-                    taken.append((a, z, kind, got))
+                    bisect.insort(taken, (a, z, kind, got))
                     at = z
                     break
             m = pattern.search(text, at)
     out, at = [], 0
-    taken.sort()
     for a, z, _, got in taken:
         out += [text[at:a], got]
         at = z
@@ -285,7 +294,8 @@ def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False) ->
 
 
 def replace_in(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
-    """docs with pseudonyms in its text, all other columns as they are."""
+    """docs with pseudonyms in its text, all other columns as they are. A null text stays null, an empty one empty; rows
+    that repeat are each replaced alike."""
 
     @F.pandas_udf("string")
     def new(texts):

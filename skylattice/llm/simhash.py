@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, written
+from .common import connected_components, free_name, written
 
 BITS, SEGMENTS, REACH = 64, 4, 3
 #: Fingerprints compared with each other in one key; larger keys are split, never cut.
@@ -440,8 +440,16 @@ def near_groups(docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFr
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the first of their near_groups() (smallest doc_id), columns as they were. Rows
-    that repeat a doc_id count as one; rows without one cannot be named and stay."""
-    first = written(near_groups(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_first")).distinct())
-    named = docs.where("doc_id is not null").join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null"))
+    """The rows of docs that are the first of their near_groups() (smallest doc_id), columns as they were. Of rows
+    that repeat a doc_id the first by text stays (a null text before all others), of equal ones any; rows without a
+    doc_id cannot be named and stay. Null, empty and blank texts are one group."""
+    first, id_ = free_name(docs, "first"), F.col("doc_id").cast("long")
+    heads = written(near_groups(docs).where("component_id = doc_id").select(F.col("doc_id").alias(first)).distinct())
+    named = docs.where(id_.isNotNull()).join(heads, id_ == F.col(first), "left_semi")
+    again = written(docs.groupBy(id_.alias(first)).agg(F.count("*").alias("n")).where(f"n > 1 and {first} is not null").select(first))
+    nameless = docs.where(id_.isNull())
+    if again.isEmpty():
+        return named.union(nameless)
+    row = F.struct("*")
+    many = named.join(again, id_ == F.col(first), "left_semi").groupBy(id_.alias(first)).agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row")).select("row.*")
+    return named.join(again, id_ == F.col(first), "left_anti").union(many).union(nameless)

@@ -9,6 +9,7 @@ the document is read; the others are joined by shuffle, so no key of that join c
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -21,8 +22,10 @@ from .common import written
 
 #: At most so many pre-tokens are broadcast.
 HEAD = 1 << 18
-#: A task hands on its counts when it holds so many distinct pre-tokens.
-HELD = 400_000
+#: A pre-token of more characters is broadcast as its MD5: HEAD bounds the bytes as well as the rows.
+LONG = 48
+#: A task hands on its counts when it holds so many distinct pre-tokens, or has read so many characters.
+HELD, HELD_CHARS = 400_000, 1 << 28
 _CUT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space for one of Python and the library's pattern, but not for both, or before blanks: such texts are one pre-token.
 _ODD = re.compile("[\x1c-\x1f]|[\x0b\x0c\x85\xa0  -     　][ \n\t\r]")
@@ -35,23 +38,30 @@ def pre_tokens(text: str, splits: bool = True) -> list[str]:
     return _CUT.findall(text) if splits and not _ODD.search(text) else [text]
 
 
+def key(token: str) -> str:
+    """What a pre-token is looked up by in the broadcast: itself, or its digest if it is long."""
+    return token if len(token) <= LONG else "\0" + hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def vocabulary(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """token, pairs (documents that have it, rows counted singly), pieces; written."""
     spark = docs.sparkSession
     data = spark.sparkContext.broadcast((tokenizer_path, tk.file_bytes(tokenizer_path)))
 
     def distinct(batches):
-        splits, seen = tk.load(*data.value).splits_at_space, Counter()
+        splits, seen, chars = tk.load(*data.value).splits_at_space, Counter(), 0
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "pairs"])
 
         for batch in batches:
             for text in batch.column(0):
-                seen.update(set(pre_tokens(text.as_py(), splits)))
-                if len(seen) > HELD:
+                t = text.as_py()
+                seen.update(set(pre_tokens(t, splits)))
+                chars += len(t or "")
+                if len(seen) > HELD or chars > HELD_CHARS:
                     yield rows()
-                    seen = Counter()
+                    seen, chars = Counter(), 0
         yield rows()
 
     def count(batches):
@@ -79,7 +89,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, head: i
     spark = docs.sparkSession
     known = vocabulary(docs, tokenizer_path)
     often = F.col("pairs") >= least_pairs(known, head)
-    top = dict(known.where(often).select("token", "pieces").collect())  # `head` rows at most
+    short = F.when(F.length("token") <= LONG, F.col("token")).otherwise(F.concat(F.lit("\0"), F.md5("token")))
+    top = dict(known.where(often).select(short, "pieces").collect())  # `head` rows of LONG characters at most
     data = spark.sparkContext.broadcast((tokenizer_path, tk.file_bytes(tokenizer_path)))
     shared = spark.sparkContext.broadcast(top)
 
@@ -92,8 +103,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, head: i
                 size.append(len(t.encode("utf-8", "surrogatepass")))
                 n, tokens, counts = 0, [], []
                 for token, c in Counter(pre_tokens(t, splits)).items():
-                    if token in known_here:
-                        n += c * known_here[token]
+                    pieces = known_here.get(key(token))
+                    if pieces is not None:
+                        n += c * pieces
                     else:
                         tokens.append(token)
                         counts.append(c)

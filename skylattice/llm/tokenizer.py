@@ -6,6 +6,7 @@ as the tokenizers library at several times the speed; any other .json goes to to
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from typing import Callable
@@ -48,9 +49,21 @@ class Encoder:
     def _from_json(self, data: bytes) -> Callable[[str], np.ndarray]:
         spec = json.loads(data)
         fast = self._byte_level(spec)
-        if fast is not None:
-            self.splits_at_space = True
-            return lambda t: fast.encode_to_numpy(t, allowed_special="all")
+        library = functools.cache(lambda: self._library(data))
+        if fast is None:
+            return library()
+        self.splits_at_space = True
+
+        def ids(t: str) -> np.ndarray:
+            try:
+                return fast.encode_to_numpy(t, allowed_special="all")
+            except ValueError:  # its pattern gives up on runs of about a million blanks
+                return library()(t)
+
+        return ids
+
+    @staticmethod
+    def _library(data: bytes) -> Callable[[str], np.ndarray]:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(data.decode())

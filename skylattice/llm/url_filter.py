@@ -46,27 +46,37 @@ def build(rules: list[tuple[str, str]]) -> dict:
     """rules: (verdict, 'host/path...'). A later rule of the same string replaces an earlier one."""
     verdicts = {r: v for v, r in rules}
     order = sorted(verdicts, key=lambda r: (digest(r), r))
-    depths = sorted({r.partition("/")[2].__len__() + 1 for r in order})
+    depths = sorted({len(r.partition("/")[2]) + 1 for r in order})
     return {
         "digests": np.array([digest(r) for r in order], dtype=np.uint64).tobytes(),
         "strings": order,
         "verdicts": [verdicts[r] for r in order],
         "depths": depths,  # lengths that rule paths have: the only prefixes of a path worth a probe
+        "labels": sorted({r.partition("/")[0].count(".") + 1 for r in order}),  # numbers of labels that rule hosts have
     }
 
 
-def candidates(host: str, path: str, depths: list[int]) -> list[str]:
-    """Rule strings that would fit: the host or a parent domain, and a prefix of the path."""
-    parts = host.split(".") if host else []
-    parents = [".".join(parts[i:]) for i in range(len(parts))]
-    return [h + path[:n] for h in parents for n in depths if n <= len(path) and path[:1] == "/"]
+def candidates(host: str, path: str, depths: list[int], labels: list[int]) -> list[str]:
+    """Rule strings that would fit: the host or a parent domain of as many labels as a rule has, longest first, and
+    a prefix of the path. Linear in the URL, however many labels it has."""
+    if not host or path[:1] != "/":
+        return []
+    parents, at = [], len(host)
+    for n in range(1, labels[-1] + 1 if labels else 1):
+        at = host.rfind(".", 0, at)
+        if n in labels:
+            parents.append(host[at + 1 :])
+        if at < 0:
+            break
+    return [h + path[:n] for h in reversed(parents) for n in depths if n <= len(path)]
 
 
 class DigestArray:
     """The rules of one build(), digests memory-mapped from a file that is unlinked at once."""
 
     def __init__(self, built: dict):
-        self.strings, self.verdicts, self.depths = np.array(built["strings"], dtype=object), built["verdicts"], built["depths"]
+        self.strings, self.verdicts = np.array(built["strings"], dtype=object), built["verdicts"]
+        self.depths, self.labels = built["depths"], built["labels"]
         if built["strings"]:
             fd, name = tempfile.mkstemp(suffix=".u64")
             with os.fdopen(fd, "wb") as f:
@@ -98,7 +108,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = ALLOW)
     """page_id, host, path, rule, verdict for each row of pages(page_id, url).
 
     A rule fits its host and all subdomains if the path starts with the rule's path; the longest
-    rule string wins. Without a rule: null and `default`. Null, empty or relative URLs have an empty
+    rule string wins, of equally long ones that of the longer host. Without a rule: null and `default`. Null, empty or relative URLs have an empty
     host and path and no rule; repeated rows are each judged; other columns are ignored.
     """
     spark = pages.sparkSession
@@ -117,7 +127,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = ALLOW)
             split = [split_url(u) for u in urls]
             keys, owner = [], []
             for i, (h, p) in enumerate(split):
-                own = candidates(h, p, index.depths)
+                own = candidates(h, p, index.depths, index.labels)
                 keys += own
                 owner += [i] * len(own)
             hit = index.find(keys)
@@ -137,15 +147,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = ALLOW)
 def judge_by_join(pages: DataFrame, rules, default: str = ALLOW) -> DataFrame:
     """The same verdicts with the rules as a table: for lists too large to broadcast."""
     spark = pages.sparkSession
-    depths = build(rules)["depths"]
-    listed = spark.createDataFrame(pd.DataFrame({"key": [r for _, r in rules], "found": [v for v, _ in rules]}), "key string, found string").dropDuplicates(["key"])
+    built = build(rules)
+    depths, labels = built["depths"], built["labels"]
+    listed = spark.createDataFrame(pd.DataFrame({"key": built["strings"], "found": built["verdicts"]}), "key string, found string")
 
     @F.pandas_udf("struct<host:string,path:string,keys:array<string>>")
     def cut(urls: pd.Series) -> pd.DataFrame:
         split = [split_url(u) for u in urls]
-        return pd.DataFrame({"host": [h for h, _ in split], "path": [p for _, p in split], "keys": [candidates(h, p, depths) for h, p in split]})
+        return pd.DataFrame({"host": [h for h, _ in split], "path": [p for _, p in split], "keys": [candidates(h, p, depths, labels) for h, p in split]})
 
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long"), cut(F.col("url").cast("string")).alias("u")).select("row", "page_id", "u.*")
     hits = rows.select("row", "page_id", "host", "path", F.explode_outer("keys").alias("key")).join(listed, "key", "left")
-    rule = F.max(F.when(F.col("found").isNotNull(), F.struct(F.length("key").alias("n"), "key", "found"))).alias("r")
+    rule = F.max(F.when(F.col("found").isNotNull(), F.struct(F.length("key").alias("n"), F.length(F.substring_index("key", "/", 1)).alias("host"), "key", "found"))).alias("r")
     return hits.groupBy("row", "page_id", "host", "path").agg(rule).select("page_id", "host", "path", F.col("r.key").alias("rule"), F.coalesce("r.found", F.lit(default)).alias("verdict"))

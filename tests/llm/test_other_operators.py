@@ -52,6 +52,45 @@ def test_check_digits_and_calendar_hold():
         datetime.date.fromisoformat(pii.date(F, d, False))
 
 
+def test_one_date_has_one_pseudonym_in_all_orders():
+    for iso in ("2020-12-25", "2020-03-04", "1999-12-12", "2024-02-29"):
+        y, m, d = iso.split("-")
+        late = [f"{m}/{d}/{y}"] if int(d) > 12 else []
+        new = pii.replace(" ".join([iso, f"{d}.{m}.{y}", f"{d}/{m}/{y}", *late]), F)[0].split()
+        y, m, d = new[0].split("-")
+        assert new == [f"{y}-{m}-{d}", f"{d}.{m}.{y}", f"{d}/{m}/{y}", *[f"{m}/{d}/{y}"][: len(late)]] and new[0] != iso
+        assert pii.replace(" ".join(new), F, True)[0].split()[0] == iso
+
+
+def test_long_secrets_and_many_values():
+    for n in (8, 128, 129, 3000):
+        value = "".join(random.Random(n).choices("abcXYZ0189", k=n))
+        new, kinds = pii.replace(f"password={value} end", F)
+        assert kinds == ["secret"] and new[9 : 9 + n] != value and new.endswith(" end") and pii.replace(new, F, True)[0] == f"password={value} end"
+        assert all(new[9 + k : 9 + k + 128] != value[k : k + 128] for k in range(0, n, 128))
+    began = time.time()
+    text = " ".join(f"joe{k}@mail{k % 7}.example.com" for k in range(20_000))
+    assert len(pii.replace(text, F)[1]) == 20_000 and time.time() - began < 20
+
+
+def test_table_round_trip(spark):
+    """All documents' values come back with the key, in one pass over the table each way; equal values have one pseudonym."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefg", k=rng.randint(2, 8)))
+    rows = [(k, " ".join(rng.choice([word(), word(), f" {rng.choice(list(CASES))},"]) for _ in range(rng.randrange(60)))) for k in range(200)] + [(500, None), (501, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    new = pii.pseudonymize(df, b"k")
+    back = {r.doc_id: r.text for r in pii.pseudonymize(new.select("doc_id", "text"), b"k", True).collect()}
+    assert back == dict(rows)
+    seen: dict[str, set[str]] = {}
+    for r in new.collect():
+        for old, value in zip((dict(rows)[r.doc_id] or "").split(","), (r.text or "").split(",")):
+            for case in CASES:
+                if old.endswith(f" {case}"):
+                    seen.setdefault(case, set()).add(value[-len(case) :])
+    assert len(seen) == len(CASES) and all(len(v) == 1 and v != {k} for k, v in seen.items())
+
+
 @pytest.mark.parametrize("text", ["", "version 3.1.4", "4111 1111 1111 1112", "2023-02-30", "999.1.2.3", "000-12-3456", "chapter 12, page 1234567890", "a@b", "1.2.3.4.5", "x" * 100_000, "1" * 5000])
 def test_what_does_not_validate_stays(text):
     assert pii.replace(text, F) == (text, [])
@@ -100,6 +139,16 @@ def test_url_verdicts(spark):
     assert url_filter.judge(df.limit(0), RULES).count() == 0 and {r.verdict for r in url_filter.judge(df, []).collect()} == {"allow"}
 
 
+def test_ties_and_long_hosts(spark):
+    rules = [("block", "a.b/"), ("allow", "b/c/"), ("block", "x.b/c"), ("allow", "b/ccc")]
+    df = spark.createDataFrame([(0, "http://a.b/c/x"), (1, "http://" + "a." * 16_000 + "b/c/"), (2, "http://x.b/ccc"), (3, "http://" + "." * 5000), (4, "http://" + "b" * 100_000 + "/" + "c/" * 10_000)], "page_id long, url string")
+    want = {0: "a.b/", 1: "a.b/", 2: "x.b/c", 3: None, 4: None}
+    began = time.time()
+    for judged in (url_filter.judge(df, rules), url_filter.judge_by_join(df, rules)):
+        assert {r.page_id: r.rule for r in judged.collect()} == want
+    assert time.time() - began < 20 and len(url_filter.candidates("a." * 100_000 + "b", "/c", [1], [1, 2])) == 2
+
+
 def test_colliding_digests_are_told_apart(monkeypatch):
     monkeypatch.setattr(url_filter, "digest", lambda key: len(key) % 3)
     rules = [("block", f"{c}.com/") for c in "abcdefgh"] + [("allow", "org/fr/")]
@@ -242,6 +291,72 @@ def test_verdicts_in_a_message(spark):
     assert row.n_valid == 1 and [c["valid"] for c in json.loads(row.message)["tool_calls"]] == [False, True, None]
 
 
+@pytest.mark.parametrize("spec", [{"required": True}, {"pattern": "("}, {"minimum": "0"}, {"enum": 5}, {"properties": [1]}, {"type": [{}]}, {"type": {}}, {"anyOf": 3}, {"items": 7}, {"format": []}, {"pattern": "(a+)+$"}, {"uniqueItems": True, "items": 3}, {"$ref": 5}, {"multipleOf": 0}, [], 3, None, "x"], ids=str)
+def test_no_schema_ends_a_job(spec):
+    for value in ({"a": 1}, 10**400, 1e308, "a" * 40 + "b", [1, [2], {"a": 1}] * 1000, None, True, {"$refs": []}):
+        assert chat.valid(value, spec) in (True, False, None)
+
+
+@pytest.mark.parametrize("text", ['{"id":1,"name":"add","arguments":{"a":NaN}}', '{"id":1,"name":"add","arguments":{"a":1e999}}', '{"id":"\\ud800","name":"\\udfff","arguments":{"a":"\\ud800"}}', '{"id":1,"name":"add","arguments":' + "[" * 5000 + "]" * 5000 + "}", '{"id":1,"name":"add","arguments":{"a":' + "9" * 400 + "}}", '{"id":1,"name":"add","arguments":{"a":' + "9" * 5000 + "}}", "null", "[]", "{", '{"id":[1],"name":"x","arguments":"{"}'], ids=lambda t: t[:40])
+def test_no_message_ends_a_job(spark, text):
+    df = spark.createDataFrame([(1, 0, "system", TOOLS), (1, 1, "assistant", f"<tool_call>{text}</tool_call>"), (1, 2, "tool", '{"tool_call_id":"\\ud800","content":"\\ud800"}')], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in chat.format_chat(df).collect()}
+    assert got[1].n_calls + got[1].n_broken == 1 and "NaN" not in (json.dumps(json.loads(got[1].message).get("tool_calls", 0))) and json.loads(got[2].message)["tool_results"][0]["tool_call_id"] == "\\ud800"
+
+
+def plain_chat(rows):
+    """The rows of format_chat, conversation by conversation and message by message."""
+    parsed = [(c, t, r, chat.parse(r, x)) for c, t, r, x in rows]
+    out = []
+    for conv in {c for c, *_ in parsed}:
+        mine = [(i, t, r, p) for i, (c, t, r, p) in enumerate(parsed) if c == conv]
+        first = lambda x: (x[1] is not None, x[1] or 0, x[0])
+        tools, owner, answer, at, uses = {}, {}, {}, {}, {}
+        for i, t, _, p in sorted(mine, key=first):
+            for x in p["tools"]:
+                tools.setdefault(x["name"], set()).add(x["spec"])
+            for c in p["calls"]:
+                if c["id"] is not None:
+                    owner.setdefault(c["id"], (i, c["k"]))
+                    at[c["id"]] = min(at.get(c["id"], 10**9), t or 0)
+                    uses.setdefault(c["id"], set()).update(c["refs"])
+            for x in p["results"]:
+                answer.setdefault(x["id"], t)
+        level: dict[str, int] = {}
+        while fresh := [c for c in at if c not in level and all(r in level or r not in at for r in uses[c])]:
+            level |= {c: max([at[c], *(level[r] + 1 for r in uses[c] if r in at)]) for c in fresh}
+        level |= {c: at[c] for c in at if c not in level}
+        for i, t, role, p in mine:
+            m: dict = {"role": role, "content": p["content"]}
+            calls = [{"id": c["id"], "name": c["name"], "arguments": json.loads(c["args"]), "valid": chat.valid(json.loads(c["args"]), json.loads(*tools[c["name"]])) if len(tools.get(c["name"], ())) == 1 else False, "linked": c["id"] is not None and owner[c["id"]] == (i, c["k"]) and c["id"] in answer} for c in p["calls"]]
+            results = [{"tool_call_id": x["id"], "content": json.loads(x["content"]), "linked": x["id"] in owner} for x in p["results"]]
+            m |= ({"tool_calls": calls} if calls else {}) | ({"tool_results": results} if results else {})
+            levels = [level[c["id"]] for c in calls if c["id"] is not None] + [level[x["tool_call_id"]] + 1 for x in results if x["linked"]]
+            position = max([t, *levels], default=None) if t is not None else max(levels, default=None)
+            out.append((conv, t, position, role, len(calls), sum(c["linked"] for c in calls), sum(c["valid"] is True for c in calls), len(results), sum(not x["linked"] for x in results), p["broken"], chat.canonical(m)))
+    return out
+
+
+def test_chat_against_a_plain_version(spark):
+    rng, rows = random.Random(4), []
+    for conv in [*range(25), -1, None]:
+        ids = [f"c{k}" for k in range(8)]
+        for turn in [*range(rng.randint(1, 9)), *([None] if rng.random() < 0.2 else [])]:
+            role, text = rng.choice(["user", "assistant", "tool"]), rng.choice(["", "é words ", "<tools>[]</tools>"])
+            if role == "tool":
+                text = rng.choice([json.dumps({"content": rng.randint(0, 9), "tool_call_id": rng.choice(ids)}), "plain", "<tool_result>{}</tool_result>"])
+            elif rng.random() < 0.7:
+                text += "".join(call(rng.choice([*ids, None]), rng.choice(["add", "mul"]), a=rng.choice([1, "x", {"$ref": rng.choice(ids)}]), b=1) for _ in range(rng.randint(0, 3)))
+            text += f"<tool_result>{json.dumps({'tool_call_id': rng.choice(ids), 'content': [1]})}</tool_result>" if rng.random() < 0.2 else ""
+            rows += [(conv, turn, role, rng.choice([text, text, text, TOOLS + text, None]))] * (1 if rng.random() < 0.9 else 2)
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(1).sortWithinPartitions("conv_id", "turn")).collect()
+    # messages of one turn own by their place, which a table does not have: such conversations are compared by their counts
+    alone = {c for c, *_ in rows if len({t for x, t, *_ in rows if x == c}) == sum(x == c for x, *_ in rows)}
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r) for r in got if r.conv_id in alone), key=key) == sorted((r for r in plain_chat(rows) if r[0] in alone), key=key) and len(alone) > 10 and {None, -1} & alone
+    assert len(got) == len(rows)
+
+
 def test_levels_have_no_bound(spark, monkeypatch):
     monkeypatch.setattr(chat, "MAX_DEPTH", 2, raising=False)
     calls = spark.createDataFrame([(1, f"c{k}", [f"c{k + 1}"] if k < 5 else [], 0) for k in range(6)], "conv_id long, id string, refs array<string>, at long")
