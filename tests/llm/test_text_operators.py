@@ -40,6 +40,19 @@ def test_other_vocabularies(spark, name):
     assert got == Counter((d, want(t)) for d, t, *_ in rows)
 
 
+@pytest.mark.parametrize("char", [" ", "\n", "x", "é"])
+def test_very_long_runs(char):
+    enc, text = tk.load(PATH, tk.file_bytes(PATH)), "a b" + char * 1_000_000 + " end"
+    assert enc.ids(text).tolist() == lib(text) and sum(enc.pieces(t) for t in token_counts.pre_tokens(text)) == len(lib(text))
+
+
+def test_long_pre_tokens_are_looked_up_by_digest(spark):
+    rows = [(k, f"{'漢字' * 200} short {'x' * n} {'x' * n}") for k, n in enumerate([1, 47, 48, 49, 50, 5000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, PATH).collect()}
+    assert got == {d: len(lib(t)) for d, t in rows}
+
+
 @pytest.mark.parametrize("head", [1 << 18, 5, 0])
 def test_token_counts(spark, head):
     rows = brute.corpus()
@@ -108,6 +121,16 @@ def test_quality_counts_and_verdicts(spark):
     assert kept.columns == brute.frame(spark).columns and kept.count() == sum(r.kept for r in out) and kept.first().n_words == "clash"
 
 
+def test_rows_that_repeat_a_doc_id(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(2), "b"), (1, text(1), "a"), (2, text(2), "c"), (None, text(3), "d"), (3, text(4), "e"), (3, text(4), "e"), (4, None, "f"), (5, "", "g"), (None, text(3), "h")]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string, first string").repartition(parts)
+        got = simhash.keep_one(df)
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, text(1), "a"), (None, text(3), "d"), (None, text(3), "h"), (3, text(4), "e"), (4, None, "f")], key=str)
+
+
 def test_sketches_merge(spark):
     from pyspark.sql import functions as F
 
