@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, shared_dir, written
+from .common import bounded, keep, shared_dir, written
 
 CALL = "struct<k:int,id:string,name:string,args:string,refs:array<string>>"
 RESULT = "struct<k:int,id:string,content:string>"
@@ -256,7 +256,7 @@ def parsed(conversations: DataFrame) -> DataFrame:
             rows = [{"conv_id": c, "turn": t, "role": r, **parse(r, x)} for c, t, r, x in zip(*(col.to_pylist() for col in batch.columns))]
             yield pa.RecordBatch.from_pylist(rows, schema=_arrow())
 
-    return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(run, PARSED)
+    return bounded(conversations).select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(run, PARSED)
 
 
 def _arrow() -> pa.Schema:

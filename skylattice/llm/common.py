@@ -37,6 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+#: Bytes of an Arrow batch: ten thousand long texts at once are more than a Python worker should hold.
+BATCH_BYTES = "4m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, for a Python stage: batches of its session hold BATCH_BYTES (and the last row) at most."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with as many _ after it as it takes to be none of df's columns."""
     taken = {c.lower() for c in df.columns}

@@ -34,13 +34,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
 
 
-def seeds(rows: DataFrame, key: str, span: int = SPAN, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """key, pos, seed of rows(key, words): one row for each position and mask."""
-    hashed = rows.select(key, F.transform("words", lambda w: F.xxhash64(w)).alias("h"), F.size("words").alias("n")).where(F.col("n") >= span)
-    side = F.arrays_zip(*[F.slice("h", j + 1, F.col("n") - (span - 1)).alias(f"w{j}") for j in range(span)])
-    at = hashed.select(key, "n", F.col("h")).select(key, F.posexplode(side).alias("pos", "w"))
-    each = [F.xxhash64(F.lit(k), *[F.col(f"w.w{j}") for j, bit in enumerate(mask) if bit == "1"]) for k, mask in enumerate(masks)]
-    return at.select(key, "pos", F.explode(F.array(*each)).alias("seed"))
+def seeds(rows: DataFrame, key: str, masks: dict[int, str]) -> DataFrame:
+    """key, pos, seed of rows(key, words): one row for each position and mask (by its number, which is part of
+    the hash) that the words from there on fill. Words are hashed and laid side by side once for all masks."""
+    width = max(map(len, masks.values()))
+    hashed = rows.select(key, F.transform("words", lambda w: F.xxhash64(w)).alias("h"), F.size("words").alias("n"))
+    side = F.arrays_zip(*[F.slice("h", j + 1, F.col("n")).alias(f"w{j}") for j in range(width)])  # null beyond the end
+    at = hashed.where(F.col("n") >= min(map(len, masks.values()))).select(key, F.posexplode(side).alias("pos", "w"))
+    each = [F.when(F.col(f"w.w{len(mask) - 1}").isNotNull(), F.xxhash64(F.lit(k), *[F.col(f"w.w{j}") for j, bit in enumerate(mask) if bit == "1"])) for k, mask in masks.items()]
+    return at.select(key, "pos", F.explode(F.array(*each)).alias("seed")).where("seed is not null")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree: int = AGREE) -> DataFrame:
@@ -54,9 +56,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words"))
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
     b = b.withColumn("size", F.least(F.size("words"), F.lit(window))).withColumn("run", F.expr(f"int(size div (size * {100 - agree} div 100 + 1))"))
-    hits = _hits(d, b, SPAN, MASKS, F.lit(True))
-    for n in sorted(r.run for r in b.select("run").distinct().collect()):  # window lengths at most
-        hits = hits.union(_hits(d, b.where(F.col("run") == n), n, ("1" * n,), F.lit(False)))
+    spaced = dict(enumerate(MASKS))
+    runs = {len(MASKS) + r.run: "1" * r.run for r in b.select("run").distinct().orderBy("run").collect()}  # window lengths at most
+    test = seeds(b, "item_id", spaced).withColumn("masked", F.lit(True))
+    for k, mask in runs.items():
+        test = test.union(seeds(b.where(F.col("run") == len(mask)), "item_id", {k: mask}).withColumn("masked", F.lit(False)))
+    test = test.select("item_id", F.col("pos").alias("item_pos"), "seed", "masked").distinct()
+    test = F.broadcast(test) if test.count() <= BROADCAST_SEEDS else test
+    hits = seeds(d, "doc_id", spaced | runs).join(test, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", "masked")
     # the region of the masks' hits alone, and that of all
     region = lambda p: F.struct(p.alias("masked"), F.min(F.when(F.col("masked") | ~p, F.col("item_pos"))).alias("first"), F.max(F.when(F.col("masked") | ~p, F.col("item_pos"))).alias("last"))
     hits = hits.groupBy("doc_id", "item_id", "diagonal").agg(F.array_distinct(F.array(region(F.lit(True)), region(F.lit(False)))).alias("r")).select("doc_id", "item_id", "diagonal", F.inline("r")).where("first is not null")
@@ -77,13 +84,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree:
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.matches", "m.compared", (-F.col("m.col3")).alias("doc_start"), (-F.col("m.col4")).alias("item_start"))
 
 
-def _hits(d: DataFrame, b: DataFrame, span: int, masks: tuple[str, ...], masked: Column) -> DataFrame:
-    """doc_id, item_id, diagonal, item_pos, masked: equal seeds of documents and items."""
-    test = seeds(b, "item_id", span, masks).select("item_id", F.col("pos").alias("item_pos"), "seed").distinct()
-    test = F.broadcast(test) if test.count() <= BROADCAST_SEEDS else test
-    return seeds(d, "doc_id", span, masks).join(test, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", masked.alias("masked"))
-
-
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without an overlap, columns as they were. Rows without a doc_id share one verdict, as do those
     that repeat one; null and empty texts have no overlap and stay."""

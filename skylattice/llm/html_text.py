@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 #: Labelled pages that the weights are fitted on: a bound, whatever the input.
 SAMPLE = 1200
 #: Weights are whole numbers, so that sums are exact in any order.
@@ -438,4 +440,4 @@ def extract(pages: DataFrame, weights: dict[str, int] | None = None) -> DataFram
             texts = [main_text(p.as_py(), weights) for p in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return bounded(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokenizer as tk
-from .common import written
+from .common import bounded, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block int, rank long"
 SLOTS = "length long, lo long, hi long, copies long, base long, shift long"
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: int
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "block", "rank", "ids"][: 7 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t, _ in zip(out, types, names)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def patterns(lengths: list[int], limit: int, most: int = 200_000) -> list[np.ndarray]:

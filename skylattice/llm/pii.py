@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 #: For tests and demonstration; a deployment passes a secret of its own.
 DEMO_KEY = b"demonstration key, not a secret"
 ROUNDS = 8
@@ -290,16 +292,16 @@ def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False) ->
                 kinds.append(sorted(set(found)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(kinds, pa.list_(pa.string()))], names=["doc_id", "text", "n_values", "kinds"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text string, n_values long, kinds array<string>")
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text string, n_values long, kinds array<string>")
 
 
 def replace_in(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
     """docs with pseudonyms in its text, all other columns as they are. A null text stays null, an empty one empty; rows
     that repeat are each replaced alike."""
 
-    @F.pandas_udf("string")
+    @F.arrow_udf("string")
     def new(texts):
         f = Feistel(key)
-        return texts.map(lambda t: None if t is None else replace(t, f)[0])
+        return pa.array([None if t is None else replace(t, f)[0] for t in map(pa.StringScalar.as_py, texts)], pa.string())
 
-    return docs.withColumn("text", new(F.col("text").cast("string")))
+    return bounded(docs).withColumn("text", new(F.col("text").cast("string")))

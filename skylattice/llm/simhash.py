@@ -16,11 +16,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, free_name, written
+from .common import bounded, connected_components, free_name, written
 
 BITS, SEGMENTS, REACH = 64, 4, 3
 #: Fingerprints compared with each other in one key; larger keys are split, never cut.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t.as_py(), n) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -208,7 +208,7 @@ NEAR_ERRORS = 3.0
 BROADCAST_NAMES = 1_000_000
 #: Keys of up to so many times CAP rows are compared block by block; larger ones are split by bits first.
 BLOCKS = 16
-_DIGESTS_KEPT = 200_000
+_DIGESTS_KEPT = 50_000
 
 
 class _Digests(dict):
@@ -263,12 +263,21 @@ def signatures(docs: DataFrame) -> DataFrame:
             cols = [np.array([g[k][i] for g in got], dtype=np.uint64).view(np.int64) for k in (1, 2) for i in range(WIDE // 64)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), *[pa.array(c) for c in cols]], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _near(limit: int, every: bool):
-    """Rows (met, node, root, signature) sorted by met: pairs within the limit and of different roots, all rows
-    of a run of equal met against each other. Every such pair, or else a forest of them for each run."""
+def _near(limit: int, k: int):
+    """Rows (met, node, root, signature) sorted by met -> node, other, bits, more: the k nearest rows of a run of
+    equal met for each of its rows, of another root and within the limit (by bits, then node); more: it has
+    more than these. All rows of a run are compared with each other."""
+
+    def nearest(node: np.ndarray, found: list[np.ndarray], seen: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        i, j, d = np.concatenate(found, 1)
+        order = np.lexsort((node[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        seen = np.maximum(seen, np.bincount(i, minlength=len(node)))
+        return [np.stack([x[rank < k] for x in (i, j, d)])], seen
 
     def run(batches):
         rest = None
@@ -283,50 +292,31 @@ def _near(limit: int, every: bool):
                 now = rest
             if now is None or not now.shape[1]:
                 continue
-            met, node, sig = now[0], now[1], now[3:].view(np.uint64)
-            alive, step, part = np.arange(len(met)), 1, now[2].copy() if every else np.arange(len(met))
+            met, node, root, sig = now[0], now[1], now[2], now[3:].view(np.uint64)
+            alive, step, found, held, seen = np.arange(len(met)), 1, [], 0, np.zeros(len(met), np.int64)
             while True:
                 alive = alive[alive + step < len(met)]
                 alive = alive[met[alive] == met[alive + step]]
                 if not len(alive):
                     break
-                apart = alive[part[alive] != part[alive + step]]
+                apart = alive[root[alive] != root[alive + step]]
                 d = _bits(sig[:, apart] ^ sig[:, apart + step]).astype(np.int64).sum(0)
-                good = apart[d <= limit]
-                if len(good) and every:
-                    x, y = node[good], node[good + step]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-                elif len(good):
-                    yield _joined(part, node, good, good + step)
+                good = d <= limit
+                i, d = apart[good], d[good]
+                found += [np.stack([i, i + step, d]), np.stack([i + step, i, d])]
+                held += 2 * len(i)
+                if held > 2_000_000:
+                    found, seen = nearest(node, found, seen)
+                    held = found[0].shape[1] - 1_000_000  # what is kept anyhow does not count
                 step += 1
+            if found:
+                found, seen = nearest(node, found, seen)
+                i, j, d = found[0]
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(d), pa.array(seen[i] > k)], names=["node", "other", "bits", "more"])
 
     return run
 
 
-def _joined(part: np.ndarray, node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    """Of these pairs, those that join two parts; part names each row's part and is brought up to date."""
-    parent: dict[int, int] = {}
-
-    def find(x):
-        while (p := parent.get(x, x)) != x:
-            parent[x] = parent.get(p, p)
-            x = p
-        return x
-
-    a, b = [], []
-    for x, y in zip(i.tolist(), j.tolist()):
-        p, q = find(int(part[x])), find(int(part[y]))
-        if p != q:
-            parent[p] = q
-            a.append(min(int(node[x]), int(node[y])))
-            b.append(max(int(node[x]), int(node[y])))
-    to = np.arange(len(part))
-    old = list(parent)
-    to[old] = [find(x) for x in old]
-    part[:] = to[part]
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
 def _slots(classes: DataFrame) -> DataFrame:
     """A row for each class and key: met (digest of the key), mask and w (its word of the signature)."""
     masks = [_signed(m) for m in first_masks()]
@@ -338,9 +328,9 @@ def _keys(rows: DataFrame) -> DataFrame:
     return rows.withColumn("met", F.xxhash64("word", "mask", F.col("w").bitwiseAND(F.col("mask"))))
 
 
-def candidates(classes: DataFrame, cap: int = CAP, blocks: int = BLOCKS, every: bool = False) -> DataFrame:
-    """Pairs (a, b) of nodes that connect all pairs of classes which meet under a key and are within the limit;
-    with every, all such pairs whose classes differ in root.
+def candidates(classes: DataFrame, k: int = 1, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
+    """node, other, more: for each of the classes (node, root, signatures) the k nearest of other roots that it
+    meets under a key within the limit; more: there are others.
 
     A key of more than cap rows is cut into blocks, and each pair of blocks is compared: no pair of its
     rows is left out. One of more than blocks * cap is dealt again by the bits its mask leaves open, as in
@@ -348,17 +338,17 @@ def candidates(classes: DataFrame, cap: int = CAP, blocks: int = BLOCKS, every:
     """
     parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     g = [f"g{i}" for i in range(WIDE // 64)]
-    out, rows = None, _slots(classes if every else classes.withColumn("root", F.lit(0).cast("long")))
+    out, rows = None, _slots(classes)
     for level in range(1, 6):
         sizes = rows.groupBy("met").agg(F.count("*").alias("n")).where(f"n > {cap}")
         large = written(sizes.select("met", F.ceil(F.col("n") / cap).cast("long").alias("blocks")))
-        more = level < 5 and large.where(f"blocks > {blocks}").limit(1).count() > 0
+        more = level < 5 and not large.where(f"blocks > {blocks}").isEmpty()
         small = F.broadcast(large) if large.count() <= 100_000 else large
         dealt = rows.join(small, "met", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         dealt = dealt.where(f"blocks <= {blocks}") if more else dealt
         dealt = dealt.select("*", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
         pair = F.when(F.col("blocks") == 1, F.col("met")).otherwise(F.xxhash64("met", F.least("own", "other"), F.greatest("own", "other")))
-        met = dealt.select(pair.alias("met"), "node", "root", *g).repartition(parts, "met").sortWithinPartitions("met", *g, "node").mapInArrow(_near(most_bits(), every), "a long, b long")
+        met = dealt.select(pair.alias("met"), "node", "root", *g).repartition(parts, "met").sortWithinPartitions("met").mapInArrow(_near(most_bits(), k), "node long, other long, bits long, more boolean")
         out = met if out is None else out.union(met)
         if not more:
             break
@@ -366,7 +356,13 @@ def candidates(classes: DataFrame, cap: int = CAP, blocks: int = BLOCKS, every:
         over = rows.join(small, "met").where(f"blocks > {blocks}").select("node", "root", "word", "mask", "w", *g)
         finer = written(over.select("mask").distinct().select("mask", F.explode(split("mask")).alias("finer")))
         rows = written(_keys(over.join(F.broadcast(finer), "mask").drop("mask").withColumnRenamed("finer", "mask").distinct()))
-    return out.distinct()
+    if k == 1:  # a partial minimum before the shuffle
+        nearest = out.groupBy("node").agg(F.min(F.struct("bits", "other")).alias("x"), (F.max("more") | (F.min("other") < F.max("other"))).alias("more"))
+        return nearest.select("node", "x.other", "more")
+    each = out.groupBy("node", "other").agg(F.min("bits").alias("bits"), F.max("more").alias("more"))  # a node has k under a key at most
+    by = Window.partitionBy("node")
+    ranked = each.select("node", "other", F.row_number().over(by.orderBy("bits", "other")).alias("rank"), (F.max("more").over(by) | (F.count("*").over(by) > k)).alias("more"))
+    return ranked.where(F.col("rank") <= k).select("node", "other", "more")
 
 
 def shingle_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
@@ -384,37 +380,63 @@ def shingle_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
 
     ids = need.select(F.col("least").alias("_least")).where("_least is not null").distinct()
     ids = F.broadcast(ids) if need.count() <= BROADCAST_NAMES else ids
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = d.join(ids, F.col("doc_id") == F.col("_least"), "left_semi")
     if not need.where("least is null").isEmpty():
         texts = texts.union(d.where("doc_id is null"))
     return texts.select("text").mapInArrow(run, "node long, grams array<long>").join(need.select("node"), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
 
 
-def judged(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, near of pairs(a, b): whether the sets of shingles have the similarity, exactly."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = written(shingle_sets(docs, written(classes.select("node", "least").join(nodes, "node", "left_semi"))))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (same * 100 >= (F.size("x") + F.size("y") - same) * round(100 * NEAR_SIMILARITY)).alias("near"))
 
 
-def near_pairs(classes: DataFrame, docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
-    """Confirmed pairs (a, b) of nodes that connect all candidates of the similarity.
+def near_roots(classes: DataFrame, docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
+    """node, root of classes(node, least, signatures) that are linked with others: root is the same for all that links
+    of the similarity connect.
 
-    First a forest of the candidates is judged. Where a pair of it fails, others that it stood for may hold:
-    all candidates whose classes are not connected by then are judged too.
+    In rounds: each class names its nearest candidates outside of its own component, these pairs are judged by
+    the sets, and components grow by those that hold. So a pair within a component is never judged, and a
+    large group of copies costs a few judgements a copy, not all its pairs. A class names k candidates, four times
+    as many in each round; it is through when it has no candidate left that is not judged.
     """
-    first = written(judged(written(candidates(classes, cap, blocks)), classes, docs))
-    near = first.where("near").select("a", "b")
-    if first.where("not near").isEmpty():
-        return near
-    root = written(connected_components(near))
-    nodes = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).distinct()
-    open_ = written(classes.join(nodes, "node", "left_semi").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    rest = written(candidates(open_, cap, blocks, every=True).join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    return near.union(judged(rest, classes, docs).where("near").select("a", "b"))
+    classes = classes.drop("root")
+    shared = classes.groupBy("least").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1 and least is not null")
+    edges = written(classes.join(shared, "least").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    roots = None if edges.isEmpty() else written(connected_components(edges))
+    active, known, sets, k = classes, None, None, 1
+
+    def rooted(df: DataFrame) -> DataFrame:
+        if roots is None:
+            return df.withColumn("root", F.col("node"))
+        return df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    while True:
+        named = written(candidates(rooted(active), k, cap, blocks))
+        pairs = named.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        pairs = written(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
+        if pairs.isEmpty() and named.where("more").isEmpty():
+            return classes.select("node").limit(0).withColumn("root", F.col("node")) if roots is None else roots
+        nodes = written(named.select("node").union(named.select(F.col("other").alias("node"))).distinct())
+        active = classes.join(nodes, "node", "left_semi")
+        if sets is None:  # later rounds have no other nodes
+            sets = written(shingle_sets(docs, written(active.select("node", "least"))))
+        new = written(judged(pairs, sets))
+        known = new.select("a", "b") if known is None else known.union(new.select("a", "b"))
+        near = new.where("near").select("a", "b")
+        if not near.isEmpty():
+            if roots is None:
+                roots = written(connected_components(near))
+            else:  # components of components
+                side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+                merged = near.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+                of = written(connected_components(merged)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+                fresh = of.join(roots.select("root"), "root", "left_anti").select(F.col("root").alias("node"), "top")
+                roots = written(roots.join(of, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(fresh))
+        k *= 4
 
 
 def near_groups(docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
@@ -422,20 +444,17 @@ def near_groups(docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFr
 
     Equal word sequences are one class. Classes meet where a segment and a half of the next agree in one of
     four SimHashes of their word sets; those whose 256-bit SimHashes of the shingle sets are within three
-    standard errors are compared by the sets themselves. Keys are dealt by their digest, so that none is cut between tasks, and all rows of a key
-    are compared (see candidates()).
+    standard errors are candidates, judged by the sets themselves. Keys are dealt by their digest, so that none is
+    cut between tasks, and all rows of a key are compared (see candidates()). Null, empty and blank texts
+    are one class, texts of fewer than five words have their whole sequence as the only shingle; rows
+    that repeat a doc_id are linked.
     """
     sig = written(signatures(docs))
     n = range(WIDE // 64)
-    classes = sig.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(f"{k}{i}").alias(f"{k}{i}") for k in "wg" for i in n])
-    nameless = F.col("node").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))  # beyond all ids: never the smallest of a group with one
-    classes = written(classes.withColumn("name", F.coalesce("least", nameless)))
-    edges = written(near_pairs(classes, docs, cap, blocks))
-    name = lambda c: classes.select(F.col("node").alias(c), F.col("name").alias(f"{c}_name"))
-    edges = edges.join(name("a"), "a").join(name("b"), "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
-    root = connected_components(edges).select(F.col("node").alias("name"), "root")  # smallest id that links reach
-    component = F.coalesce("root", "name")
-    ids = classes.select("node", "name").join(root, "name", "left").select("node", F.when(component < (1 << 62), component).alias("component_id"))
+    classes = written(sig.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(f"{k}{i}").alias(f"{k}{i}") for k in "wg" for i in n]))
+    roots = near_roots(classes, docs, cap, blocks)
+    ids = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    ids = ids.join(ids.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return sig.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
 
 

@@ -8,8 +8,9 @@ share theirs. So a run of windows travels as one row, keyed by its minimizer, wi
 window's own hash: two windows are equal if key and hash are, 112 bits in all.
 
 Minimizers that are very frequent (under HOT_KEYS of them, by counting) would put many rows on one
-key. Their windows are keyed one by one, and each task sends a window once, however often it met
-it: windows met twice in a task are settled there.
+key. Their windows are keyed one by one, by their hash and 48 bits of a second one, and a task sends a
+window once for each SEEN windows that it holds, however often it met it: windows met twice in between
+are settled there.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded, written
 
 WINDOW, GRAM = 35, 8
 #: At most so many minimizers can each have 1 / HOT_KEYS of all runs; below HOT_RUNS none counts as hot.
-HOT_KEYS, HOT_RUNS = 1 << 17, 1000
+HOT_KEYS, HOT_RUNS = 1 << 21, 1000  # 16 MB broadcast at most
+#: Windows of frequent minimizers that a task holds before it sends them (about 300 bytes each).
+SEEN = 500_000
 #: Runs that a task compares at once (about 120 bytes each).
 RUNS_A_TASK = 100_000
 RUN, SINGLE, SETTLED = 0, 1, 2
@@ -91,6 +94,13 @@ def windows(text: str | None, window: int = WINDOW, gram: int = GRAM) -> tuple[n
     return mixed(grams(h, window)), at, g[at]
 
 
+def second(text: str, window: int) -> np.ndarray:
+    """48 bits of another hash of each window, as rows of six bytes."""
+    w = words(text)
+    h = mixed(np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w)))
+    return mixed(grams(h, window)).view(np.uint8).reshape(-1, 8)[:, :6]
+
+
 def _starts(at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
 
@@ -170,7 +180,15 @@ def _flag_runs(flags: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.nda
 def _send(hot_sent, window: int, gram: int):
     def run(batches):
         hot, out = hot_sent.value, _Out()
-        seen: dict[int, list] = {}  # of frequent minimizers: window hash -> [times, doc, digest, start]
+        seen: dict[int, list] = {}  # of frequent minimizers: window hash -> [times, doc, digest, start, second hash]
+
+        def send_seen():
+            for v, (times, doc, digest, i, more) in seen.items():
+                out.add(np.array([v], np.uint64), SINGLE, doc, digest, np.array([i]), np.array([min(times, 2)]), more, np.array([0, 6]))
+                if out.size > 20_000:
+                    yield out.take()
+            seen.clear()
+
         for batch in batches:
             for doc, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 got = windows(text.as_py(), window, gram)
@@ -179,15 +197,15 @@ def _send(hot_sent, window: int, gram: int):
                 h, at, key = got
                 a = _starts(at)
                 n = np.diff(np.r_[a, len(at)])
-                is_hot = np.isin(key[a], hot) if len(hot) else np.zeros(len(a), bool)
+                is_hot = hot[np.minimum(np.searchsorted(hot, key[a]), len(hot) - 1)] == key[a] if len(hot) else np.zeros(len(a), bool)
                 six = h.view(np.uint8).reshape(-1, 8)[:, :6]
                 if is_hot.any():
                     each = np.repeat(is_hot, n)
-                    settled = np.zeros(len(h), bool)
+                    settled, other = np.zeros(len(h), bool), second(text.as_py(), window)
                     for i in np.flatnonzero(each).tolist():
                         met = seen.get(v := int(h[i]))
                         if met is None:
-                            seen[v] = [1, doc, digest, i]
+                            seen[v] = [1, doc, digest, i, other[i].tobytes()]
                         else:
                             settled[i] = True
                             met[0] += 1
@@ -202,10 +220,9 @@ def _send(hot_sent, window: int, gram: int):
                 out.add(key_a, RUN, doc, digest, a, n, six.tobytes(), np.r_[0, np.cumsum(n) * 6])
                 if out.size > 20_000:
                     yield out.take()
-        for v, (times, doc, digest, i) in seen.items():
-            out.add(np.array([v], np.uint64), SINGLE, doc, digest, np.array([i]), np.array([min(times, 2)]))
-            if out.size > 20_000:
-                yield out.take()
+                if len(seen) > SEEN:
+                    yield from send_seen()
+        yield from send_seen()
         yield out.take()
 
     return run
@@ -226,16 +243,15 @@ def _meet(batches):
     owner = np.repeat(np.arange(len(kind)), size)
     first = np.cumsum(size) - size
     within = np.arange(len(owner)) - first[owner]
-    code = np.empty(len(owner), np.uint64)
     run_at = kind[owner] == RUN
     raw = np.frombuffer(b"".join(t.column("hashes").to_pylist()), np.uint8).reshape(-1, 6)
     six = np.zeros((len(raw), 8), np.uint8)
     six[:, :6] = raw
-    code[run_at] = mixed(six.view(np.uint64).reshape(-1) * np.uint64(_BASE) + key[owner[run_at]])
-    code[~run_at] = mixed(key[owner[~run_at]])
-    order = np.lexsort((run_at, code))
-    c, r = code[order], run_at[order]
-    same = (c[1:] == c[:-1]) & (r[1:] == r[:-1])
+    six, key = six.view(np.uint64).reshape(-1), key[owner]
+    code = mixed(six * np.uint64(_BASE) + key + run_at)
+    order = np.argsort(code, kind="stable")
+    alike = lambda x: x[order[1:]] == x[order[:-1]]
+    same = alike(code) & alike(key) & alike(six) & alike(run_at)
     twice = np.zeros(len(code), bool)
     twice[order] = np.r_[same, False] | np.r_[False, same]
     twice &= run_at | (n[owner] == 1)  # a single met twice in its own task is settled already
@@ -250,7 +266,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """doc_id, digest (of the text), spans array<struct<start, n>>: the windows, by first word, that occur
     at another place too. One row for each doc_id and text that has any."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("digest"), F.col("text").cast("string"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("digest"), F.col("text").cast("string"))
     hot, total = frequent(rows, window, gram)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RUNS_A_TASK + 1)
     sent = rows.mapInArrow(_send(spark.sparkContext.broadcast(hot), window, gram), ROWS)
@@ -290,6 +306,6 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: b
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(texts, pa.string())] * with_text, names=names + ["text"] * with_text)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("digest", F.xxhash64("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("digest", F.xxhash64("text"))
     joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("digest") == F.col("s_digest")), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else ""))

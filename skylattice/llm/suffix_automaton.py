@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 from .substring_dedup import words
 
 #: Words of a shard, and the most that a reference may have in all (about 250 bytes a word in an automaton).
@@ -134,4 +136,4 @@ def remove_reference(docs: DataFrame, reference: DataFrame, least: int = 35, sha
                 texts.append(b" ".join(x for x, g in zip(w, out.tolist()) if not g).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(stream, "doc_id long, n_words long, n_removed long, text string")
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(stream, "doc_id long, n_words long, n_removed long, text string")

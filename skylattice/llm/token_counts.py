@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizer as tk
-from .common import written
+from .common import bounded, written
 
 #: At most so many pre-tokens are broadcast.
 HEAD = 1 << 18
@@ -69,7 +69,7 @@ def vocabulary(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([enc.pieces(t) for t in batch.column(0).to_pylist()], pa.int64())], names=["token", "pairs", "pieces"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(distinct, "token string, pairs long").groupBy("token").agg(F.sum("pairs").alias("pairs"))
+    found = bounded(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(distinct, "token string, pairs long").groupBy("token").agg(F.sum("pairs").alias("pairs"))
     return written(found.mapInArrow(count, "token string, pairs long, pieces long"))
 
 

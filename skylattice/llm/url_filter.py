@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 ALLOW, BLOCK = "allow", "block"
 MAX_BROADCAST = 256 << 20
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
@@ -141,7 +143,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = ALLOW)
             )
 
     built_key = xxhash.xxh64_hexdigest(built["digests"] + "\n".join(built["strings"] + built["verdicts"]).encode())
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(run, SCHEMA)
+    return bounded(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(run, SCHEMA)
 
 
 def judge_by_join(pages: DataFrame, rules, default: str = ALLOW) -> DataFrame:

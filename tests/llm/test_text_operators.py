@@ -319,8 +319,26 @@ def _classes(spark, rng, n):
 @pytest.mark.parametrize("cap, blocks", [(300, 16), (100, 2)])
 def test_pairs_meet_in_large_keys(spark, cap, blocks):
     rng = random.Random(cap)
-    got = simhash.candidates(_classes(spark, rng, 1500), cap, blocks).collect()
-    assert [(r.a, r.b) for r in got] == [(0, 1)]
+    classes = _classes(spark, rng, 1500).selectExpr("*", "node as root")
+    for k in (1, 3):
+        assert sorted(map(tuple, simhash.candidates(classes, k, cap, blocks).collect())) == [(0, 1, False), (1, 0, False)]
+    assert simhash.candidates(classes.withColumn("root", classes.node * 0), 1, cap, blocks).count() == 0
+
+
+def test_each_names_its_nearest(spark):
+    """All within the limit of each other: k are named, and that there are more."""
+    sig = [[(1 << j) - 1, 0, 0, 0] for j in range(12)]
+    df = spark.createDataFrame([(j, j // 2, *[0] * 4, *s) for j, s in enumerate(sig)], ", ".join(f"{c} long" for c in ["node", "root", *[f"{k}{i}" for k in "wg" for i in range(4)]]))
+    for cap in (1000, 4):
+        for k in (1, 3, 20):
+            want = {}
+            for j in range(12):
+                others = sorted((abs(i - j), i) for i in range(12) if i // 2 != j // 2)
+                want[j] = ([i for _, i in others[:k]], len(others) > k)
+            got: dict = {}
+            for r in simhash.candidates(df, k, cap).collect():
+                got.setdefault(r.node, ([], r.more))[0].append(r.other)
+            assert {j: (sorted(o), m) for j, (o, m) in got.items()} == {j: (sorted(o), m) for j, (o, m) in want.items()}
 
 
 def test_near_groups_are_those_of_the_exact_similarity(spark):
@@ -343,7 +361,9 @@ def test_near_groups_are_those_of_the_exact_similarity(spark):
             for b in range(a - a % 10, a):
                 if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                     root[a] = root[b] = min(root[a], root[b])
-    got = {r.doc_id: r.component_id for r in simhash.near_groups(df).where("doc_id is not null").collect()}
+    found = lambda *a: {r.doc_id: r.component_id for r in simhash.near_groups(df.repartition(a[0]), *a[1:]).where("doc_id is not null and doc_id <> 7").collect()}
+    got = found(1)
+    assert got == found(7, 50, 100)  # neither on partitions nor on blocks
     wrong = [d for d in sets if got[d] != root[d]]
     assert len({*root.values()}) > 45 and len(wrong) <= 0.01 * len(sets) and got[1000] == 0
     assert all(root[d] <= got[d] for d in sets)  # nothing linked that is not near
