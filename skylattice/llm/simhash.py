@@ -200,20 +200,22 @@ def components(docs: DataFrame, n: int = 3, cap: int = CAP) -> DataFrame:
 
 # --- near-duplicate groups at a similarity below what three bits reach ------------------------------
 
-#: Words of a shingle, least similarity of the shingle sets, and bits of the signature that estimates it.
-NEAR_WORDS, NEAR_SIMILARITY, WIDE = 5, 0.8, 256
+#: Words of a shingle, least similarity of the shingle sets, and bits of the signatures of the sets of words and of shingles.
+NEAR_WORDS, NEAR_SIMILARITY, MET, WIDE = 5, 0.8, 256, 512
 #: Standard errors of the estimate by which pairs just below are still candidates for the exact comparison.
-NEAR_ERRORS = 3.0
+NEAR_ERRORS = 2.0
 #: Documents of candidates up to so many are picked by broadcast (8 bytes each); more by shuffle.
 BROADCAST_NAMES = 1_000_000
 #: Keys of up to so many times CAP rows are compared block by block; larger ones are split by bits first.
 BLOCKS = 16
-_DIGESTS_KEPT = 50_000
+#: Candidates that a class names in a round, as a multiple of those of the round before.
+MORE = 8
+_DIGESTS_KEPT = 200_000
 
 
 class _Digests(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        d = xxhash.xxh3_128_digest(word, 1) + xxhash.xxh3_128_digest(word, 2)
+    def __missing__(self, word: bytes) -> int:
+        d = xxhash.xxh3_64_intdigest(word)
         if len(self) >= _DIGESTS_KEPT:
             self.clear()
         self[word] = d
@@ -223,26 +225,37 @@ class _Digests(dict):
 _digests = _Digests()
 
 
-def wide(digests: list[bytes]) -> np.ndarray:
-    """The majority bits of 32-byte digests, as four words."""
-    if not digests:
-        return np.zeros(WIDE // 64, np.uint64)
-    total = np.zeros(WIDE, np.int64)
-    for at in range(0, len(digests), 255 * 64):
-        part = np.frombuffer(b"".join(digests[at : at + 255 * 64]), np.uint8).reshape(-1, WIDE // 8)
-        bits = np.unpackbits(part, axis=1, bitorder="little")
-        for k in range(0, len(bits), 255):  # sums of 255 ones fit a byte
-            total += bits[k : k + 255].sum(0, dtype=np.uint8)
+def _mixed(x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th word of further bits of 64-bit digests."""
+    x = (x + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
+def wide(digests: np.ndarray, bits: int) -> np.ndarray:
+    """The majority bits of the digests, as words of 64."""
+    total = np.zeros(bits, np.int64)
+    for at in range(0, len(digests), 255 * 16):
+        part = digests[at : at + 255 * 16]
+        rows = np.stack([_mixed(part, k) for k in range(bits // 64)], 1).view(np.uint8)
+        rows = np.unpackbits(rows, axis=1, bitorder="little")
+        for k in range(0, len(rows), 255):  # sums of 255 ones fit a byte
+            total += rows[k : k + 255].sum(0, dtype=np.uint8)
     return np.packbits(2 * total > len(digests), bitorder="little").view(np.uint64)
 
 
+def shingle_set(w: list[bytes]) -> np.ndarray:
+    """Digests of the set of shingles, sorted."""
+    parts = set(shingles(w, NEAR_WORDS))
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts)))
+
+
 def signature(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
     """Digest of the words, signature of the set of words (where candidates meet) and of the set of five-word
     shingles (what is compared)."""
     w = words(text)
-    parts = set(shingles(w, NEAR_WORDS))
-    grams = [xxhash.xxh3_128_digest(x, 1) + xxhash.xxh3_128_digest(x, 2) for x in parts]
-    return xxhash.xxh3_64_intdigest(b" ".join(w)), wide([_digests[x] for x in set(w)]), wide(grams)
+    own = set(w)
+    return xxhash.xxh3_64_intdigest(b" ".join(w)), wide(np.fromiter(map(_digests.__getitem__, own), np.uint64, len(own)), MET), wide(shingle_set(w), WIDE)
 
 
 def most_bits(similarity: float = NEAR_SIMILARITY, errors: float = NEAR_ERRORS) -> int:
@@ -252,16 +265,18 @@ def most_bits(similarity: float = NEAR_SIMILARITY, errors: float = NEAR_ERRORS)
     return int(WIDE * p + errors * np.sqrt(WIDE * p * (1 - p)))
 
 
+_W, _G = [f"w{i}" for i in range(MET // 64)], [f"g{i}" for i in range(WIDE // 64)]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (digest of the words), w0..w3, g0..g3."""
-    names = ["doc_id", "node", *[f"{k}{i}" for k in "wg" for i in range(WIDE // 64)]]
+    """doc_id, node (digest of the words), w0..w3, g0..g7."""
+    names = ["doc_id", "node", *_W, *_G]
 
     def run(batches):
         for batch in batches:
-            got = [signature(t.as_py()) for t in batch.column(1)]
-            node = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
-            cols = [np.array([g[k][i] for g in got], dtype=np.uint64).view(np.int64) for k in (1, 2) for i in range(WIDE // 64)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), *[pa.array(c) for c in cols]], names=names)
+            node, met, sig = zip(*[signature(t.as_py()) for t in batch.column(1)]) if batch.num_rows else ([], [], [])
+            cols = np.concatenate([np.array(met, np.uint64).reshape(-1, len(_W)), np.array(sig, np.uint64).reshape(-1, len(_G))], 1).view(np.int64).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), *[pa.array(np.ascontiguousarray(c)) for c in cols]], names=names)
 
     return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
@@ -320,8 +335,8 @@ def _near(limit: int, k: int):
 def _slots(classes: DataFrame) -> DataFrame:
     """A row for each class and key: met (digest of the key), mask and w (its word of the signature)."""
     masks = [_signed(m) for m in first_masks()]
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("word"), F.lit(m).cast("long").alias("mask"), F.col(f"w{i}").alias("w")) for i in range(WIDE // 64) for m in masks])).alias("s")
-    return _keys(classes.select("node", "root", *[f"g{i}" for i in range(WIDE // 64)], each).select("*", "s.*").drop("s"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("word"), F.lit(m).cast("long").alias("mask"), F.col(f"w{i}").alias("w")) for i in range(len(_W)) for m in masks])).alias("s")
+    return _keys(classes.select("node", "root", *_G, each).select("*", "s.*").drop("s"))
 
 
 def _keys(rows: DataFrame) -> DataFrame:
@@ -337,7 +352,6 @@ def candidates(classes: DataFrame, k: int = 1, cap: int = CAP, blocks: int = BLO
     links(), until few are open.
     """
     parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    g = [f"g{i}" for i in range(WIDE // 64)]
     out, rows = None, _slots(classes)
     for level in range(1, 6):
         sizes = rows.groupBy("met").agg(F.count("*").alias("n")).where(f"n > {cap}")
@@ -348,12 +362,12 @@ def candidates(classes: DataFrame, k: int = 1, cap: int = CAP, blocks: int = BLO
         dealt = dealt.where(f"blocks <= {blocks}") if more else dealt
         dealt = dealt.select("*", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
         pair = F.when(F.col("blocks") == 1, F.col("met")).otherwise(F.xxhash64("met", F.least("own", "other"), F.greatest("own", "other")))
-        met = dealt.select(pair.alias("met"), "node", "root", *g).repartition(parts, "met").sortWithinPartitions("met").mapInArrow(_near(most_bits(), k), "node long, other long, bits long, more boolean")
+        met = dealt.select(pair.alias("met"), "node", "root", *_G).repartition(parts, "met").sortWithinPartitions("met").mapInArrow(_near(most_bits(), k), "node long, other long, bits long, more boolean")
         out = met if out is None else out.union(met)
         if not more:
             break
         split = F.udf(lambda m: [_signed((m & (1 << 64) - 1) | p) for p in _part_masks(~m & (1 << 64) - 1, 4)], T.ArrayType(T.LongType()))
-        over = rows.join(small, "met").where(f"blocks > {blocks}").select("node", "root", "word", "mask", "w", *g)
+        over = rows.join(small, "met").where(f"blocks > {blocks}").select("node", "root", "word", "mask", "w", *_G)
         finer = written(over.select("mask").distinct().select("mask", F.explode(split("mask")).alias("finer")))
         rows = written(_keys(over.join(F.broadcast(finer), "mask").drop("mask").withColumnRenamed("finer", "mask").distinct()))
     if k == 1:  # a partial minimum before the shuffle
@@ -370,13 +384,10 @@ def shingle_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            nodes, grams = [], []
-            for t in batch.column(0):
-                w = words(t.as_py())
-                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(w)))
-                parts = set(shingles(w, NEAR_WORDS))
-                grams.append(np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in parts), np.uint64, len(parts))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"])
+            own = [words(t.as_py()) for t in batch.column(0)]
+            nodes = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in own], np.uint64).view(np.int64)
+            grams = pa.array([shingle_set(w).view(np.int64) for w in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), grams], names=["node", "grams"])
 
     ids = need.select(F.col("least").alias("_least")).where("_least is not null").distinct()
     ids = F.broadcast(ids) if need.count() <= BROADCAST_NAMES else ids
@@ -389,6 +400,8 @@ def shingle_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
 
 def judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, near of pairs(a, b): whether the sets of shingles have the similarity, exactly."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = sets.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NAMES else nodes, "node", "left_semi")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (same * 100 >= (F.size("x") + F.size("y") - same) * round(100 * NEAR_SIMILARITY)).alias("near"))
@@ -400,8 +413,8 @@ def near_roots(classes: DataFrame, docs: DataFrame, cap: int = CAP, blocks: int
 
     In rounds: each class names its nearest candidates outside of its own component, these pairs are judged by
     the sets, and components grow by those that hold. So a pair within a component is never judged, and a
-    large group of copies costs a few judgements a copy, not all its pairs. A class names k candidates, four times
-    as many in each round; it is through when it has no candidate left that is not judged.
+    large group of copies costs a few judgements a copy, not all its pairs. A class names k candidates, MORE
+    times as many in each round; it is through when it has no candidate left that is not judged.
     """
     classes = classes.drop("root")
     shared = classes.groupBy("least").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1 and least is not null")
@@ -436,22 +449,21 @@ def near_roots(classes: DataFrame, docs: DataFrame, cap: int = CAP, blocks: int
                 of = written(connected_components(merged)).select(F.col("node").alias("root"), F.col("root").alias("top"))
                 fresh = of.join(roots.select("root"), "root", "left_anti").select(F.col("root").alias("node"), "top")
                 roots = written(roots.join(of, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(fresh))
-        k *= 4
+        k *= MORE
 
 
 def near_groups(docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, component_id: documents whose sets of five-word shingles have a similarity of 0.8 or more are linked.
 
     Equal word sequences are one class. Classes meet where a segment and a half of the next agree in one of
-    four SimHashes of their word sets; those whose 256-bit SimHashes of the shingle sets are within three
+    four SimHashes of their word sets; those whose 512-bit SimHashes of the shingle sets are within two
     standard errors are candidates, judged by the sets themselves. Keys are dealt by their digest, so that none is
     cut between tasks, and all rows of a key are compared (see candidates()). Null, empty and blank texts
     are one class, texts of fewer than five words have their whole sequence as the only shingle; rows
     that repeat a doc_id are linked.
     """
     sig = written(signatures(docs))
-    n = range(WIDE // 64)
-    classes = written(sig.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(f"{k}{i}").alias(f"{k}{i}") for k in "wg" for i in n]))
+    classes = written(sig.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in (*_W, *_G)]))
     roots = near_roots(classes, docs, cap, blocks)
     ids = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = ids.join(ids.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")

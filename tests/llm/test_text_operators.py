@@ -306,14 +306,14 @@ def test_near_groups_and_keep_one(spark):
 
 
 def _classes(spark, rng, n):
-    """n classes under one key of each word, the first two of a pair 39 bits apart in the shingles' signature."""
-    sig = [[rng.getrandbits(64) for _ in range(4)] for _ in range(n)]
-    flips = rng.sample(range(256), 39)
+    """n classes under one key of each word, the first two of a pair 78 bits apart in the shingles' signature."""
+    sig = [[rng.getrandbits(64) for _ in range(8)] for _ in range(n)]
+    flips = rng.sample(range(512), 78)
     sig[1] = [w ^ sum(1 << b % 64 for b in flips if b // 64 == i) for i, w in enumerate(sig[0])]
     order = rng.sample(range(n), n)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     rows = [(k, *[(k * 7 if k > 1 else 0) % 1024 << 54 & (1 << 63) - 1] * 4, *map(signed, sig[k])) for k in order]
-    return spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ["node", *[f"{k}{i}" for k in "wg" for i in range(4)]]))
+    return spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ["node", *[f"w{i}" for i in range(4)], *[f"g{i}" for i in range(8)]]))
 
 
 @pytest.mark.parametrize("cap, blocks", [(300, 16), (100, 2)])
@@ -327,8 +327,7 @@ def test_pairs_meet_in_large_keys(spark, cap, blocks):
 
 def test_each_names_its_nearest(spark):
     """All within the limit of each other: k are named, and that there are more."""
-    sig = [[(1 << j) - 1, 0, 0, 0] for j in range(12)]
-    df = spark.createDataFrame([(j, j // 2, *[0] * 4, *s) for j, s in enumerate(sig)], ", ".join(f"{c} long" for c in ["node", "root", *[f"{k}{i}" for k in "wg" for i in range(4)]]))
+    df = spark.createDataFrame([(j, j // 2, *[0] * 4, (1 << j) - 1, *[0] * 7) for j in range(12)], ", ".join(f"{c} long" for c in ["node", "root", *[f"w{i}" for i in range(4)], *[f"g{i}" for i in range(8)]]))
     for cap in (1000, 4):
         for k in (1, 3, 20):
             want = {}
