@@ -202,8 +202,9 @@ def components(docs: DataFrame, n: int = 3, cap: int = CAP) -> DataFrame:
 
 #: Words of a shingle, least similarity of the shingle sets, and bits of the signatures of the sets of words and of shingles.
 NEAR_WORDS, NEAR_SIMILARITY, MET, WIDE = 5, 0.8, 256, 512
-#: Standard errors of the estimate by which pairs just below are still candidates for the exact comparison.
-NEAR_ERRORS = 2.0
+#: Standard errors of the estimate by which pairs just below are still candidates for the exact comparison. Each more finds
+#: a little more at the very edge of the similarity (measured in the README), at several times the comparisons in vain.
+NEAR_ERRORS = 1.0
 #: Documents of candidates up to so many are picked by broadcast (8 bytes each); more by shuffle.
 BROADCAST_NAMES = 1_000_000
 #: Keys of up to so many times CAP rows are compared block by block; larger ones are split by bits first.
@@ -400,7 +401,7 @@ def shingle_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
 
 def judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, near of pairs(a, b): whether the sets of shingles have the similarity, exactly."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = sets.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NAMES else nodes, "node", "left_semi")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
@@ -456,8 +457,8 @@ def near_groups(docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFr
     """doc_id, component_id: documents whose sets of five-word shingles have a similarity of 0.8 or more are linked.
 
     Equal word sequences are one class. Classes meet where a segment and a half of the next agree in one of
-    four SimHashes of their word sets; those whose 512-bit SimHashes of the shingle sets are within two
-    standard errors are candidates, judged by the sets themselves. Keys are dealt by their digest, so that none is
+    four SimHashes of their word sets; those whose 512-bit SimHashes of the shingle sets are within one
+    standard error are candidates, judged by the sets themselves. Keys are dealt by their digest, so that none is
     cut between tasks, and all rows of a key are compared (see candidates()). Null, empty and blank texts
     are one class, texts of fewer than five words have their whole sequence as the only shingle; rows
     that repeat a doc_id are linked.
