@@ -158,7 +158,7 @@ def associate(observations: DataFrame, stations: list[Station], policy: str = "g
     names = [s.name for s in stations]
     rank = F.coalesce(*[F.when(F.col("station") == n, F.lit(i)) for i, n in enumerate(names)])
     rows = observations.withColumn("rank", rank).where("rank is not null and raw_hex is not null and norm is not null")
-    rows = rows.dropDuplicates(["raw_hex", "id"])
+    rows = rows.groupBy("raw_hex", "id").agg(F.min_by(F.struct(*rows.columns), F.struct("norm", "rank", "utc_ns")).alias("r")).select("r.*")
     burst = gap_segments(rows, ["raw_hex"], "norm", reach, ["rank", "id"])
     shared = burst.groupBy("raw_hex", "segment").agg(F.min("rank").alias("_a"), F.max("rank").alias("_z")).where("_a < _z").select("raw_hex", "segment")
     burst = burst.join(shared, ["raw_hex", "segment"], "left_semi") if policy != "strict" else burst

@@ -101,11 +101,12 @@ def condition(jac) -> np.ndarray:
     return np.where(low > 1e-20, np.sqrt((half + root) / np.maximum(low, 1e-20)), np.inf)
 
 
-def branches(frame: Frame, tdoa_us: np.ndarray, altitudes_m: np.ndarray, sigma_us: np.ndarray | None = None) -> pd.DataFrame:
+def branches(frame: Frame, tdoa_us: np.ndarray, altitudes_m: np.ndarray, sigma_us: np.ndarray | None = None, own: bool = False) -> pd.DataFrame:
     """All distinct solutions of each event and altitude: event, altitude_m, branch, lat, lon, rms_us, max_us,
-    weighted_rms, condition, center_km, by rms. tdoa_us is (events, n - 1), against the first station."""
-    e, k, s = len(tdoa_us), len(altitudes_m), len(frame.starts)
-    alt = np.tile(np.repeat(altitudes_m, s), e)
+    weighted_rms, condition, center_km, by rms. tdoa_us is (events, n - 1), against the first station.
+    own: altitudes_m has one altitude for each event, not a grid for all."""
+    e, k, s = len(tdoa_us), 1 if own else len(altitudes_m), len(frame.starts)
+    alt = np.tile(np.repeat(altitudes_m, s), 1 if own else e)
     start = np.tile(frame.starts, (e * k, 1))
     measured = np.repeat(tdoa_us, k * s, axis=0) * LIGHT_MPS * 1e-6
     x = descend(frame, start, alt, measured)
@@ -125,7 +126,7 @@ def branches(frame: Frame, tdoa_us: np.ndarray, altitudes_m: np.ndarray, sigma_u
         keep += [g * s + i for i in sorted(found, key=lambda i: rms[g * s + i])]
     keep = np.array(keep, dtype=int)
     lane = keep // s
-    out = pd.DataFrame({"event": lane // k, "altitude_m": altitudes_m[lane % k], "lat": lat[keep], "lon": lon[keep], "rms_us": rms[keep], "max_us": top[keep], "weighted_rms": weighted[keep], "condition": cond[keep], "center_km": centre[keep]})
+    out = pd.DataFrame({"event": lane // k, "altitude_m": altitudes_m[lane if own else lane % k], "lat": lat[keep], "lon": lon[keep], "rms_us": rms[keep], "max_us": top[keep], "weighted_rms": weighted[keep], "condition": cond[keep], "center_km": centre[keep]})
     out["branch"] = out.groupby(["event", "altitude_m"]).cumcount()
     return out
 
@@ -171,7 +172,7 @@ def classify(found: pd.DataFrame, s: Settings = Settings(), empty: str = "BLIND_
     if best.weighted_rms > 1.5:
         return "BLIND_INCONSISTENT", best, margin
     close = margin is not None and margin < 0.5 and first[1].weighted_rms / max(best.weighted_rms, 1e-12) < 1.5
-    rival = any(r.weighted_rms - best.weighted_rms < 0.5 and _km(r, best) > s.family_radius_km for r in wide if r.center_km > s.primary_radius_km)
+    rival = any(r.weighted_rms - best.weighted_rms < 0.5 and _km(r, best) > s.family_radius_km for r in wide)  # inside the primary radius too
     return ("BLIND_MULTIPLE" if close or rival else "BLIND_UNIQUE"), best, margin
 
 
@@ -227,18 +228,22 @@ def solve(events: DataFrame, stations: list[Station], settings: Settings = Setti
     return events.select("event_id", "tdoa_us").mapInPandas(go, schema.SOLUTIONS)
 
 
-def solve_with_altitude(events: DataFrame, stations: list[Station]) -> DataFrame:
+def solve_with_altitude(events: DataFrame, stations: list[Station], size: int = 128) -> DataFrame:
     """events(event_id, tdoa_us, altitude_m) solved at their own altitude, by three stations or more:
-    event_id, classification, lat, lon, rms_us, branches."""
+    event_id, classification, lat, lon, rms_us, branches. `size` events share a pass of the kernel."""
     frame = Frame(stations)
 
     def go(it):
         for pdf in it:
             rows = []
-            for e in pdf.itertuples():
-                found = branches(frame, np.array([e.tdoa_us]), np.array([e.altitude_m], float))
-                best = select(found)
-                rows.append((e.event_id, classify_known_altitude(found), *((None,) * 3 if best is None else (best.lat, best.lon, best.rms_us)), len(found)))
+            for a in range(0, len(pdf), size):
+                part = pdf.iloc[a : a + size].reset_index(drop=True)
+                found = branches(frame, np.stack(part["tdoa_us"].to_numpy()), part["altitude_m"].to_numpy(float), own=True)
+                groups = dict(list(found.groupby("event")))
+                for i, event in enumerate(part["event_id"]):
+                    mine = groups.get(i, found.iloc[:0])
+                    best = select(mine)
+                    rows.append((event, classify_known_altitude(mine), *((None,) * 3 if best is None else (best.lat, best.lon, best.rms_us)), len(mine)))
             yield pd.DataFrame(rows, columns=["event_id", "classification", "lat", "lon", "rms_us", "branches"])
 
     return events.select("event_id", "tdoa_us", "altitude_m").mapInPandas(go, "event_id string, classification string, lat double, lon double, rms_us double, branches int")

@@ -289,13 +289,21 @@ def track_yield(points: DataFrame, key: str, reach_s: float = 5.0) -> DataFrame:
 
 
 def trajectory_distance(a: DataFrame, b: DataFrame, on: str, reach_s: float) -> DataFrame:
-    """Hausdorff and mean nearest distance between points(on, t, lat, lon) of two sources, each point against the
-    other's points within reach in time."""
+    """on, hausdorff_m, mean_nearest_m (of a's points), unmatched: distances between points(on, t, lat, lon) of two
+    sources, each point against the other's points within reach in time. A point with none in reach has no
+    distance: it counts as unmatched, and the Hausdorff distance of its key is infinite. Keys of one source
+    alone are left out."""
     side = lambda d, k: d.select(F.col(on), F.col("t").alias(f"t{k}"), F.col("lat").alias(f"la{k}"), F.col("lon").alias(f"lo{k}"))
     near = band_join(side(a, 1), side(b, 2), [on], "t1", "t2", reach_s).withColumn("d", geo.haversine("la1", "lo1", "la2", "lo2", EARTH_M))
-    one = near.groupBy(on, "t1").agg(F.min("d").alias("d")).groupBy(on).agg(F.max("d").alias("m1"), F.avg("d").alias("a1"))
-    two = near.groupBy(on, "t2").agg(F.min("d").alias("d")).groupBy(on).agg(F.max("d").alias("m2"))
-    return one.join(two, on).select(on, F.greatest("m1", "m2").alias("hausdorff_m"), F.col("a1").alias("mean_nearest_m"))
+
+    def of(points: DataFrame, k: int) -> DataFrame:
+        nearest = near.groupBy(on, f"t{k}").agg(F.min("d").alias("d"))
+        every = points.select(on, F.col("t").alias(f"t{k}")).distinct().join(nearest, [on, f"t{k}"], "left")
+        return every.groupBy(on).agg(F.max("d").alias(f"m{k}"), F.avg("d").alias(f"a{k}"), F.count_if(F.col("d").isNull()).alias(f"u{k}"))
+
+    unmatched = F.col("u1") + F.col("u2")
+    far = F.when(unmatched > 0, float("inf")).otherwise(F.greatest("m1", "m2"))
+    return of(a, 1).join(of(b, 2), on).select(on, far.alias("hausdorff_m"), F.col("a1").alias("mean_nearest_m"), unmatched.alias("unmatched"))
 
 
 def cotracks(a: DataFrame, b: DataFrame, reach_s: float = 3.0, apart_s: float = 1.0) -> DataFrame:

@@ -169,21 +169,32 @@ def planner_layouts(spark, d):
 def _payloads(spark, d):
     """14-byte payloads of format 17, by rule from the event's number, with their parity made right."""
     k = F.col("event_id")
-    head = F.concat(F.lit("8d"), F.lpad(F.lower(F.hex(k * 7919 % 16777216)), 6, "0"), F.lpad(F.lower(F.hex(k * 104729 % 72057594037927936)), 14, "0"))
+    field = k * 104729 % 4194304 * 17179869184 + k * 600000007 % 17179869184  # all type codes, heights and places
+    head = F.concat(F.lit("8d"), F.lpad(F.lower(F.hex(k * 7919 % 16777216)), 6, "0"), F.lpad(F.lower(F.hex(field)), 14, "0"))
     p = table(spark, d, "events").select("event_id", F.concat(head, F.lit("000000")).alias("body"))
     return p.select("event_id", F.concat(F.substring("body", 1, 22), F.lpad(F.lower(F.hex(modes.crc24(F.col("body")))), 6, "0")).alias("raw_hex"))
 
 
-@query("SELECT event_id, 17 AS df, lpad(lower(hex(event_id * 7919 % 16777216)), 6, '0') AS icao, 0::BIGINT AS residual FROM events")
+@query("""
+WITH f AS (SELECT event_id, event_id * 104729 % 4194304 * 17179869184 + event_id * 600000007 % 17179869184 AS me FROM events),
+t AS (SELECT event_id, me, me >> 51 AS tc, (me >> 36) & 4095 AS a FROM f),
+u AS (SELECT *, tc BETWEEN 9 AND 18 AS airborne FROM t)
+SELECT event_id, 17 AS df, lpad(lower(hex(event_id * 7919 % 16777216)), 6, '0') AS icao, 0::BIGINT AS residual, tc::INT AS type_code,
+  CASE WHEN airborne AND (a & 16) <> 0 THEN ((a >> 5) * 16 + (a & 15)) * 25 - 1000 ELSE -9999 END::BIGINT AS altitude_ft, CASE WHEN airborne THEN (me >> 34) & 1 ELSE -1 END::BIGINT AS cpr_odd,
+  CASE WHEN airborne THEN (me >> 17) & 131071 ELSE -1 END::BIGINT AS cpr_lat, CASE WHEN airborne THEN me & 131071 ELSE -1 END::BIGINT AS cpr_lon FROM u""")
 def decode_payloads(spark, d):
     p = _payloads(spark, d).withColumn("m", modes.decode(F.col("raw_hex")))
-    return p.select("event_id", "m.df", "m.icao", modes.crc24(F.col("raw_hex")).cast("long").alias("residual"))
+    known = [F.coalesce(F.col(f"m.{c}").cast("long"), F.lit(none).cast("long")).alias(c) for c, none in (("altitude_ft", -9999), ("cpr_odd", -1), ("cpr_lat", -1), ("cpr_lon", -1))]
+    return p.select("event_id", "m.df", "m.icao", modes.crc24(F.col("raw_hex")).cast("long").alias("residual"), "m.type_code", *known)
 
 
 CPR_PLACES = "p AS (SELECT c_custkey, -60 + (c_custkey % 1201) * 0.1 AS lat, -179 + (c_custkey % 3571) * 0.1 AS lon FROM customer)"
 
 
-@query(f"WITH {CPR_PLACES} SELECT c_custkey, true AS even_ok, true AS odd_ok FROM p")
+@query(f"""
+WITH {CPR_PLACES}, r AS (SELECT *, {", ".join(f"{360 / z} * (floor(131072 * (lat - {360 / z} * floor(lat / {360 / z})) / {360 / z} + 0.5) / 131072 + floor(lat / {360 / z})) AS r{z}" for z in (60, 59))} FROM p),
+n AS (SELECT *, {", ".join(f"CASE WHEN abs(r{z}) >= 87 THEN 1 ELSE floor(2 * pi() / acos(1 - (1 - cos(pi() / 30)) / cos(radians(r{z})) ** 2)) END AS n{z}" for z in (60, 59))} FROM r)
+SELECT c_custkey, n60 = n59 AS even_ok, n60 = n59 AS odd_ok FROM n""")
 def position_round_trip(spark, d):
     """Positions coded as an even and an odd report, and decoded again to within the code's step."""
     k = F.col("c_custkey")
@@ -201,7 +212,7 @@ def position_round_trip(spark, d):
     for name, odd in (("even_ok", False), ("odd_ok", True)):
         g = modes.global_position(ey, ex, oy, ox, F.lit(odd))
         near = (F.abs(g["lat"] - F.col("lat")) < 1e-3) & (geo.angle_difference(g["lon"], F.col("lon")) < 1e-3)
-        out[name] = F.coalesce(near, F.lit(True))  # the two zones may differ: then there is no position
+        out[name] = F.coalesce(near, F.lit(False))  # where the zones of the two differ there is no position
     return p.select("c_custkey", *[v.alias(n) for n, v in out.items()])
 
 

@@ -155,7 +155,9 @@ SELECT l_suppkey, round(0.30 * (row_number() OVER (ORDER BY m1, l_suppkey) - 1)
   + 0.20 * (row_number() OVER (ORDER BY m5, l_suppkey) - 1) / (count(*) OVER () - 1), 9) AS score FROM m""")
 def rank_composite(spark, d):
     m = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg("l_extendedprice"), 6).alias("m1"), F.round(F.avg("l_quantity"), 6).alias("m2"), F.round(F.avg("l_discount"), 6).alias("m3"), F.round(F.avg("l_tax"), 6).alias("m4"), F.count("*").alias("m5"))
-    score = sum((w * stats.rank01(m, f"m{k + 1}", "l_suppkey") for k, w in enumerate(stats.COMPOSITE_WEIGHTS)), F.lit(0.0))
+    for k in range(5):
+        m = stats.rank01(m, f"m{k + 1}", "l_suppkey", f"r{k + 1}")
+    score = sum((w * F.col(f"r{k + 1}") for k, w in enumerate(stats.COMPOSITE_WEIGHTS)), F.lit(0.0))
     return m.select("l_suppkey", F.round(score, 9).alias("score"))
 
 

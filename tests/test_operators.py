@@ -192,3 +192,46 @@ def test_band_join_against_all_pairs(spark):
     A, B = spark.createDataFrame(a, "k int, ta long, ia long"), spark.createDataFrame(b, "k int, tb long, ib long")
     got = {(r.ia, r.ib) for r in matching.band_join(A, B, ["k"], "ta", "tb", 7).collect()}
     assert got == {(x[2], y[2]) for x, y in itertools.product(a, b) if x[0] == y[0] and abs(x[1] - y[1]) <= 7}
+
+
+def _solution(weighted, center_km, lat=20.0, lon=106.0):
+    return {"weighted_rms": weighted, "rms_us": weighted, "center_km": center_km, "lat": lat, "lon": lon, "altitude_m": 3000.0, "condition": 10.0}
+
+
+@pytest.mark.parametrize("rows, kind", [
+    ([], "BLIND_INCONSISTENT"), ([_solution(0.2, 2000)], "BLIND_INCONSISTENT"), ([_solution(1.6, 100)], "BLIND_INCONSISTENT"), ([_solution(0.2, 100)], "BLIND_UNIQUE"),
+    ([_solution(0.2, 100), _solution(0.3, 110, 20.1)], "BLIND_UNIQUE"),  # one family
+    ([_solution(0.2, 100), _solution(0.6, 200, 21.5)], "BLIND_MULTIPLE"),  # a rival inside the radius, whatever the ratio
+    ([_solution(0.2, 100), _solution(0.6, 2500, 40.0)], "BLIND_MULTIPLE"),  # and one beyond it
+    ([_solution(0.2, 100), _solution(0.8, 200, 21.5)], "BLIND_UNIQUE"), ([_solution(1.0, 100), _solution(1.4, 200, 21.5)], "BLIND_MULTIPLE"), ([_solution(0.2, 100), _solution(0.3, 3500, 50.0)], "BLIND_UNIQUE"),
+    ([_solution(0.2, 100) | {"condition": 1e9}], "BLIND_INCONSISTENT"),
+])
+def test_each_branch_of_the_blind_class(rows, kind):
+    found = pd.DataFrame(rows, columns=list(_solution(0, 0))).astype(float)
+    assert solver.classify(found)[0] == kind
+
+
+def test_far_points_make_the_distance_infinite(spark):
+    cols = "key string, t double, lat double, lon double"
+    a = spark.createDataFrame([("x", 0.0, 20.0, 106.0), ("x", 10.0, 20.1, 106.0), ("y", 0.0, 20.0, 106.0), ("y", 500.0, 20.0, 106.0)], cols)
+    b = spark.createDataFrame([("x", 1.0, 20.0, 106.0), ("x", 11.0, 20.1, 106.0), ("y", 1.0, 20.0, 106.0)], cols)
+    got = {r.key: r for r in tracking.trajectory_distance(a, b, "key", 5.0).collect()}
+    assert got["x"].hausdorff_m == 0 and got["x"].unmatched == 0 and got["y"].hausdorff_m == float("inf") and got["y"].unmatched == 1
+
+
+def test_scans_of_the_robust_refit_do_not_grow(spark):
+    from skylattice.functions import stats
+
+    df = spark.range(400).selectExpr("id % 2 as k", "double(id) as x", "double(id * 3 + case when id % 50 = 0 then 1000 else id % 3 end) as y")
+    plans = [stats.robust_refit(df, ["k"], "x", "y", (500.0, 100.0, 10.0, 5.0)[:n]) for n in (1, 4)]
+    scans = [p._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 400") for p in plans]
+    assert scans == [1, 1] and plans[1].count() == 392
+
+
+def test_rank_over_ranges(spark):
+    from skylattice.functions import stats
+
+    df = spark.range(1000).selectExpr("id", "id * 7919 % 101 as v")
+    want = {r: i / 999 for i, r in enumerate(sorted(range(1000), key=lambda k: (k * 7919 % 101, k)))}
+    got = {r.id: r.rank for r in stats.rank01(df, "v", "id", "rank").collect()}
+    assert got == pytest.approx(want) and stats.rank01(df.limit(1), "v", "id", "rank").first().rank == 0 and stats.rank01(df.limit(0), "v", "id", "rank").count() == 0
