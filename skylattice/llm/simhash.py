@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, connected_components, free_name, written
+from .common import bounded, bucketed, connected_components, free_name, written
 
 BITS, SEGMENTS, REACH = 64, 4, 3
 #: Fingerprints compared with each other in one key; larger keys are split, never cut.
@@ -202,9 +202,9 @@ def components(docs: DataFrame, n: int = 3, cap: int = CAP) -> DataFrame:
 
 #: Words of a shingle, least similarity of the shingle sets, and bits of the signatures of the sets of words and of shingles.
 NEAR_WORDS, NEAR_SIMILARITY, MET, WIDE = 5, 0.8, 256, 512
-#: Standard errors of the estimate by which pairs just below are still candidates for the exact comparison. Each more finds
-#: a little more at the very edge of the similarity (measured in the README), at several times the comparisons in vain.
-NEAR_ERRORS = 1.0
+#: Standard errors of the estimate by which pairs just below are still candidates for the exact comparison. Fewer
+#: miss pairs at the very edge of the similarity (one: 23 of 8,999 links on 0.1 GB, two: 6).
+NEAR_ERRORS = 2.0
 #: Documents of candidates up to so many are picked by broadcast (8 bytes each); more by shuffle.
 BROADCAST_NAMES = 1_000_000
 #: Keys of up to so many times CAP rows are compared block by block; larger ones are split by bits first.
@@ -283,9 +283,17 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _near(limit: int, k: int):
-    """Rows (met, node, root, signature) sorted by met -> node, other, bits, more: the k nearest rows of a run of
-    equal met for each of its rows, of another root and within the limit (by bits, then node); more: it has
-    more than these. All rows of a run are compared with each other."""
+    """Rows (met, slot, node, root, w0..w3, g0..g7) sorted by met -> node, other, bits, more: the k nearest rows of a run
+    of equal met for each of its rows, of another root and within the limit (by bits, then node); more: it has
+    more than these. All rows of a run are compared with each other; a pair that meets under several of the first
+    keys counts under the first of them only."""
+    masks = [np.uint64(m) for m in first_masks()]
+
+    def first_slot(x: np.ndarray) -> np.ndarray:
+        out = np.full(x.shape[1], -1, np.int64)
+        for slot in reversed(range(len(x) * len(masks))):
+            out[x[slot // len(masks)] & masks[slot % len(masks)] == 0] = slot
+        return out
 
     def nearest(node: np.ndarray, found: list[np.ndarray], seen: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         i, j, d = np.concatenate(found, 1)
@@ -308,7 +316,8 @@ def _near(limit: int, k: int):
                 now = rest
             if now is None or not now.shape[1]:
                 continue
-            met, node, root, sig = now[0], now[1], now[2], now[3:].view(np.uint64)
+            met, slot, node, root = now[:4]
+            word, sig = now[4 : 4 + len(_W)].view(np.uint64), now[4 + len(_W) :].view(np.uint64)
             alive, step, found, held, seen = np.arange(len(met)), 1, [], 0, np.zeros(len(met), np.int64)
             while True:
                 alive = alive[alive + step < len(met)]
@@ -319,6 +328,8 @@ def _near(limit: int, k: int):
                 d = _bits(sig[:, apart] ^ sig[:, apart + step]).astype(np.int64).sum(0)
                 good = d <= limit
                 i, d = apart[good], d[good]
+                own = (slot[i] < 0) | (first_slot(word[:, i] ^ word[:, i + step]) == slot[i])
+                i, d = i[own], d[own]
                 found += [np.stack([i, i + step, d]), np.stack([i + step, i, d])]
                 held += 2 * len(i)
                 if held > 2_000_000:
@@ -334,10 +345,11 @@ def _near(limit: int, k: int):
 
 
 def _slots(classes: DataFrame) -> DataFrame:
-    """A row for each class and key: met (digest of the key), mask and w (its word of the signature)."""
+    """A row for each class and key: met (digest of the key), slot (the key's number), mask and w (its word of the
+    signature)."""
     masks = [_signed(m) for m in first_masks()]
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("word"), F.lit(m).cast("long").alias("mask"), F.col(f"w{i}").alias("w")) for i in range(len(_W)) for m in masks])).alias("s")
-    return _keys(classes.select("node", "root", *_G, each).select("*", "s.*").drop("s"))
+    each = F.explode(F.array(*[F.struct(F.lit(i * len(masks) + k).cast("long").alias("slot"), F.lit(i).alias("word"), F.lit(m).cast("long").alias("mask"), F.col(f"w{i}").alias("w")) for i in range(len(_W)) for k, m in enumerate(masks)])).alias("s")
+    return _keys(classes.select("node", "root", *_W, *_G, each).select("*", "s.*").drop("s"))
 
 
 def _keys(rows: DataFrame) -> DataFrame:
@@ -363,12 +375,12 @@ def candidates(classes: DataFrame, k: int = 1, cap: int = CAP, blocks: int = BLO
         dealt = dealt.where(f"blocks <= {blocks}") if more else dealt
         dealt = dealt.select("*", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
         pair = F.when(F.col("blocks") == 1, F.col("met")).otherwise(F.xxhash64("met", F.least("own", "other"), F.greatest("own", "other")))
-        met = dealt.select(pair.alias("met"), "node", "root", *_G).repartition(parts, "met").sortWithinPartitions("met").mapInArrow(_near(most_bits(), k), "node long, other long, bits long, more boolean")
+        met = dealt.select(pair.alias("met"), "slot", "node", "root", *_W, *_G).repartition(parts, "met").sortWithinPartitions("met").mapInArrow(_near(most_bits(), k), "node long, other long, bits long, more boolean")
         out = met if out is None else out.union(met)
         if not more:
             break
         split = F.udf(lambda m: [_signed((m & (1 << 64) - 1) | p) for p in _part_masks(~m & (1 << 64) - 1, 4)], T.ArrayType(T.LongType()))
-        over = rows.join(small, "met").where(f"blocks > {blocks}").select("node", "root", "word", "mask", "w", *_G)
+        over = rows.join(small, "met").where(f"blocks > {blocks}").select(F.lit(-1).cast("long").alias("slot"), "node", "root", "word", "mask", "w", *_W, *_G)
         finer = written(over.select("mask").distinct().select("mask", F.explode(split("mask")).alias("finer")))
         rows = written(_keys(over.join(F.broadcast(finer), "mask").drop("mask").withColumnRenamed("finer", "mask").distinct()))
     if k == 1:  # a partial minimum before the shuffle
@@ -396,13 +408,11 @@ def shingle_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
     texts = d.join(ids, F.col("doc_id") == F.col("_least"), "left_semi")
     if not need.where("least is null").isEmpty():
         texts = texts.union(d.where("doc_id is null"))
-    return texts.select("text").mapInArrow(run, "node long, grams array<long>").join(need.select("node"), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
+    return texts.select("text").mapInArrow(run, "node long, grams array<long>").join(need.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, near of pairs(a, b): whether the sets of shingles have the similarity, exactly."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = sets.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NAMES else nodes, "node", "left_semi")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (same * 100 >= (F.size("x") + F.size("y") - same) * round(100 * NEAR_SIMILARITY)).alias("near"))
@@ -437,7 +447,7 @@ def near_roots(classes: DataFrame, docs: DataFrame, cap: int = CAP, blocks: int
         nodes = written(named.select("node").union(named.select(F.col("other").alias("node"))).distinct())
         active = classes.join(nodes, "node", "left_semi")
         if sets is None:  # later rounds have no other nodes
-            sets = written(shingle_sets(docs, written(active.select("node", "least"))))
+            sets = bucketed(shingle_sets(docs, written(active.select("node", "least"))), "node")
         new = written(judged(pairs, sets))
         known = new.select("a", "b") if known is None else known.union(new.select("a", "b"))
         near = new.where("near").select("a", "b")
@@ -457,8 +467,8 @@ def near_groups(docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFr
     """doc_id, component_id: documents whose sets of five-word shingles have a similarity of 0.8 or more are linked.
 
     Equal word sequences are one class. Classes meet where a segment and a half of the next agree in one of
-    four SimHashes of their word sets; those whose 512-bit SimHashes of the shingle sets are within one
-    standard error are candidates, judged by the sets themselves. Keys are dealt by their digest, so that none is
+    four SimHashes of their word sets; those whose 512-bit SimHashes of the shingle sets are within two
+    standard errors are candidates, judged by the sets themselves. Keys are dealt by their digest, so that none is
     cut between tasks, and all rows of a key are compared (see candidates()). Null, empty and blank texts
     are one class, texts of fewer than five words have their whole sequence as the only shingle; rows
     that repeat a doc_id are linked.
