@@ -204,7 +204,7 @@ def components(docs: DataFrame, n: int = 3, cap: int = CAP) -> DataFrame:
 NEAR_WORDS, NEAR_SIMILARITY, MET, WIDE = 5, 0.8, 256, 512
 #: Standard errors of the estimate by which pairs just below are still candidates for the exact comparison. Fewer
 #: miss pairs at the very edge of the similarity (one: 23 of 8,999 links on 0.1 GB, two: 6).
-NEAR_ERRORS = 2.0
+NEAR_ERRORS = 3.0
 #: Documents of candidates up to so many are picked by broadcast (8 bytes each); more by shuffle.
 BROADCAST_NAMES = 1_000_000
 #: Keys of up to so many times CAP rows are compared block by block; larger ones are split by bits first.
@@ -467,7 +467,7 @@ def near_groups(docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFr
     """doc_id, component_id: documents whose sets of five-word shingles have a similarity of 0.8 or more are linked.
 
     Equal word sequences are one class. Classes meet where a segment and a half of the next agree in one of
-    four SimHashes of their word sets; those whose 512-bit SimHashes of the shingle sets are within two
+    four SimHashes of their word sets; those whose 512-bit SimHashes of the shingle sets are within three
     standard errors are candidates, judged by the sets themselves. Keys are dealt by their digest, so that none is
     cut between tasks, and all rows of a key are compared (see candidates()). Null, empty and blank texts
     are one class, texts of fewer than five words have their whole sequence as the only shingle; rows
