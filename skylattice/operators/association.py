@@ -211,10 +211,12 @@ def clusters(found: DataFrame) -> DataFrame:
 
 
 def counters(found: DataFrame) -> DataFrame:
-    """verdict or size -> n, and receiver sets: what the batch report shows."""
+    """verdict or size -> n, receiver sets, and sizes by downlink format (DF17:4RX): what the batch report shows."""
     sizes = clusters(found).groupBy(F.concat(F.col("receiver_count").cast("string"), F.lit("RX")).alias("counter")).agg(F.count("*").alias("n"))
     sets = clusters(found).groupBy(F.array_join("receiver_ids", "+").alias("counter")).agg(F.count("*").alias("n"))
-    return sizes.union(sets).union(found.where("verdict <> 'cluster'").groupBy(F.col("verdict").alias("counter")).agg(F.count("*").alias("n")))
+    formats = F.concat(F.lit("DF"), F.col("df").cast("string"), F.lit(":"), F.col("receiver_count").cast("string"), F.lit("RX"))
+    by_format = clusters(found).where("df is not null").groupBy(formats.alias("counter")).agg(F.count("*").alias("n"))
+    return sizes.union(sets).union(by_format).union(found.where("verdict <> 'cluster'").groupBy(F.col("verdict").alias("counter")).agg(F.count("*").alias("n")))
 
 
 def tdoa(found: DataFrame) -> DataFrame:

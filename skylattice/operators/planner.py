@@ -347,38 +347,71 @@ def candidate_sites(spark: SparkSession, existing: list[Station], candidates: Da
     return candidates.select("site", "lat", "lon").mapInPandas(run, "site string, median_p95_m double, median_condition double, good_share double, leave_one_out_p95_m double")
 
 
-#: Templates of four receivers on a unit square about the origin.
+#: Templates of four receivers about the origin; only their shape counts.
 LAYOUTS = {
-    "square": ((-1, -1), (1, -1), (1, 1), (-1, 1)), "diamond": ((0, -1), (1, 0), (0, 1), (-1, 0)), "triangle_centre": ((-1, -0.6), (1, -0.6), (0, 1), (0, 0)),
-    "line": ((-1, 0), (-0.33, 0), (0.33, 0), (1, 0)), "ell": ((-1, -1), (0, -1), (1, -1), (-1, 1)), "kite": ((0, -1), (0.7, 0.3), (0, 1), (-0.7, 0.3)),
-}
+    "square": ((-1, -1), (1, -1), (1, 1), (-1, 1)),
+    "diamond": ((0, 1), (1, 0), (0, -1), (-1, 0)),
+    "rectangle_2to1": ((-1, -0.5), (1, -0.5), (1, 0.5), (-1, 0.5)),
+    "triangle_center": ((0, 1), (-math.sqrt(3) / 2, -0.5), (math.sqrt(3) / 2, -0.5), (0, 0)),
+    "irregular": ((0.50, 0.12), (-0.08, 0.48), (-0.50, -0.18), (0.18, -0.40)),
+    "linear": ((-0.5, 0), (-1 / 6, 0), (1 / 6, 0), (0.5, 0)),
+}
+
+
+def layouts(spark: SparkSession, lat0: float, lon0: float, spans_km: list[float], step_deg: int = 15) -> DataFrame:
+    """layout, span_km, turn_deg, k, lat, lon: every template at every span (its largest distance between two receivers) and
+    rotation of a half turn, as a parameter table."""
+    spans = {n: max(math.dist(p, q) for p, q in itertools.combinations(pts, 2)) for n, pts in LAYOUTS.items()}
+    corners = [(n, k, x / spans[n], y / spans[n]) for n, pts in LAYOUTS.items() for k, (x, y) in enumerate(pts)]
+    base = spark.createDataFrame(corners, "layout string, k int, x double, y double")
+    many = base.withColumn("span_km", F.explode(F.array(*[F.lit(float(s)) for s in spans_km]))).withColumn("turn_deg", F.explode(F.sequence(F.lit(0), F.lit(179), F.lit(step_deg))))
+    a = F.radians("turn_deg")
+    e, n = (F.col("x") * F.cos(a) - F.col("y") * F.sin(a)) * F.col("span_km") * 1000, (F.col("x") * F.sin(a) + F.col("y") * F.cos(a)) * F.col("span_km") * 1000
+    return many.withColumn("p", geo.from_plane(e, n, lat0, lon0)).select("layout", "span_km", "turn_deg", "k", "p.lat", "p.lon")
 
 
-def layouts(spark: SparkSession, lat0: float, lon0: float, spans_km: list[float], turns: int = 12) -> DataFrame:
-    """layout, span_km, turn, k, lat, lon: every template at every span and rotation, as a parameter table."""
-    corners = [(n, k, float(x), float(y)) for n, pts in LAYOUTS.items() for k, (x, y) in enumerate(pts)]
-    base = spark.createDataFrame(corners, "layout string, k int, x double, y double")
-    many = base.withColumn("span_km", F.explode(F.array(*[F.lit(float(s)) for s in spans_km]))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    a = F.col("turn") * (2 * math.pi / turns)
-    e, n = (F.col("x") * F.cos(a) - F.col("y") * F.sin(a)) * F.col("span_km") * 500, (F.col("x") * F.sin(a) + F.col("y") * F.cos(a)) * F.col("span_km") * 500
-    return many.withColumn("p", geo.from_plane(e, n, lat0, lon0)).select("layout", "span_km", "turn", "k", "p.lat", "p.lon")
+LAYOUT_SCORES = "layout string, span_km double, turn_deg int, median_p95_m double, p90_p95_m double, median_condition double, good_share double, inside_share double, score_300 double, score_350 double"
 
 
 def score_layouts(sites: DataFrame, targets: list[tuple[float, float]], altitude_m: float, noise_us: float) -> DataFrame:
-    """layout, span_km, turn, median_p95_m, p90_p95_m, median_condition over the targets."""
+    """LAYOUT_SCORES over the targets: good_share has a 95 % error up to 1 km at a condition up to 30, score_N is that share
+    times the share of targets that all receivers see within N km."""
     la, lo = np.array(targets).T
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values("k")
         m = solver.metrics(la, lo, altitude_m, np.array([ecef(Station("", a, o)) for a, o in zip(p["lat"], p["lon"])]), noise_us)
-        v = [float(np.median(m["mc_p95_m"])), float(np.sort(m["mc_p95_m"])[int(0.9 * (len(la) - 1))]), float(np.median(m["condition"]))]
-        return pd.DataFrame([(*key, *[x if math.isfinite(x) else None for x in v])], columns=["layout", "span_km", "turn", "median_p95_m", "p90_p95_m", "median_condition"])
+        error, condition = np.asarray(m["mc_p95_m"]), np.asarray(m["condition"])
+        good = float(((error <= 1000) & (condition <= 30)).mean())
+        far = np.max([_km(la, lo, a, o) for a, o in zip(p["lat"], p["lon"])], axis=0)
+        inside = float(np.mean([_in_hull(list(zip(p["lon"], p["lat"])), x) for x in zip(lo, la)]))
+        v = [float(np.median(error)), float(np.quantile(error, 0.9)) if np.isfinite(error).all() else math.inf, float(np.median(condition)), good, inside, good * float((far <= 300).mean()), good * float((far <= 350).mean())]
+        return pd.DataFrame([(*key, *[x if math.isfinite(x) else None for x in v])], columns=[c.split()[0] for c in LAYOUT_SCORES.split(", ")])
+
+    return sites.groupBy("layout", "span_km", "turn_deg").applyInPandas(run, LAYOUT_SCORES)
+
+
+def _km(lat, lon, lat1: float, lon1: float):
+    a, b = np.radians(lat), math.radians(lat1)
+    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * math.cos(b) * np.sin(np.radians(lon1 - np.asarray(lon)) / 2) ** 2
+    return 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h)))
+
 
-    return sites.groupBy("layout", "span_km", "turn").applyInPandas(run, "layout string, span_km double, turn int, median_p95_m double, p90_p95_m double, median_condition double")
+def _in_hull(corners: list[tuple[float, float]], p: tuple[float, float]) -> bool:
+    """Whether p lies in a triangle of three corners with an area: the hull of a few points is the union of these."""
+    cross = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    for a, b, c in itertools.combinations(corners, 3):
+        if abs(cross(a, b, c)) > 1e-9:
+            side = [cross(a, b, p), cross(b, c, p), cross(c, a, p)]
+            if min(side) >= 0 or max(side) <= 0:
+                return True
+    return False
 
 
 def best_rotation(scored: DataFrame) -> DataFrame:
-    w = Window.partitionBy("layout", "span_km").orderBy(F.col("median_p95_m").asc_nulls_last(), "turn")
+    """The rotation of each layout and span with the highest score at 350 km, then good_share, inside_share and least 90 % error."""
+    order = [F.col(c).desc_nulls_last() for c in ("score_350", "good_share", "inside_share")]
+    w = Window.partitionBy("layout", "span_km").orderBy(*order, F.col("p90_p95_m").asc_nulls_last(), "turn_deg")
     return scored.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 

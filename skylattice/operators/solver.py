@@ -186,6 +186,14 @@ def classify_known_altitude(found: pd.DataFrame) -> str:
     return "UNIQUE" if (ok.rms_us <= ok.rms_us.min() + 0.5).sum() == 1 else "MULTIPLE"
 
 
+def classify_three(found: pd.DataFrame) -> tuple[str, object]:
+    """(class, best) of the branches of three receivers at the altitude that the message gives."""
+    ok = found[np.isfinite(found.condition) & (found.condition <= CONDITION_LIMIT) & (found.center_km <= 1500)]
+    if ok.empty:
+        return "ALT_3RX_INCONSISTENT", None
+    return ("ALT_3RX_UNIQUE" if len(ok) == 1 else "ALT_3RX_MULTIPLE"), next(ok.sort_values(["rms_us", "center_km", "condition"], kind="stable").itertuples())
+
+
 def _batches(frame: Frame, altitudes_m, sigma, s: Settings, size: int = 16):
     def run(it):
         for pdf in it:
@@ -228,9 +236,10 @@ def solve(events: DataFrame, stations: list[Station], settings: Settings = Setti
     return events.select("event_id", "tdoa_us").mapInPandas(go, schema.SOLUTIONS)
 
 
-def solve_with_altitude(events: DataFrame, stations: list[Station], size: int = 128) -> DataFrame:
+def solve_with_altitude(events: DataFrame, stations: list[Station], size: int = 128, three: bool = False) -> DataFrame:
     """events(event_id, tdoa_us, altitude_m) solved at their own altitude, by three stations or more:
-    event_id, classification, lat, lon, rms_us, branches. `size` events share a pass of the kernel."""
+    event_id, classification, lat, lon, rms_us, branches. `size` events share a pass of the kernel. three: the
+    classes are those of three receivers (ALT_3RX_*)."""
     frame = Frame(stations)
 
     def go(it):
@@ -242,8 +251,8 @@ def solve_with_altitude(events: DataFrame, stations: list[Station], size: int =
                 groups = dict(list(found.groupby("event")))
                 for i, event in enumerate(part["event_id"]):
                     mine = groups.get(i, found.iloc[:0])
-                    best = select(mine)
-                    rows.append((event, classify_known_altitude(mine), *((None,) * 3 if best is None else (best.lat, best.lon, best.rms_us)), len(mine)))
+                    kind, best = classify_three(mine) if three else (classify_known_altitude(mine), select(mine))
+                    rows.append((event, kind, *((None,) * 3 if best is None else (best.lat, best.lon, best.rms_us)), len(mine)))
             yield pd.DataFrame(rows, columns=["event_id", "classification", "lat", "lon", "rms_us", "branches"])
 
     return events.select("event_id", "tdoa_us", "altitude_m").mapInPandas(go, "event_id string, classification string, lat double, lon double, rms_us double, branches int")

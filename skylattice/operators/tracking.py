@@ -6,8 +6,10 @@ kernel sees one segment, not the history of a key.
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -132,39 +134,47 @@ def _plane(lat, lon, lat0, lon0):
     return np.stack([(np.asarray(lon) - lon0) * LON_M * math.cos(math.radians(lat0)), (np.asarray(lat) - lat0) * LAT_M], 1)
 
 
+def _penalty(conditions: list[np.ndarray], r: PathRules) -> list[np.ndarray]:
+    return [r.geometry_weight * np.maximum(0, np.log10(np.maximum(c, 1) / 10)) for c in conditions]
+
+
+def _leg(a: np.ndarray, b: np.ndarray, dt: float, r: PathRules) -> np.ndarray:
+    """Cost of the speed from each place of a to each of b, infinite beyond the hard limit."""
+    d = np.linalg.norm(b[None] - a[:, None], axis=2)
+    cost = (np.maximum(np.maximum(d - r.tolerance_m, 0) / dt - r.normal_mps, 0) / 100) ** 2
+    return np.where(d <= r.hard_mps * dt + r.tolerance_m, cost, np.inf)
+
+
+def _bend(a: np.ndarray, b: np.ndarray, c: np.ndarray, dt0: float, dt: float, r: PathRules) -> np.ndarray:
+    """Cost of going on from a over b to c, for each triple: speed, miss of the straight prediction, acceleration, turn."""
+    v0, v1 = (b[None] - a[:, None]) / dt0, (c[None] - b[:, None]) / dt
+    miss = np.linalg.norm(c[None, None] - (b[None] + v0 * dt)[:, :, None], axis=3)
+    turn = np.abs(np.arctan2(v1[..., 0], v1[..., 1])[None] - np.arctan2(v0[..., 0], v0[..., 1])[:, :, None])
+    turn = np.degrees(np.minimum(turn, 2 * np.pi - turn)) / dt
+    free = 0.5 * dt * dt
+    accel = np.maximum(miss - r.tolerance_m, 0) / max(free, 1.0)
+    cost = r.prediction_weight * (miss / max(r.tolerance_m, 50 * dt)) ** 2 + _leg(b, c, dt, r)[None] + (accel / r.prefer_accel) ** 2 + (turn / 5) ** 2
+    return np.where(miss <= r.tolerance_m + r.hard_accel * free, cost, np.inf)
+
+
 def best_path(times: list[float], places: list[np.ndarray], conditions: list[np.ndarray], r: PathRules) -> tuple[list[int] | None, float, int]:
     """(branch of each step, margin of the best final state over the second, first step that no path reaches).
     Second-order dynamic programming: a state is the last two branches."""
     n = len(times)
-    pen = [r.geometry_weight * np.maximum(0, np.log10(np.maximum(c, 1) / 10)) for c in conditions]
+    pen = _penalty(conditions, r)
     if n == 1:  # nothing to choose by
         return ([0], math.inf, -1) if len(pen[0]) == 1 else (None, 0.0, 0)
-    fast = lambda d, dt: (np.maximum(np.maximum(d - r.tolerance_m, 0) / dt - r.normal_mps, 0) / 100) ** 2
-    dt = times[1] - times[0]
-    d = np.linalg.norm(places[1][None] - places[0][:, None], axis=2)
-    cost = np.where(d <= r.hard_mps * dt + r.tolerance_m, pen[0][:, None] + fast(d, dt) + pen[1][None], np.inf)
+    cost = pen[0][:, None] + _leg(places[0], places[1], times[1] - times[0], r) + pen[1][None]
     if not np.isfinite(cost).any():
         return None, 0.0, 1
     back: list[np.ndarray] = []
     for k in range(2, n):
-        dt0, dt = times[k - 1] - times[k - 2], times[k] - times[k - 1]
-        v0 = (places[k - 1][None] - places[k - 2][:, None]) / dt0  # branches i, j
-        v1 = (places[k][None] - places[k - 1][:, None]) / dt  # branches j, l
-        ahead = places[k - 1][None] + v0 * dt
-        miss = np.linalg.norm(places[k][None, None] - ahead[:, :, None], axis=3)
-        d = np.linalg.norm(places[k][None] - places[k - 1][:, None], axis=2)
-        turn = np.abs(np.arctan2(v1[..., 0], v1[..., 1])[None] - np.arctan2(v0[..., 0], v0[..., 1])[:, :, None])
-        turn = np.degrees(np.minimum(turn, 2 * np.pi - turn)) / dt
-        free = 0.5 * dt * dt
-        accel = np.maximum(miss - r.tolerance_m, 0) / max(free, 1.0)
-        step = r.prediction_weight * (miss / max(r.tolerance_m, 50 * dt)) ** 2 + fast(d, dt)[None] + (accel / r.prefer_accel) ** 2 + (turn / 5) ** 2 + pen[k][None, None]
-        step[miss > r.tolerance_m + r.hard_accel * free] = np.inf
-        step[:, d > r.hard_mps * dt + r.tolerance_m] = np.inf
+        step = _bend(places[k - 2], places[k - 1], places[k], times[k - 1] - times[k - 2], times[k] - times[k - 1], r) + pen[k][None, None]
         total = cost[:, :, None] + step
+        if not np.isfinite(total).any():
+            return None, 0.0, k
         back.append(total.argmin(0))
         cost = total.min(0)
-        if not np.isfinite(cost).any():
-            return None, 0.0, k
     flat = np.sort(cost[np.isfinite(cost)])
     j, l = np.unravel_index(np.argmin(cost), cost.shape)  # noqa: E741
     path = [int(l), int(j)]
@@ -174,58 +184,118 @@ def best_path(times: list[float], places: list[np.ndarray], conditions: list[np.
 
 
 def fragments(times, places, conditions, r: PathRules, at: int = 0) -> list[tuple[int, list[int], float]]:
-    """(first step, branches, margin) of the pieces that a feasible path covers: an infeasible run is split at the
-    transition with the fewest feasible pairs, of equal ones the nearest to the middle."""
+    """(first step, branches, margin) of the pieces that a feasible path covers: an infeasible run with a step of one
+    branch is split at the transition with the fewest feasible pairs, of equal ones the nearest to the middle."""
     path, margin, _ = best_path(times, places, conditions, r)
-    if path is not None or len(times) == 1:
-        return [(at, path, margin)] if path is not None else []
+    if path is not None:
+        return [(at, path, margin)]
+    if len(times) == 1 or not any(len(c) == 1 for c in conditions):
+        return []
+    cut = min(range(1, len(times)), key=lambda k: (int(np.isfinite(_leg(places[k - 1], places[k], times[k] - times[k - 1], r)).sum()), abs(k - len(times) / 2)))
+    return fragments(times[:cut], places[:cut], conditions[:cut], r, at) + fragments(times[cut:], places[cut:], conditions[cut:], r, at + cut)
 
-    def pairs(k):
-        d = np.linalg.norm(places[k][None] - places[k - 1][:, None], axis=2)
-        return int((d <= r.hard_mps * (times[k] - times[k - 1]) + r.tolerance_m).sum())
 
-    cut = min(range(1, len(times)), key=lambda k: (pairs(k), abs(k - len(times) / 2)))
-    return fragments(times[:cut], places[:cut], conditions[:cut], r, at) + fragments(times[cut:], places[cut:], conditions[cut:], r, at + cut)
+def _seed(condition: float) -> str:
+    return "STRONG_SEED" if condition <= 30 else "WEAK_SEED"
+
 
+#: step -> (branch, margin, seed, whether the path is smooth), of the steps that have a choice
+Choice = dict[int, tuple[int, float, str, bool]]
 
-PATHS = "key string, segment long, event_id string, lat double, lon double, branches int, margin double, seed string, quality string"
 
+def only_branches(times, places, conditions, r: PathRules) -> Choice:
+    """Steps of a single branch, each for itself."""
+    return {k: (0, math.inf, _seed(c[0]), True) for k, c in enumerate(conditions) if len(c) == 1}
 
-def disambiguate(branches: DataFrame, rules: PathRules = CONFIGS["BALANCED"]) -> DataFrame:
-    """branches(key, event_id, t (s), lat, lon, rms_us, condition, center_km): one branch for each event, by the cheapest
-    path over the key's segments. Events without a credible branch, and segments without a path, have no row."""
+
+def from_seed(times, places, conditions, r: PathRules, steady: bool = False) -> Choice:
+    """From the first step of a single branch outwards, in both directions, the cheapest next branch; steady: by the
+    cost of going on at constant velocity, once two steps are known. A direction ends where nothing is feasible."""
+    start = next((k for k, c in enumerate(conditions) if len(c) == 1), None)
+    if start is None:
+        return {}
+    pen, out = _penalty(conditions, r), {start: (0, math.inf, _seed(conditions[start][0]), True)}
+    for way in (range(start + 1, len(times)), range(start - 1, -1, -1)):
+        behind = [start]
+        for k in way:
+            last = [places[h][out[h][0]][None] for h in behind[-2:]]
+            dt = abs(times[k] - times[behind[-1]])
+            if steady and len(last) == 2:
+                cost = _bend(*last, places[k], abs(times[behind[-1]] - times[behind[-2]]), dt, r)[0, 0] + pen[k]
+            else:
+                cost = _leg(last[-1], places[k], dt, r)[0] + pen[k]
+            best = np.argsort(cost, kind="stable")
+            if not len(best) or not math.isfinite(cost[best[0]]):
+                break
+            margin = float(cost[best[1]] - cost[best[0]]) if len(best) > 1 else math.inf
+            out[k] = (int(best[0]), margin, _seed(conditions[k][best[0]]), True)
+            behind.append(k)
+    return out
+
+
+def whole_path(times, places, conditions, r: PathRules) -> Choice:
+    """The cheapest path over the run or its fragments. A path without a step of a single branch is taken only if
+    it has three steps and a margin."""
+    out: Choice = {}
+    for first, path, margin in fragments(times, places, conditions, r):
+        steps = range(first, first + len(path))
+        alone = next((conditions[k][0] for k in steps if len(conditions[k]) == 1), None)
+        seed = _seed(alone) if alone is not None else "SEQUENCE_SEED" if len(path) >= 3 and margin >= 0.1 else None
+        if seed:
+            smooth = _smooth([times[k] for k in steps], [places[k][p] for k, p in zip(steps, path)])
+            out |= {k: (p, margin, seed, smooth) for k, p in zip(steps, path)}
+    return out
+
+
+METHODS = {"baseline": only_branches, "nearest_previous": from_seed, "cv_greedy": partial(from_seed, steady=True), "global_dp": whole_path}
+
+
+def path_quality(seed: str, condition: float, margin: float, smooth: bool) -> str:
+    if seed == "SEQUENCE_SEED":  # without an anchor the path may be the mirrored one
+        return "LOW"
+    if condition <= 30 and margin >= 1 and smooth:
+        return "HIGH"
+    return "MEDIUM" if condition <= 70 and margin >= 0.1 else "LOW"
+
+
+PATHS = "key string, segment long, event_id string, t double, lat double, lon double, condition double, branches int, margin double, seed string, quality string"
+
+
+def disambiguate(branches: DataFrame, rules: PathRules = CONFIGS["BALANCED"], method: str = "global_dp") -> DataFrame:
+    """branches(key, event_id, t (s), lat, lon, rms_us, condition, center_km): a row for each event with the branch that
+    one of METHODS chooses over the key's segments. Events without a choice have the seed NO_SEED, the quality
+    REJECT and no place; so has, of events at one time, every one after the first by id."""
+    choose = METHODS[method]
     events = branches.groupBy("key", "event_id").agg(F.min("t").alias("t"))
     segment = gap_segments(events, ["key"], "t", rules.gap_s, ["event_id"]).select("key", "event_id", "segment")
 
     def step(rows: list[list], a: int, z: int, out: list) -> None:
         key, segment, event, t, lat, lon, rms, cond, centre = (c[a:z] for c in rows)
-        events: list[list[int]] = []
-        for k in range(len(event)):
-            if k and event[k] == event[k - 1]:
-                events[-1].append(k)
-            else:
-                events.append([k])
+        events = [list(g) for _, g in itertools.groupby(range(len(event)), key=lambda k: event[k])]
         keep: list[list[int]] = []
+        late = []
         for own in events:
             least = min(rms[k] for k in own) + 0.01
-            own = [k for k in own if centre[k] <= 1500 and rms[k] <= least and cond[k] <= 1e6]
-            if own and (not keep or t[own[0]] > t[keep[-1][0]]):  # one event a moment
-                keep.append(own)
-        if not keep:
-            return
-        lat0, lon0 = lat[keep[0][0]], lon[keep[0][0]]
+            good = [k for k in own if centre[k] <= 1500 and rms[k] <= least and cond[k] <= 1e6]
+            if keep and t[own[0]] <= t[keep[-1][0]]:
+                late.append(own[0])
+            else:
+                keep.append([own[0], *good])  # the event, and its credible branches
+        origin = next((k for own in keep for k in own[1:]), 0)
         times = [t[own[0]] for own in keep]
-        places = [_plane([lat[k] for k in own], [lon[k] for k in own], lat0, lon0) for own in keep]
-        conds = [np.array([cond[k] for k in own]) for own in keep]
-        for first, path, margin in fragments(times, places, conds, rules):
-            mine = keep[first : first + len(path)]
-            alone = [cond[own[0]] for own in mine if len(own) == 1]
-            seed = ("STRONG" if alone[0] <= 30 else "WEAK") if alone else "SEQUENCE" if len(path) >= 3 and margin >= 0.1 else "NO_SEED"
-            smooth = _smooth(times[first : first + len(path)], [places[first + k][p] for k, p in enumerate(path)])
-            for own, p in zip(mine, path):
-                k = own[p]
-                good = "REJECT" if seed == "NO_SEED" else "LOW" if seed == "SEQUENCE" else "HIGH" if cond[k] <= 30 and margin >= 1 and smooth else "MEDIUM" if cond[k] <= 70 and margin >= 0.1 else "LOW"
-                out.append({"key": key[0], "segment": segment[0], "event_id": event[k], "lat": lat[k], "lon": lon[k], "branches": len(own), "margin": margin if math.isfinite(margin) else None, "seed": seed, "quality": good})
+        places = [_plane([lat[k] for k in own[1:]], [lon[k] for k in own[1:]], lat[origin], lon[origin]) for own in keep]
+        conds = [np.array([cond[k] for k in own[1:]]) for own in keep]
+        chosen = choose(times, places, conds, rules)
+        head = {"key": key[0], "segment": segment[0]}
+        none = {"lat": None, "lon": None, "condition": None, "margin": None, "seed": "NO_SEED", "quality": "REJECT"}
+        for i, own in enumerate(keep):
+            row = {**head, "event_id": event[own[0]], "t": t[own[0]], "branches": len(own) - 1, **none}
+            if i in chosen:
+                branch, margin, seed, smooth = chosen[i]
+                k = own[1 + branch]
+                row |= {"lat": lat[k], "lon": lon[k], "condition": cond[k], "margin": margin if math.isfinite(margin) else None, "seed": seed, "quality": path_quality(seed, cond[k], margin, smooth)}
+            out.append(row)
+        out += [{**head, "event_id": event[k], "t": t[k], "branches": 0, **none} for k in late]
 
     def run(batches):
         """Rows sorted by segment; a batch ends where its last segment may go on."""
@@ -245,7 +315,7 @@ def disambiguate(branches: DataFrame, rules: PathRules = CONFIGS["BALANCED"]) ->
         yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     s, f, i = pa.string(), pa.float64(), pa.int64()
-    arrow = pa.schema([("key", s), ("segment", i), ("event_id", s), ("lat", f), ("lon", f), ("branches", pa.int32()), ("margin", f), ("seed", s), ("quality", s)])
+    arrow = pa.schema([("key", s), ("segment", i), ("event_id", s), ("t", f), ("lat", f), ("lon", f), ("condition", f), ("branches", pa.int32()), ("margin", f), ("seed", s), ("quality", s)])
     cols = ["key", "segment", "event_id", "t", "lat", "lon", "rms_us", "condition", "center_km"]
     rows = branches.join(segment, ["key", "event_id"]).select(F.col("key").cast("string"), F.col("segment").cast("long"), F.col("event_id").cast("string"), *[F.col(c).cast("double") for c in cols[3:]])
     return rows.repartition("key", "segment").sortWithinPartitions("key", "segment", "t", "event_id", "rms_us").mapInArrow(run, PATHS)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings, Station
 from ..functions import geo, modes
-from ..operators import association, clock, planner, solver, tracking
+from ..operators import association, clock, planner, solver, strict, tracking, yields
 from . import synthetic
 from .proxy import HOUR, events, table
 
@@ -122,15 +122,50 @@ def track_yield(spark, d):
     return r.select("code", "fixes", F.round("span_s", 3).alias("span_s"), F.round("covered_s", 3).alias("covered_s"), F.round("coherence", 6).alias("coherence"), "status")
 
 
-@query()
-def dp_path(spark, d):
-    """Each fix beside a false branch 100 km off; the path should take the true one."""
+def _branches(spark, d):
+    """Each fix beside a false branch 100 km off; every ninth stands alone."""
     f = _fixes(spark, d)
     false = F.when(F.hash("event_id") % 3 != 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    two = f.select(F.col("code").alias("key"), "event_id", "t", F.explode(F.array(F.struct("lat", "lon", F.lit(12.0).alias("condition")), F.struct((F.col("lat") + false).alias("lat"), (F.col("lon") - false).alias("lon"), F.lit(25.0).alias("condition")))).alias("b"))
-    rows = two.select("key", "event_id", "t", "b.lat", "b.lon", F.lit(0.05).alias("rms_us"), "b.condition", F.lit(100.0).alias("center_km"))
-    r = tracking.disambiguate(rows)
-    return r.select("key", "event_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "branches", "seed", "quality")
+    both = F.array(F.struct("lat", "lon", F.lit(12.0).alias("condition")), F.struct((F.col("lat") + false).alias("lat"), (F.col("lon") - false).alias("lon"), F.lit(25.0).alias("condition")))
+    two = f.select(F.col("code").alias("key"), "event_id", "t", F.explode(F.when(F.col("event_id").cast("long") % 9 == 0, F.slice(both, 1, 1)).otherwise(both)).alias("b"))
+    return two.select("key", "event_id", "t", "b.lat", "b.lon", F.lit(0.05).alias("rms_us"), "b.condition", F.lit(100.0).alias("center_km"))
+
+
+def _path(method):
+    def run(spark, d):
+        r = tracking.disambiguate(_branches(spark, d), method=method)
+        return r.select("key", "event_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "branches", "seed", "quality")
+
+    return run
+
+
+QUERIES |= {"dp_path": _path("global_dp"), "path_nearest_previous": _path("nearest_previous"), "path_cv_greedy": _path("cv_greedy")}
+
+
+@query("""
+WITH f AS (SELECT event_type AS key, event_id, epoch_us(ts::TIMESTAMP) % 86400000000 / 1e6 / 86400 * 6.283185307 AS turn FROM events)
+SELECT key, event_id::VARCHAR AS event_id, CASE WHEN event_id % 9 = 0 THEN round(20 + 0.2 * sin(turn), 6) END AS lat, CASE WHEN event_id % 9 = 0 THEN round(107 + 0.2 * cos(turn), 6) END AS lon,
+  CASE WHEN event_id % 9 = 0 THEN 'STRONG_SEED' ELSE 'NO_SEED' END AS seed, CASE WHEN event_id % 9 = 0 THEN 'HIGH' ELSE 'REJECT' END AS quality FROM f""")
+def path_baseline(spark, d):
+    return _path("baseline")(spark, d).drop("branches")
+
+
+@query()
+def yield_status(spark, d):
+    r = yields.status(yields.points(_branches(spark, d)))
+    return r.select("key", "candidate_events", "fixes", F.round("span_s", 3).alias("span_s"), F.round("coherence", 6).alias("coherence"), "catastrophic_jumps", "blind_quality")
+
+
+def _strict(rule):
+    def run(spark, d):
+        wide = strict.Rule(float(2 * HOUR), strict.RULES[rule].depth, 4 * HOUR * 1000, strict.RULES[rule].windowed)
+        r = strict.strict(_observations(spark, d), _SITES[:3], wide)
+        return r.select("raw_hex", "id", "verdict", "utc_ns", F.array_join("ids", "+").alias("ids"))
+
+    return run
+
+
+QUERIES |= {"strict_modeac": _strict("modeac"), "strict_modes": _strict("modes")}
 
 
 def _request(strategy="best_4_of_n", **more):
