@@ -65,18 +65,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """The same rows, written to the shared folder in buckets of a key, as many as shuffles have partitions: joins on the
-    key read them as they lie and shuffle the other side only. Table and files go when the driver's Python ends."""
-    spark = df.sparkSession
-    name = f"t{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/table-{name}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
-    _written.append((spark, path))
-    return spark.table(name)
-
-
 def keep(spark: SparkSession, path: str) -> None:
     """A folder under the shared one that goes when the driver's Python ends."""
     _written.append((spark, path))

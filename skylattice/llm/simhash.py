@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, bucketed, connected_components, free_name, written
+from .common import bounded, connected_components, free_name, written
 
 BITS, SEGMENTS, REACH = 64, 4, 3
 #: Fingerprints compared with each other in one key; larger keys are split, never cut.
@@ -209,8 +209,10 @@ NEAR_ERRORS = 3.0
 BROADCAST_NAMES = 1_000_000
 #: Keys of up to so many times CAP rows are compared block by block; larger ones are split by bits first.
 BLOCKS = 16
-#: Candidates that a class names in a round, as a multiple of those of the round before.
-MORE = 8
+#: Digests of shingles of a block of the texts that are compared by their sets; larger groups are cut into blocks.
+SETS_HELD = 1 << 20
+#: Rows of a run up to which all its pairs are compared at once; in longer ones a row that has been reached is left out.
+STEPS = 32
 _DIGESTS_KEPT = 200_000
 
 
@@ -344,6 +346,57 @@ def _near(limit: int, k: int):
     return run
 
 
+def _tree(sig: np.ndarray, limit: int) -> np.ndarray:
+    """Pairs (i, j) within the limit that connect all columns which such pairs connect: fewer than there are columns.
+    What has been reached is not compared again."""
+    left, todo, pairs = np.arange(sig.shape[1]), [], [np.zeros((2, 0), np.int64)]
+    while len(left):
+        if not todo:
+            todo, left = [int(left[0])], left[1:]
+        i = todo.pop()
+        hit = _bits(sig[:, left] ^ sig[:, i : i + 1]).astype(np.int64).sum(0) <= limit
+        if hit.any():
+            pairs.append(np.stack([np.full(int(hit.sum()), i), left[hit]]))
+            todo, left = todo + left[hit].tolist(), left[~hit]
+    return np.concatenate(pairs, 1)
+
+
+def _trees(limit: int):
+    """Rows (met, node, g0..g7) sorted by met -> a, b: for each run of equal met, pairs within the limit that connect
+    all its rows which such pairs connect, fewer than it has rows."""
+
+    def run(batches):
+        rest = None
+        for batch in _and_none(batches):
+            if batch is not None:
+                new = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
+                rest = new if rest is None else np.concatenate([rest, new], 1)
+                same = rest[0] == rest[0, -1] if rest.shape[1] else np.zeros(0, bool)
+                done = int(rest.shape[1] - same[::-1].argmin()) if not same.all() else 0
+                now, rest = rest[:, :done], rest[:, done:]
+            else:
+                now = rest
+            if now is None or not now.shape[1]:
+                continue
+            met, node, sig = now[0], now[1], now[2:].view(np.uint64)
+            starts = np.flatnonzero(np.r_[True, met[1:] != met[:-1]])
+            long = np.diff(np.r_[starts, len(met)])
+            pairs = [_tree(sig[:, at : at + n], limit) + at for at, n in zip(starts[long > STEPS].tolist(), long[long > STEPS].tolist())]
+            alive, step = np.flatnonzero(np.repeat(long <= STEPS, long)), 1
+            while True:
+                alive = alive[alive + step < len(met)]
+                alive = alive[met[alive] == met[alive + step]]
+                if not len(alive):
+                    break
+                good = alive[_bits(sig[:, alive] ^ sig[:, alive + step]).astype(np.int64).sum(0) <= limit]
+                pairs.append(np.stack([good, good + step]))
+                step += 1
+            if pairs:
+                yield _forest(node, np.concatenate(pairs, 1))
+
+    return run
+
+
 def _slots(classes: DataFrame) -> DataFrame:
     """A row for each class and key: met (digest of the key), slot (the key's number), mask and w (its word of the
     signature)."""
@@ -356,9 +409,9 @@ def _keys(rows: DataFrame) -> DataFrame:
     return rows.withColumn("met", F.xxhash64("word", "mask", F.col("w").bitwiseAND(F.col("mask"))))
 
 
-def candidates(classes: DataFrame, k: int = 1, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
-    """node, other, more: for each of the classes (node, root, signatures) the k nearest of other roots that it
-    meets under a key within the limit; more: there are others.
+def _compared(classes: DataFrame, columns: list[str], kernel, schema: str, cap: int, blocks: int) -> DataFrame:
+    """What the kernel gives for the rows of each key, (met, *columns) sorted by met and node, of the classes (node,
+    root, signatures).
 
     A key of more than cap rows is cut into blocks, and each pair of blocks is compared: no pair of its
     rows is left out. One of more than blocks * cap is dealt again by the bits its mask leaves open, as in
@@ -373,9 +426,7 @@ def candidates(classes: DataFrame, k: int = 1, cap: int = CAP, blocks: int = BLO
         small = F.broadcast(large) if large.count() <= 100_000 else large
         dealt = rows.join(small, "met", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         dealt = dealt.where(f"blocks <= {blocks}") if more else dealt
-        dealt = dealt.select("*", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        pair = F.when(F.col("blocks") == 1, F.col("met")).otherwise(F.xxhash64("met", F.least("own", "other"), F.greatest("own", "other")))
-        met = dealt.select(pair.alias("met"), "slot", "node", "root", *_W, *_G).repartition(parts, "met").sortWithinPartitions("met").mapInArrow(_near(most_bits(), k), "node long, other long, bits long, more boolean")
+        met = _block_pairs(dealt, "met", columns).repartition(parts, "met").sortWithinPartitions("met", "node").mapInArrow(kernel, schema)
         out = met if out is None else out.union(met)
         if not more:
             break
@@ -383,6 +434,29 @@ def candidates(classes: DataFrame, k: int = 1, cap: int = CAP, blocks: int = BLO
         over = rows.join(small, "met").where(f"blocks > {blocks}").select(F.lit(-1).cast("long").alias("slot"), "node", "root", "word", "mask", "w", *_W, *_G)
         finer = written(over.select("mask").distinct().select("mask", F.explode(split("mask")).alias("finer")))
         rows = written(_keys(over.join(F.broadcast(finer), "mask").drop("mask").withColumnRenamed("finer", "mask").distinct()))
+    return out
+
+
+def _block_pairs(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key and columns of rows(key, blocks, node, ...): a row of a key of several blocks comes once for each pair of
+    blocks that its own is in, under a key for the pair."""
+    dealt = rows.select("*", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
+    pair = F.when(F.col("blocks") == 1, F.col(key)).otherwise(F.xxhash64(key, F.least("own", "with"), F.greatest("own", "with")))
+    return dealt.select(pair.alias(key), *columns)
+
+
+def candidate_trees(classes: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
+    """a, b: pairs of classes(node, signatures) within the limit that connect all classes which any candidates connect.
+    A key gives fewer pairs than it has rows, however many of its rows are candidates of each other."""
+    found = _compared(classes.withColumn("root", F.col("node")), ["node", *_G], _trees(most_bits()), "a long, b long", cap, blocks)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def candidates(classes: DataFrame, k: int = 1, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
+    """node, other, more: for each of the classes (node, root, signatures) the k nearest of other roots that it
+    meets under a key within the limit; more: there are others. near_groups() goes by candidate_trees() instead,
+    which do not grow with k."""
+    out = _compared(classes, ["slot", "node", "root", *_W, *_G], _near(most_bits(), k), "node long, other long, bits long, more boolean", cap, blocks)
     if k == 1:  # a partial minimum before the shuffle
         nearest = out.groupBy("node").agg(F.min(F.struct("bits", "other")).alias("x"), (F.max("more") | (F.min("other") < F.max("other"))).alias("more"))
         return nearest.select("node", "x.other", "more")
@@ -411,71 +485,130 @@ def shingle_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "node long, grams array<long>").join(need.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, near of pairs(a, b): whether the sets of shingles have the similarity, exactly."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (same * 100 >= (F.size("x") + F.size("y") - same) * round(100 * NEAR_SIMILARITY)).alias("near"))
+def _alike(node: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (i, j) of texts whose sets have the similarity, exactly: as many as connect all texts which such pairs connect.
+    flat: the digests of the sets, one set after the other.
 
+    Sets x and y of the similarity share at least 0.8 of the larger, so one of the first 0.2 |x| + 1 shingles of x, by
+    how many texts have them, is among those of y: only texts that meet there are compared, and no
+    text that has been reached is compared again.
+    """
+    percent = round(100 * NEAR_SIMILARITY)
+    n, doc = len(node), np.repeat(np.arange(len(node)), sizes)
+    which, ids = np.unique(flat, return_inverse=True)
+    held = np.ones(len(ids), bool)
+    for _ in range(3):  # a shingle of one text links nothing, a text of too few others has no link
+        held &= np.bincount(ids[held], minlength=len(which))[ids] > 1
+        fit = (np.bincount(doc[held], minlength=n) * 100 >= sizes * percent) & (sizes > 0)
+        if fit[doc[held]].all():
+            break
+        held &= fit[doc]
+    if not held.any():
+        return []
+    doc, ids = doc[held], ids[held]
+    _, ids, count = np.unique(ids, return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    ids = rank[ids]
+    order = np.lexsort((ids, doc))
+    doc, ids = doc[order], ids[order]
+    ends = np.searchsorted(doc, np.arange(n + 1))
+    kept = np.diff(ends)
+    first = np.where(kept > 0, np.maximum(0, kept - -(-sizes * percent // 100) + 1), 0)  # of those held; the others come before
+    prefix = np.flatnonzero(np.arange(len(doc)) - ends[doc] < first[doc])
+    prefix = prefix[np.argsort(ids[prefix], kind="stable")]
+    cuts = np.flatnonzero(np.r_[True, np.diff(ids[prefix]) > 0]) if len(prefix) else np.zeros(0, np.int64)
+    meet = dict(zip(ids[prefix][cuts].tolist(), np.split(doc[prefix], cuts[1:])))
+    left, mark, pairs = first > 0, np.zeros(len(count), bool), []
+    for seed in np.flatnonzero(left).tolist():
+        todo = [seed] if left[seed] else []
+        left[seed] = False
+        while todo:
+            i = todo.pop()
+            own, near = ids[ends[i] : ends[i + 1]], []
+            for s in own[: first[i]].tolist():
+                meet[s] = m = meet[s][left[meet[s]]]
+                near.append(m)
+            near = np.unique(np.concatenate(near))
+            near = near[np.minimum(sizes[near], sizes[i]) * 100 >= np.maximum(sizes[near], sizes[i]) * percent]
+            if not len(near):
+                continue
+            mark[own] = True
+            if len(near) * 8 < n:
+                same = np.array([np.count_nonzero(mark[ids[ends[j] : ends[j + 1]]]) for j in near.tolist()])
+            else:
+                same = np.bincount(doc[mark[ids]], minlength=n)[near]
+            mark[own] = False
+            hit = near[same * 100 >= (sizes[near] + sizes[i] - same) * percent].tolist()
+            left[hit] = False
+            pairs += [(i, j) for j in hit]
+            todo += hit
+    return pairs
+
+
+def _judged(batches):
+    """Rows (met, node, grams) sorted by met -> a, b: the pairs of _alike() of each run of equal met."""
+    key, pieces = None, []
 
-def near_roots(classes: DataFrame, docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
+    def pairs():
+        node, sizes, flat = (np.concatenate(x) for x in zip(*pieces))
+        return [(int(node[i]), int(node[j])) for i, j in _alike(node, sizes, flat)] if len(node) > 1 else []
+
+    for batch in _and_none(batches):
+        found = []
+        if batch is not None and batch.num_rows:
+            met, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, at = batch.column(2).flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(sizes)]
+            cuts = np.flatnonzero(np.r_[True, met[1:] != met[:-1], True]).tolist()
+            for a, z in zip(cuts, cuts[1:]):
+                if pieces and met[a] != key:
+                    found += pairs()
+                    pieces = []
+                key = met[a]
+                pieces.append((node[a:z], sizes[a:z], flat[at[a] : at[z]]))
+        elif batch is None and pieces:
+            found = pairs()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+
+def near_roots(classes: DataFrame, docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS, held: int = SETS_HELD) -> DataFrame:
     """node, root of classes(node, least, signatures) that are linked with others: root is the same for all that links
     of the similarity connect.
 
-    In rounds: each class names its nearest candidates outside of its own component, these pairs are judged by
-    the sets, and components grow by those that hold. So a pair within a component is never judged, and a
-    large group of copies costs a few judgements a copy, not all its pairs. A class names k candidates, MORE
-    times as many in each round; it is through when it has no candidate left that is not judged.
+    Classes that candidates connect are a group; the sets of a group meet in one task, each once, and all its links are
+    found there. A group of more than `held` shingles is cut into blocks, and each pair of blocks is compared. Every
+    step gives fewer pairs than it has rows, however many of a group's pairs are candidates or links.
     """
-    classes = classes.drop("root")
+    classes = classes.select("node", "least", *_W, *_G)
     shared = classes.groupBy("least").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1 and least is not null")
-    edges = written(classes.join(shared, "least").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
-    roots = None if edges.isEmpty() else written(connected_components(edges))
-    active, known, sets, k = classes, None, None, 1
-
-    def rooted(df: DataFrame) -> DataFrame:
-        if roots is None:
-            return df.withColumn("root", F.col("node"))
-        return df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    while True:
-        named = written(candidates(rooted(active), k, cap, blocks))
-        pairs = named.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = written(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
-        if pairs.isEmpty() and named.where("more").isEmpty():
-            return classes.select("node").limit(0).withColumn("root", F.col("node")) if roots is None else roots
-        nodes = written(named.select("node").union(named.select(F.col("other").alias("node"))).distinct())
-        active = classes.join(nodes, "node", "left_semi")
-        if sets is None:  # later rounds have no other nodes
-            sets = bucketed(shingle_sets(docs, written(active.select("node", "least"))), "node")
-        new = written(judged(pairs, sets))
-        known = new.select("a", "b") if known is None else known.union(new.select("a", "b"))
-        near = new.where("near").select("a", "b")
-        if not near.isEmpty():
-            if roots is None:
-                roots = written(connected_components(near))
-            else:  # components of components
-                side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-                merged = near.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-                of = written(connected_components(merged)).select(F.col("node").alias("root"), F.col("root").alias("top"))
-                fresh = of.join(roots.select("root"), "root", "left_anti").select(F.col("root").alias("node"), "top")
-                roots = written(roots.join(of, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(fresh))
-        k *= MORE
-
-
-def near_groups(docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS) -> DataFrame:
+    edges = classes.join(shared, "least").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    groups = written(connected_components(candidate_trees(classes, cap, blocks)))
+    need = written(classes.select("node", "least").join(groups, "node"))
+    sets = written(shingle_sets(docs, need).join(need.select("node", F.col("root").alias("met")), "node"))
+    size = F.sum(F.size("grams").cast("long"))
+    large = written(sets.groupBy("met").agg(F.ceil(size / held).cast("long").alias("blocks")).where("blocks > 1"))
+    small = F.broadcast(large) if large.count() <= 100_000 else large
+    dealt = bounded(sets).join(small, "met", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    near = _block_pairs(dealt, "met", ["node", "grams"]).repartition(parts, "met").sortWithinPartitions("met", "node").mapInArrow(_judged, "a long, b long")
+    return connected_components(edges.union(near))
+
+
+def near_groups(docs: DataFrame, cap: int = CAP, blocks: int = BLOCKS, held: int = SETS_HELD) -> DataFrame:
     """doc_id, component_id: documents whose sets of five-word shingles have a similarity of 0.8 or more are linked.
 
     Equal word sequences are one class. Classes meet where a segment and a half of the next agree in one of
     four SimHashes of their word sets; those whose 512-bit SimHashes of the shingle sets are within three
-    standard errors are candidates, judged by the sets themselves. Keys are dealt by their digest, so that none is
-    cut between tasks, and all rows of a key are compared (see candidates()). Null, empty and blank texts
+    standard errors are candidates, and what candidates connect is judged by the sets themselves (see near_roots()). Keys
+    are dealt by their digest, so that none is cut between tasks, and all rows of a key are compared. Null, empty and blank texts
     are one class, texts of fewer than five words have their whole sequence as the only shingle; rows
     that repeat a doc_id are linked.
     """
     sig = written(signatures(docs))
     classes = written(sig.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in (*_W, *_G)]))
-    roots = near_roots(classes, docs, cap, blocks)
+    roots = near_roots(classes, docs, cap, blocks, held)
     ids = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = ids.join(ids.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return sig.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")

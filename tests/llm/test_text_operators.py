@@ -368,6 +368,33 @@ def test_near_groups_are_those_of_the_exact_similarity(spark):
     assert all(root[d] <= got[d] for d in sets)  # nothing linked that is not near
 
 
+def test_a_group_just_below_the_similarity_makes_no_table_of_its_pairs(spark, monkeypatch):
+    """Nearly all pairs of 132 texts are candidates, few are links: no table grows with the pairs, and all links are found."""
+    rng = random.Random(21)
+    base, rows, made = [f"b{k}" for k in range(200)], [], []
+    for k in range(120):
+        w = list(base)
+        for at in rng.sample(range(200), 3):
+            w[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(w)))
+        if k % 10 == 0:
+            w[rng.randrange(200)] = "again"
+            rows.append((1000 + k, " ".join(w)))
+    sets = {d: set(simhash.shingles(simhash.words(t), 5)) for d, t in rows}
+    root = {d: d for d in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    assert 12 <= len(near) < 1000 and len({*root.values()}) > 20
+    whole = simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df: (out := whole(df), made.append(out.count()))[0])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(df).collect()} == root
+    assert max(made) <= 32 * len(rows)  # 17,292 ordered pairs
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(df.repartition(3), held=4000).collect()} == root  # sets in blocks
+
+
 def test_every_overlap_at_the_stated_agreement_is_found(spark):
     rng = random.Random(12)
     docs, items = [], []
