@@ -205,8 +205,10 @@ NEAR_WORDS, NEAR_SIMILARITY, MET, WIDE = 5, 0.8, 256, 512
 #: Standard errors of the estimate by which pairs just below are still candidates for the exact comparison. Fewer
 #: miss pairs at the very edge of the similarity (one: 23 of 8,999 links on 0.1 GB, two: 6).
 NEAR_ERRORS = 3.0
-#: Documents of candidates up to so many are picked by broadcast (8 bytes each); more by shuffle.
+#: Up to so many documents are picked by a broadcast of their ids; more by a bitmap of them and a shuffle of what it holds.
 BROADCAST_NAMES = 1_000_000
+#: Bits of that bitmap for each id, and at most (32 MB).
+NAME_BITS, MAP_BITS = 8, 1 << 28
 #: Keys of up to so many times CAP rows are compared block by block; larger ones are split by bits first.
 BLOCKS = 16
 #: Digests of shingles of a block of the texts that are compared by their sets; larger groups are cut into blocks.
@@ -466,6 +468,26 @@ def candidates(classes: DataFrame, k: int = 1, cap: int = CAP, blocks: int = BLO
     return ranked.where(F.col("rank") <= k).select("node", "other", "more")
 
 
+def picked(docs: DataFrame, ids: DataFrame, without: bool = False) -> DataFrame:
+    """The rows of docs whose doc_id is in the one column of ids (long, distinct, none null), or all others. The texts of a
+    table are not shuffled for it: up to BROADCAST_NAMES ids are broadcast; of more, a bitmap, and only the rows that it
+    holds (those picked and about one in eight of the others) meet the ids themselves."""
+    how, name, id_ = "left_anti" if without else "left_semi", ids.columns[0], F.col("doc_id").cast("long")
+    n = ids.count()
+    if n <= BROADCAST_NAMES:
+        return docs.join(F.broadcast(ids), id_ == F.col(name), how)
+    bits, bucket, held = min(NAME_BITS * n, MAP_BITS), free_name(docs, "bucket"), free_name(docs, "held")
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    own = ids.select(F.bitmap_bucket_number(at(F.col(name))).alias(bucket), F.bitmap_bit_position(at(F.col(name))).alias("bit"))
+    maps = F.broadcast(written(own.groupBy(bucket).agg(F.bitmap_construct_agg("bit").alias(held))))
+    bit = F.bitmap_bit_position(at(id_))
+    byte = F.conv(F.hex(F.substring(held, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1, F.lit(False))
+    marked = docs.join(maps, F.bitmap_bucket_number(at(id_)) == F.col(bucket), "left")
+    met = marked.where(hit).drop(bucket, held).join(ids, id_ == F.col(name), how)
+    return met.union(marked.where(~hit).drop(bucket, held)) if without else met
+
+
 def shingle_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
     """node, grams (digests of the set of shingles) of the texts that need(node, least) asks for."""
 
@@ -476,10 +498,9 @@ def shingle_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
             grams = pa.array([shingle_set(w).view(np.int64) for w in own], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(nodes), grams], names=["node", "grams"])
 
-    ids = need.select(F.col("least").alias("_least")).where("_least is not null").distinct()
-    ids = F.broadcast(ids) if need.count() <= BROADCAST_NAMES else ids
+    ids = written(need.select(F.col("least").alias("_least")).where("_least is not null").distinct())
     d = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = d.join(ids, F.col("doc_id") == F.col("_least"), "left_semi")
+    texts = picked(d, ids)
     if not need.where("least is null").isEmpty():
         texts = texts.union(d.where("doc_id is null"))
     return texts.select("text").mapInArrow(run, "node long, grams array<long>").join(need.select("node"), "node", "left_semi").dropDuplicates(["node"])
@@ -619,8 +640,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     that repeat a doc_id the first by text stays (a null text before all others), of equal ones any; rows without a
     doc_id cannot be named and stay. Null, empty and blank texts are one group."""
     first, id_ = free_name(docs, "first"), F.col("doc_id").cast("long")
-    heads = written(near_groups(docs).where("component_id = doc_id").select(F.col("doc_id").alias(first)).distinct())
-    named = docs.where(id_.isNotNull()).join(heads, id_ == F.col(first), "left_semi")
+    heads = near_groups(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("head"))
+    gone = written(heads.where(~F.col("head")).select(F.col("doc_id").alias(first)))
+    named = picked(docs.where(id_.isNotNull()), gone, without=True)
     again = written(docs.groupBy(id_.alias(first)).agg(F.count("*").alias("n")).where(f"n > 1 and {first} is not null").select(first))
     nameless = docs.where(id_.isNull())
     if again.isEmpty():

@@ -131,6 +131,41 @@ def test_rows_that_repeat_a_doc_id(spark):
         assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, text(1), "a"), (None, text(3), "d"), (None, text(3), "h"), (3, text(4), "e"), (4, None, "f")], key=str)
 
 
+def test_keep_one_shuffles_no_texts(spark):
+    """Whether or not Spark takes the table of ids for small enough to broadcast."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    df = spark.createDataFrame([(k, text(k // 2)) for k in range(40)], "doc_id long, text string").repartition(3)
+    df = simhash.written(df)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = simhash.keep_one(df)
+        assert sorted(r.doc_id for r in got.collect()) == list(range(0, 40, 2))
+        steps = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).split("\n\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert any("Scan parquet" in s and "text#" in s for s in steps)
+    assert not [s for s in steps if " Exchange" in s.split("\n")[0] and "text#" in s]
+
+
+@pytest.mark.parametrize("most, map_bits", [(100_000, 1 << 28), (10, 1 << 28), (10, 64)])
+def test_rows_are_picked_by_their_ids(spark, monkeypatch, most, map_bits):
+    """By broadcast, by bitmap, and by one too small to leave anything out."""
+    monkeypatch.setattr(simhash, "BROADCAST_NAMES", most)
+    monkeypatch.setattr(simhash, "MAP_BITS", map_bits)
+    rows = [(k * 7919 - 1_000_000, f"t{k}", k) for k in range(1500)] + [(None, "none", -1), (5, "again", 1), (5, "again", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket long").repartition(3)
+    ids = [5, 12, *[r[0] for r in rows[:1500:3]]]
+    named = spark.createDataFrame([(i,) for i in ids], "held long")
+    got, rest = simhash.picked(df, named), simhash.picked(df, named, without=True)
+    assert got.columns == rest.columns == df.columns
+    assert Counter(map(tuple, got.collect())) == Counter(r for r in rows if r[0] in ids)
+    assert Counter(map(tuple, rest.collect())) == Counter(r for r in rows if r[0] not in ids)
+    monkeypatch.setattr(simhash, "BROADCAST_NAMES", 0)
+    twice = spark.createDataFrame([(k, f"a b c d e f{k // 2}") for k in range(40)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(twice).collect()) == list(range(0, 40, 2))
+
+
 def test_sketches_merge(spark):
     from pyspark.sql import functions as F
 
